@@ -1,0 +1,42 @@
+"""Connected components of a link table, by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import drop_written, written
+
+
+def _large(edges: DataFrame) -> DataFrame:
+    """Every node's larger neighbours go to the smallest node around it."""
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _small(edges: DataFrame) -> DataFrame:
+    """Every node and its smaller neighbours go to the smallest of these."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = edges.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``node, component`` of every node that has a link to another; the component is its smallest node.
+
+    Each round's table is written to the shared folder; rounds grow with the logarithm of the largest component.
+    """
+    a, b = F.col(a), F.col(b)
+    edges = written(links.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
+    before = mark(edges)
+    while before[0]:
+        new = written(_small(_large(edges)), "edges")
+        drop_written(edges)
+        edges, after = new, mark(new)
+        if after == before:
+            break
+        before = after
+    # settled edges are stars around each component's smallest node
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
