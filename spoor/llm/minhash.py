@@ -111,9 +111,9 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequency_sketch(reps: DataFrame) -> np.ndarray:
     """How often coordinate-value pairs occur, by slot: SKETCH numbers, whatever the number of documents."""
-    found = reps.select("sig").mapInArrow(_frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    found = reps.select("sig").mapInArrow(_frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SKETCH, np.int64)
-    out[found["slot"]] = found["n"]
+    out[found["slot"].to_numpy()] = found["n"].to_numpy()
     return np.minimum(out, 2**31 - 1).astype(np.int32)
 
 

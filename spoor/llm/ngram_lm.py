@@ -321,9 +321,9 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     source = docs.select(clean_text(text_col).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = 4 * n
-    found = source.mapInArrow(_common, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    found = source.mapInArrow(_common, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     often = np.zeros(SLOTS, np.int64)
-    often[found["slot"]] = found["n"]
+    often[found["slot"].to_numpy()] = found["n"].to_numpy()
     hot = often > max(1, often.sum() / parts / 2)
     store = Store(new_path(spark, "ngrams"))
     blobs = source.mapInArrow(_bigrams(hot, parts), "part int, blob binary").repartition(n, "part").sortWithinPartitions("part")
