@@ -103,14 +103,18 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - (off[0] if len(off) else 0)
 
 
-def words(texts: pa.Array, lower: bool = False) -> Words:
-    """Maximal runs of bytes other than 0x20 and 0x09 to 0x0D (all ASCII, so UTF-8 needs no decoding)."""
-    global _POW
+def words(texts: pa.Array, lower: bool = False, table: np.ndarray | None = None) -> Words:
+    """Maximal runs of bytes other than 0x20 and 0x09 to 0x0D (all ASCII, so UTF-8 needs no decoding).
+
+    ``lower`` lower-cases A to Z; ``table`` replaces each of the 256 bytes first.
+    """
     data, off = text_bytes(texts)
     n = len(data)
     if not n:
         z = np.empty(0, np.int64)
         return Words(np.empty(0, np.uint64), z, z, np.zeros(len(off), np.int64), data)
+    if table is not None:
+        data = table[data]
     if lower:
         data = data + ((data - np.uint8(65)) < 26) * np.uint8(32)
     edge = np.zeros(n + 1, bool)
