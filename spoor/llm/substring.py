@@ -100,10 +100,10 @@ def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _units(window: int, gram: int):
-    """The segments that may have a repeated window, each content once a task."""
+    """The segments that may have a repeated window. Of equal ones in a task the first has the text and sight 1, one more has sight 2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: dict[int, int] = {}
         for part in slices(batches, "text"):
             w = words(part.column("text"))
             text, at, n, key = _segments(w, window, gram)
@@ -120,35 +120,42 @@ def _units(window: int, gram: int):
             split = mix(mix(key[each] + w.hash[first]) ^ w.hash[first + window - 1])
             text, local = np.concatenate([text[one], text[each]]), np.concatenate([local[one], local[each] + inner])
             start, n, key = np.concatenate([at[one], first]), np.concatenate([n[one], np.ones(len(each), np.int64)]), np.concatenate([key[one], split])
-            size = n + window - 1
-            a, b = _content_hashes(w.hash, start, size)
-            _, new = np.unique(a, return_index=True)
-            raw = w.hash.tobytes()
+            end = start + n + window - 1
+            a, b = _content_hashes(w.hash, start, end - start)
+            raw = w.data.tobytes()
             content: list[bytes | None] = [None] * len(a)
-            for i in new.tolist():
-                if (x := int(a[i])) not in seen:
-                    seen.add(x)
-                    content[i] = raw[8 * start[i] : 8 * (start[i] + size[i])]
+            sight = np.zeros(len(a), np.int8)
+            order = np.argsort(a, kind="stable")
+            head = np.flatnonzero(np.append(True, a[order][1:] != a[order][:-1])) if len(a) else []
+            for lo, hi in zip(head, np.append(head[1:], len(a)), strict=True) if len(a) else ():
+                i, x = order[lo], int(a[order[lo]])
+                before = seen.get(x, 0)
+                if before == 0:
+                    content[i] = raw[w.start[start[i]] : w.end[end[i] - 1]]
+                    sight[i] = 1
+                    if hi - lo > 1:
+                        sight[order[lo + 1]] = 2
+                elif before == 1:
+                    sight[i] = 2
+                seen[x] = min(2, before + int(hi - lo))
             if len(seen) > 500_000:
                 seen.clear()
             pick = pa.array(text)
             yield pa.RecordBatch.from_arrays(
-                [part.column("id").take(pick), part.column("th").take(pick), pa.array(local.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(content, pa.binary())],
-                names=["id", "th", "start", "key", "s1", "s2", "content"],
+                [part.column("id").take(pick), part.column("th").take(pick), pa.array(local.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(content, pa.binary()), pa.array(sight)],
+                names=["id", "th", "start", "key", "s1", "s2", "content", "sight"],
             )
 
     return run
 
 
-def shard_masks(contents: list[bytes], copies: np.ndarray, window: int) -> np.ndarray:
+def shard_masks(w: Words, again: np.ndarray, window: int) -> np.ndarray:
     """One shard: the FM-index of its segments (twice where one occurs again), and the mask of each segment's windows."""
-    size = np.array([len(c) // 8 for c in contents], np.int64)
-    flat = np.frombuffer(b"".join(contents), np.uint64)
-    known, ids = np.unique(flat, return_inverse=True)
+    size = np.diff(w.offsets)
+    known, ids = np.unique(w.hash, return_inverse=True)
     ids = ids.astype(np.int64) + 1
-    start = np.cumsum(size) - size
-    twice = np.flatnonzero(copies > 1)
-    pick = np.concatenate([np.arange(len(size)), twice])
+    start = w.offsets[:-1]
+    pick = np.concatenate([np.arange(len(size)), np.flatnonzero(again)])
     long = size[pick] + 1
     total = int(long.sum())
     text = np.zeros(total, np.int64)
@@ -160,21 +167,29 @@ def shard_masks(contents: list[bytes], copies: np.ndarray, window: int) -> np.nd
 
 
 def _search(window: int):
+    """Rows ``key, s1, s2, content`` in order: those with one s1, s2 are one segment, seen again if there are two rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key: list[np.ndarray] = []
         rest: list[pa.RecordBatch] = []
         n = 0
 
         def shard(t: pa.Table) -> pa.RecordBatch:
-            mask = shard_masks(t["content"].to_pylist(), t["copies"].to_numpy(), window)
-            hit = pa.array(np.flatnonzero(mask))
-            return pa.RecordBatch.from_arrays([t["s1"].combine_chunks().take(hit), t["s2"].combine_chunks().take(hit), pa.array(mask[mask != 0].view(np.int64))], names=["s1", "s2", "mask"])
+            t = t.combine_chunks()
+            s1, s2 = t["s1"].to_numpy(), t["s2"].to_numpy()
+            head = np.flatnonzero(np.append(True, (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])))
+            again = np.diff(np.append(head, len(s1))) > 1
+            there = np.flatnonzero(t["content"].is_valid().to_numpy())
+            first = there[np.searchsorted(there, head)]  # a segment's text, wherever it lies among its rows
+            content = t["content"].combine_chunks().take(pa.array(first))
+            mask = shard_masks(words(content), again, window)
+            hit = np.flatnonzero(mask)
+            return pa.RecordBatch.from_arrays([pa.array(s1[head][hit]), pa.array(s2[head][hit]), pa.array(mask[hit].view(np.int64))], names=["s1", "s2", "mask"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             rest.append(batch)
-            n += batch.column("content").nbytes // 8
+            n += batch.column("content").nbytes // 6
             if n >= SHARD_WORDS:
                 t = pa.Table.from_batches(rest)
                 key = t["key"].to_numpy()
@@ -182,7 +197,7 @@ def _search(window: int):
                 if cut:
                     yield shard(t.slice(0, cut))
                     rest = t.slice(cut).combine_chunks().to_batches()
-                    n = sum(x.column("content").nbytes // 8 for x in rest)
+                    n = sum(x.column("content").nbytes // 6 for x in rest)
         if rest:
             yield shard(pa.Table.from_batches(rest))
 
@@ -200,15 +215,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     if not 0 < gram <= window <= gram + RUN - 1:
         raise ValueError(f"gram must be from window - {RUN - 1} to window")
     source = _keyed(docs, text_col, id_col)
-    keys = written(source.mapInArrow(_keys(window, gram), "id long, th long, start int, key long"), "keys")
+    keys = source.mapInArrow(_keys(window, gram), "id long, th long, start int, key long")
     often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     asked = keys.join(often, "key").groupBy("id", "th").agg(F.collect_list(F.when(F.col("n") <= hot, F.col("start"))).alias("starts"), F.collect_list(F.when(F.col("n") > hot, F.col("start"))).alias("hot"))
-    asked = source.join(asked, ["id", "th"])
-    units = written(asked.select("id", "th", "text", "starts", "hot").mapInArrow(_units(window, gram), "id long, th long, start int, key long, s1 long, s2 long, content binary"), "units")
-    distinct = units.groupBy("s1", "s2").agg(F.min("key").alias("key"), F.max("content").alias("content"), F.count(F.lit(1)).alias("copies"))
-    distinct = distinct.select("key", "s1", "s2", "content", F.least("copies", F.lit(2)).cast("int").alias("copies"))
+    asked = source.join(asked, ["id", "th"]).select("id", "th", "text", "starts", "hot")
+    units = written(asked.mapInArrow(_units(window, gram), "id long, th long, start int, key long, s1 long, s2 long, content binary, sight byte"), "units")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = distinct.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_search(window), "s1 long, s2 long, mask long")
+    shards = units.where("sight > 0").select("key", "s1", "s2", "content").repartition(n, "key").sortWithinPartitions("key", "s1", "s2")
+    found = shards.mapInArrow(_search(window), "s1 long, s2 long, mask long")
     return units.select("id", "th", "start", "s1", "s2").join(found, ["s1", "s2"]).groupBy("id", "th").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
 
 
