@@ -8,7 +8,9 @@
 3. A list's members are compared by one bit of each coordinate; pairs above the match threshold stay candidates.
    Merging skips: in the first pass a member goes to the first member that it matches, in the second pass only members
    of different components are compared. Lists too long for one task are split into pairs of blocks.
-4. Candidates are confirmed on the full sets, and confirmed links become components.
+4. Candidates are confirmed on the full sets, and confirmed links become components. Before the second pass each
+   candidate's shingles that no other candidate has are counted: of n shingles with c of its own, a set shares n - c at
+   most, so copies that differ in too many places are told apart without a look at each pair.
 
 Pairs within a group of copies are never all made: a member adds one pair a list, and what the first pass has joined is
 skipped by the second. No list, partner or candidate is capped.
@@ -133,35 +135,52 @@ def _post(shared):
                 tok, often = np.take_along_axis(tok, order, 1).ravel(), np.take_along_axis(often, order, 1).ravel()
                 bits = np.packbits((sig & 1).astype(np.uint8), axis=1)
                 bits = np.pad(bits, ((0, 0), (0, 16 - bits.shape[1]))).view(np.int64)
-                node, comp = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), prefix) for c in ("node", "comp"))
+                node, comp, size, own = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), prefix) for c in ("node", "comp", "n", "own"))
                 b1, b2 = np.repeat(bits[:, 0], prefix), np.repeat(bits[:, 1], prefix)
                 use = often > 1  # a pair that one document has leads to no other; the sketch never counts too few
                 blocks = np.where(often > BLOCK, 2 * often.astype(np.int64) // BLOCK + 1, 1)
                 one = use & (blocks == 1)
-                cols = [[tok[one].view(np.int64), node[one], comp[one], b1[one], b2[one], np.zeros(one.sum(), np.int8)]]
+                cols = [[tok[one].view(np.int64), node[one], comp[one], size[one], own[one], b1[one], b2[one], np.zeros(one.sum(), np.int8)]]
                 for i in np.flatnonzero(use & (blocks > 1)):
                     g, mine = int(blocks[i]), int(mix(np.array([node[i]], np.int64).view(np.uint64))[0] % np.uint64(blocks[i]))
                     x, y = np.minimum(mine, np.arange(g)), np.maximum(mine, np.arange(g))
                     key = mix(tok[i] ^ mix((x * g + y + 1).astype(np.uint64)))
                     # side 0 meets all others, sides 1 and 2 meet each other alone
                     side = np.where(x == y, 0, np.where(x == mine, 1, 2)).astype(np.int8)
-                    cols.append([key.view(np.int64), np.full(g, node[i]), np.full(g, comp[i]), np.full(g, b1[i]), np.full(g, b2[i]), side])
+                    cols.append([key.view(np.int64), np.full(g, node[i]), np.full(g, comp[i]), np.full(g, size[i]), np.full(g, own[i]), np.full(g, b1[i]), np.full(g, b2[i]), side])
                 got = [np.concatenate(c) for c in zip(*cols, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["token", "node", "comp", "b1", "b2", "side"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["token", "node", "comp", "n", "own", "b1", "b2", "side"])
 
     return run
 
 
-def _matches(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which pairs of rows (b1, b2 in columns) differ in few enough bits."""
-    return np.bitwise_count(x[i, 0] ^ x[j, 0]).astype(np.int16) + np.bitwise_count(x[i, 1] ^ x[j, 1]) <= MOST_BITS
+@dataclass
+class Lists:
+    """Rows of posting lists, which lie one after the other."""
+
+    token: np.ndarray
+    node: np.ndarray
+    comp: np.ndarray
+    n: np.ndarray
+    own: np.ndarray
+    bits: np.ndarray
+    side: np.ndarray
+    percent: int
+
+    def match(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs of rows are of two components, are to meet here, can share enough, and differ in few enough bits."""
+        ok = (self.comp[i] != self.comp[j]) & ((self.side[i] == 0) | (self.side[i] != self.side[j]))
+        most = np.minimum(self.n[i] - self.own[i], self.n[j] - self.own[j])
+        ok &= 100 * most >= self.percent * (self.n[i] + self.n[j] - most)
+        return ok & (np.bitwise_count(self.bits[i, 0] ^ self.bits[j, 0]).astype(np.int16) + np.bitwise_count(self.bits[i, 1] ^ self.bits[j, 1]) <= MOST_BITS)
 
 
 SMALL = 8
 
 
-def _pairs_of(token: np.ndarray, node: np.ndarray, comp: np.ndarray, bits: np.ndarray, side: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of whole lists, which lie one after the other, by node within."""
+def _pairs_of(x: Lists, first: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of whole lists, whose rows are by node."""
+    token, node = x.token, x.node
     n = len(token)
     start = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if n else np.empty(0, np.int64)
     size = np.diff(np.append(start, n))
@@ -170,7 +189,7 @@ def _pairs_of(token: np.ndarray, node: np.ndarray, comp: np.ndarray, bits: np.nd
     for lag in range(1, SMALL):
         i = np.flatnonzero(small[: n - lag] & (token[: n - lag] == token[lag:])) if n > lag else np.empty(0, np.int64)
         j = i + lag
-        ok = (comp[i] != comp[j]) & ((side[i] == 0) | (side[i] != side[j])) & _matches(bits, i, j)
+        ok = x.match(i, j)
         ia.append(i[ok])
         ib.append(j[ok])
     for lo, length in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
@@ -178,8 +197,7 @@ def _pairs_of(token: np.ndarray, node: np.ndarray, comp: np.ndarray, bits: np.nd
         idx = np.arange(lo, lo + length)
         for at in range(lo, lo + length, step):
             rows = np.arange(at, min(at + step, lo + length))
-            ok = (np.bitwise_count(bits[rows, 0][:, None] ^ bits[idx, 0]).astype(np.int16) + np.bitwise_count(bits[rows, 1][:, None] ^ bits[idx, 1])) <= MOST_BITS
-            ok &= (idx[None, :] < rows[:, None]) & (comp[rows][:, None] != comp[idx]) & ((side[rows][:, None] == 0) | (side[rows][:, None] != side[idx]))
+            ok = (idx[None, :] < rows[:, None]) & x.match(rows[:, None], idx[None, :])
             if first:
                 # a member goes to the first that it matches; one that only later members match is named by itself
                 has = ok.any(1)
@@ -197,15 +215,15 @@ def _pairs_of(token: np.ndarray, node: np.ndarray, comp: np.ndarray, bits: np.nd
     return node[i], node[j]
 
 
-def _merge_lists(first: bool):
-    names = ("token", "node", "comp", "b1", "b2", "side")
+def _merge_lists(first: bool, percent: int):
+    names = ("token", "node", "comp", "n", "own", "b1", "b2", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         rows = 0
 
         def flush(cols: list[np.ndarray]) -> pa.RecordBatch:
-            a, b = _pairs_of(cols[0], cols[1], cols[2], np.stack(cols[3:5], 1).view(np.uint64), cols[5], first)
+            a, b = _pairs_of(Lists(*cols[:3], cols[3].astype(np.int64), cols[4].astype(np.int64), np.stack(cols[5:7], 1).view(np.uint64), cols[7], percent), first)
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -227,12 +245,28 @@ def _merge_lists(first: bool):
     return run
 
 
-def candidate_pairs(nodes: DataFrame, shared, first: bool) -> DataFrame:
-    """``a, b`` (a <= b) of ``node, comp, sig`` rows."""
-    posts = nodes.select("node", "comp", "sig").mapInArrow(_post(shared), "token long, node long, comp long, b1 long, b2 long, side byte")
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lists = posts.repartition(n, "token").sortWithinPartitions("token", "node")
-    return lists.mapInArrow(_merge_lists(first), "a long, b long").distinct()
+def candidate_pairs(nodes: DataFrame, shared, first: bool, percent: int = 80) -> DataFrame:
+    """``a, b`` (a <= b) of ``node, comp, n, own, sig`` rows."""
+    posts = nodes.select("node", "comp", "n", "own", "sig").mapInArrow(_post(shared), "token long, node long, comp long, n int, own int, b1 long, b2 long, side byte")
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = posts.repartition(parts, "token").sortWithinPartitions("token", "node")
+    return lists.mapInArrow(_merge_lists(first, percent), "a long, b long").distinct()
+
+
+def _shingles(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 1_000_000):
+            sets = shingle_sets(part.column("text"), size)
+            node = np.repeat(part.column("node").to_numpy(zero_copy_only=False), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(node)], names=["h", "node"])
+
+    return run
+
+
+def own_shingles(texts: DataFrame, size: int) -> DataFrame:
+    """``node, own``: how many shingles of each node no other one has. Every node has one text."""
+    found = texts.select("node", "text").mapInArrow(_shingles(size), "h long, node long").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
+    return found.where("n = 1").groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("own"))
 
 
 def _confirm(size: int, percent: int):
@@ -265,16 +299,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), clean_text(text_col).alias("text"))
     sketch = written(source.mapInArrow(_sketch(size), "doc_id long, n_shingles long, d1 long, d2 long, sig binary"), "sketch")
-    classes = sketch.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min("sig").alias("sig"))
+    classes = sketch.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min("sig").alias("sig"), F.min("n_shingles").cast("int").alias("n"))
     classes = written(classes, "classes")
-    nodes = classes.select("node", F.col("node").alias("comp"), "sig")
+    nodes = classes.select("node", F.col("node").alias("comp"), "n", F.lit(0).alias("own"), "sig")
     shared = spark.sparkContext.broadcast(frequency_sketch(classes))  # SKETCH numbers
 
-    met = written(candidate_pairs(nodes, shared, first=True), "pairs")
+    met = written(candidate_pairs(nodes, shared, True, percent), "pairs")
     wanted = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct()
     texts = written(source.join(wanted, source.doc_id == wanted.node, "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
-    # rows of one doc_id are one node; of equal rows one is enough
-    texts = texts.dropDuplicates(["node", "text"]) if not _unique(texts) else texts
+    single = _unique(texts)
+    if not single:  # rows of one doc_id are one node; of equal rows one is enough
+        texts = texts.dropDuplicates(["node", "text"])
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         both = pairs.where("a <> b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
@@ -282,8 +317,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
     links = written(confirmed(met), "links")
     joined = written(components(links), "joined")
-    again = wanted.join(nodes.select("node", "sig"), "node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), "sig")
-    late = written(confirmed(candidate_pairs(again, shared, first=False)), "links")
+    again = wanted.join(nodes.select("node", "n", "sig"), "node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), "n", "sig")
+    again = again.join(own_shingles(texts, size), "node", "left").withColumn("own", F.coalesce("own", F.lit(0))) if single else again.withColumn("own", F.lit(0))
+    # a set whose shared part is under the percentage of itself has no link
+    again = written(again.where(F.lit(100) * (F.col("n") - F.col("own")) >= F.lit(percent) * F.col("n")), "again")
+    late = written(confirmed(candidate_pairs(again, shared, False, percent)), "links")
     links = links.unionByName(late)
     comps = components(links) if late.head(1) else joined
     home = classes.select("d1", "d2", "node").join(comps, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("home"))
@@ -293,6 +331,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     return Result(rows, links)
 
 
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its class (or null)."""
+    rows = near_duplicates(docs, size, percent, id_col, text_col).rows
+    gone = rows.where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+
+
 def _unique(texts: DataFrame) -> bool:
     n, d = texts.agg(F.count(F.lit(1)), F.count_distinct("node")).first()
     return n == d
