@@ -126,7 +126,8 @@ def fit_rates(docs: DataFrame, domains: Domains, targets: dict[str, float], ridg
 
 
 def with_rates(docs: DataFrame, domains: Domains, descent: Descent, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``n_tokens``, a posterior ``p_<domain>`` for each domain, and ``rate``."""
+    """``docs`` with ``n_tokens``, a posterior ``p_<domain>`` for each domain, and ``rate``; columns of these names are replaced."""
+    docs = docs.drop("n_tokens", "rate", *[f"p_{n}" for n in domains.names])
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), clean_text(text_col).alias("_text"))
     names = [f"p_{n}" for n in domains.names]
     schema = f"_row {rows.schema['_row'].dataType.simpleString()}, n_tokens long, " + ", ".join(f"`{c}` double" for c in names) + ", rate double"

@@ -271,7 +271,8 @@ def _joined(w: Words, kept: np.ndarray) -> pa.Array:
 
 
 def strip_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``n_words``, ``n_removed`` and ``kept_text`` of every row."""
+    """``docs`` with ``n_words``, ``n_removed`` and ``kept_text`` of every row; columns of these names are replaced."""
+    docs = docs.drop("n_words", "n_removed", "kept_text")
     spans = repeated_spans(docs, window, gram, hot, id_col, text_col)
     text = clean_text(text_col)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), F.xxhash64(text).alias("th"), text.alias("_text"))

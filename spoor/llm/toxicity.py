@@ -67,7 +67,7 @@ def train(docs: DataFrame, labels: DataFrame, chain: dict[str, Column] | None =
     return models
 
 
-def predict(docs: DataFrame, models: dict[str, Linear], keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def predict(docs: DataFrame, models: dict[str, Linear], keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """``keep``, ``p_<category>`` for each, and ``toxic`` (the last category's probability is over the threshold)."""
     source = docs.select(*keep, clean_text(text_col).alias("_text"))
     names = [f"p_{c}" for c in models]
