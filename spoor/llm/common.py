@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,12 +40,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    # what was shuffled for this table is of no more use; Spark deletes it when the driver's garbage is collected
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that no DataFrame refers to any more; it does so when the driver's garbage goes."""
+    for _ in range(2):  # the first round frees what refers to the plans from Python
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def drop_written(df: DataFrame) -> None:
     """Deletes the files of tables made by ``written`` once no later job reads them."""
     spark = df.sparkSession
