@@ -291,14 +291,13 @@ def _keep(store: Store, parts: int):
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
-    """Chen and Goodman's three discounts from the counts of counts."""
-    if not (n1 and n2):
-        return 0.5, 0.75, 0.9
-    y = n1 / (n1 + 2 * n2)
-    d1 = 1 - 2 * y * n2 / n1
-    d2 = 2 - 3 * y * n3 / n2 if n3 else 2 * d1
-    d3 = 3 - 4 * y * n4 / n3 if n3 and n4 else max(d2, 3 * d1)
-    return min(max(d1, 0.0), 1.0), min(max(d2, 0.0), 2.0), min(max(d3, 0.0), 3.0)
+    """Chen and Goodman's three discounts from the counts of counts; 1/2, 1 and 3/2 where these give none in range."""
+    if n1 and n2 and n3:
+        y = n1 / (n1 + 2 * n2)
+        d = 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3
+        if all(0 < x <= k for k, x in enumerate(d, 1)):
+            return d
+    return 0.5, 1.0, 1.5
 
 
 @dataclass

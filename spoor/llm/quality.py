@@ -108,7 +108,8 @@ def host_verdicts(measured: DataFrame, host_col: str = "source", rules: tuple[Ho
     """One row per host: its documents, shrunk failure rate by rule, and whether it is rejected.
 
     The prior of each rule is a beta distribution with the mean and variance of the hosts' rates (method of moments);
-    its two numbers come to the driver. Where hosts don't differ, or there is one host, it weighs as much as the corpus.
+    its two numbers come to the driver. It weighs as much as one document at least, and as much as the corpus where
+    hosts don't differ or there is one.
     """
     fails = [F.sum(F.expr(r.fails).cast("long")).cast("double").alias(f"k_{r.name}") for r in rules]
     hosts = measured.where(F.col(host_col).isNotNull()).groupBy(host_col).agg(F.count(F.lit(1)).cast("double").alias("n_docs"), *fails)
@@ -118,7 +119,7 @@ def host_verdicts(measured: DataFrame, host_col: str = "source", rules: tuple[Ho
     rates, bad = [], F.lit(False)
     for r in rules:
         m, v = found[f"m_{r.name}"] or 0.0, found[f"v_{r.name}"] or 0.0
-        weight = m * (1 - m) / v - 1 if v > 1e-12 and m * (1 - m) > v else (found["n"] or 1.0)
+        weight = (found["n"] or 1.0) if v <= 1e-12 else max(m * (1 - m) / v - 1, 1.0)
         rate = (F.col(f"k_{r.name}") + F.lit(m * weight)) / (F.col("n_docs") + F.lit(weight))
         rates.append(rate.alias(f"rate_{r.name}"))
         bad = bad | (rate > r.limit)

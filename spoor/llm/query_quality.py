@@ -34,7 +34,7 @@ def _sql() -> str:
     fails = {r.name: r.fails for r in quality.HOST_RULES}
     k = ", ".join(f"sum(({x})::INT)::DOUBLE AS k_{n}" for n, x in fails.items())
     mv = ", ".join(f"avg(k_{n} / n) AS m_{n}, coalesce(var_samp(k_{n} / n), 0) AS v_{n}" for n in fails)
-    wt = ", ".join(f"CASE WHEN v_{n} > 1e-12 AND m_{n} * (1 - m_{n}) > v_{n} THEN m_{n} * (1 - m_{n}) / v_{n} - 1 ELSE total END AS s_{n}" for n in fails)
+    wt = ", ".join(f"CASE WHEN v_{n} <= 1e-12 THEN total ELSE greatest(m_{n} * (1 - m_{n}) / v_{n} - 1, 1) END AS s_{n}" for n in fails)
     bad = " OR ".join(f"(k_{r.name} + m_{r.name} * s_{r.name}) / (n + s_{r.name}) > {r.limit}" for r in quality.HOST_RULES)
     return f"""WITH {_TRIGRAMS},
 h AS (SELECT source, count(*)::DOUBLE AS n, {k} FROM b WHERE source IS NOT NULL GROUP BY source),
