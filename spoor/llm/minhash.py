@@ -8,9 +8,10 @@
 3. A list's members are compared by one bit of each coordinate; pairs above the match threshold stay candidates.
    Merging skips: in the first pass a member goes to the first member that it matches, in the second pass only members
    of different components are compared. Lists too long for one task are split into pairs of blocks.
-4. Candidates are confirmed on the full sets, and confirmed links become components. Before the second pass each
-   candidate's shingles that no other candidate has are counted: of n shingles with c of its own, a set shares n - c at
-   most, so copies that differ in too many places are told apart without a look at each pair.
+4. Candidates are confirmed on the full sets, and confirmed links become components. The second pass posts the
+   candidates again, now under the rarest fifth of their own shingles (two sets of similarity 0.8 share one of these):
+   a pair that first meets at places i and j of sets of n and m can share min(n - i, m - j) at most. So copies that
+   differ in too many places are told apart without a look at each pair.
 
 Pairs within a group of copies are never all made: a member adds one pair a list, and what the first pass has joined is
 skipped by the second. No list, partner or candidate is capped.
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_text, mix, slices, words, written
+from .common import clean_text, mix, release, slices, words, written
 from .graph import components
 
 K, T = 96, 58
@@ -111,14 +112,41 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["slot", "n"])
 
 
-def frequency_sketch(reps: DataFrame) -> np.ndarray:
-    """How often coordinate-value pairs occur, by slot: SKETCH numbers, whatever the number of documents."""
-    found = reps.select("sig").mapInArrow(_frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+def _collected(counts: DataFrame) -> np.ndarray:
+    found = counts.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SKETCH, np.int64)
     out[found["slot"].to_numpy()] = found["n"].to_numpy()
     return np.minimum(out, 2**31 - 1).astype(np.int32)
 
 
+def frequency_sketch(reps: DataFrame) -> np.ndarray:
+    """How often coordinate-value pairs occur, by slot: SKETCH numbers, whatever the number of documents."""
+    return _collected(reps.select("sig").mapInArrow(_frequencies, "slot long, n long"))
+
+
+def _bits(sig: np.ndarray) -> np.ndarray:
+    """One bit of each coordinate, in two longs."""
+    bits = np.packbits((sig & 1).astype(np.uint8), axis=1)
+    return np.pad(bits, ((0, 0), (0, 16 - bits.shape[1]))).view(np.int64)
+
+
+def _postings(tok, often, node, comp, size, own, b1, b2) -> pa.RecordBatch:
+    """A row for each posting; those of a list that is too long for one task go to pairs of blocks of it."""
+    use = often > 1  # what one document has leads to no other; a sketch never counts too few
+    blocks = np.where(often > BLOCK, 2 * often.astype(np.int64) // BLOCK + 1, 1)
+    one = use & (blocks == 1)
+    cols = [[tok[one].view(np.int64), node[one], comp[one], size[one], own[one], b1[one], b2[one], np.zeros(one.sum(), np.int8)]]
+    for i in np.flatnonzero(use & (blocks > 1)):
+        g, mine = int(blocks[i]), int(mix(np.array([node[i]], np.int64).view(np.uint64))[0] % np.uint64(blocks[i]))
+        x, y = np.minimum(mine, np.arange(g)), np.maximum(mine, np.arange(g))
+        key = mix(tok[i] ^ mix((x * g + y + 1).astype(np.uint64)))
+        # side 0 meets all others, sides 1 and 2 meet each other alone
+        side = np.where(x == y, 0, np.where(x == mine, 1, 2)).astype(np.int8)
+        cols.append([key.view(np.int64), *(np.full(g, c[i]) for c in (node, comp, size, own, b1, b2)), side])
+    got = [np.concatenate(c) for c in zip(*cols, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["token", "node", "comp", "n", "own", "b1", "b2", "side"])
+
+
 def _post(shared):
     prefix = K - T + 1
 
@@ -133,23 +161,10 @@ def _post(shared):
                 by_token = np.argsort(tok, axis=1, kind="stable")
                 order = np.take_along_axis(by_token, np.argsort(np.take_along_axis(often, by_token, 1), axis=1, kind="stable"), 1)[:, :prefix]
                 tok, often = np.take_along_axis(tok, order, 1).ravel(), np.take_along_axis(often, order, 1).ravel()
-                bits = np.packbits((sig & 1).astype(np.uint8), axis=1)
-                bits = np.pad(bits, ((0, 0), (0, 16 - bits.shape[1]))).view(np.int64)
+                bits = _bits(sig)
                 node, comp, size, own = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), prefix) for c in ("node", "comp", "n", "own"))
                 b1, b2 = np.repeat(bits[:, 0], prefix), np.repeat(bits[:, 1], prefix)
-                use = often > 1  # a pair that one document has leads to no other; the sketch never counts too few
-                blocks = np.where(often > BLOCK, 2 * often.astype(np.int64) // BLOCK + 1, 1)
-                one = use & (blocks == 1)
-                cols = [[tok[one].view(np.int64), node[one], comp[one], size[one], own[one], b1[one], b2[one], np.zeros(one.sum(), np.int8)]]
-                for i in np.flatnonzero(use & (blocks > 1)):
-                    g, mine = int(blocks[i]), int(mix(np.array([node[i]], np.int64).view(np.uint64))[0] % np.uint64(blocks[i]))
-                    x, y = np.minimum(mine, np.arange(g)), np.maximum(mine, np.arange(g))
-                    key = mix(tok[i] ^ mix((x * g + y + 1).astype(np.uint64)))
-                    # side 0 meets all others, sides 1 and 2 meet each other alone
-                    side = np.where(x == y, 0, np.where(x == mine, 1, 2)).astype(np.int8)
-                    cols.append([key.view(np.int64), np.full(g, node[i]), np.full(g, comp[i]), np.full(g, size[i]), np.full(g, own[i]), np.full(g, b1[i]), np.full(g, b2[i]), side])
-                got = [np.concatenate(c) for c in zip(*cols, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["token", "node", "comp", "n", "own", "b1", "b2", "side"])
+                yield _postings(tok, often, node, comp, size, own, b1, b2)
 
     return run
 
@@ -245,28 +260,57 @@ def _merge_lists(first: bool, percent: int):
     return run
 
 
-def candidate_pairs(nodes: DataFrame, shared, first: bool, percent: int = 80) -> DataFrame:
-    """``a, b`` (a <= b) of ``node, comp, n, own, sig`` rows."""
-    posts = nodes.select("node", "comp", "n", "own", "sig").mapInArrow(_post(shared), "token long, node long, comp long, n int, own int, b1 long, b2 long, side byte")
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+POSTING = "token long, node long, comp long, n int, own int, b1 long, b2 long, side byte"
+
+
+def _met(posts: DataFrame, first: bool, percent: int) -> DataFrame:
+    parts = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = posts.repartition(parts, "token").sortWithinPartitions("token", "node")
     return lists.mapInArrow(_merge_lists(first, percent), "a long, b long").distinct()
 
 
-def _shingles(size: int):
+def candidate_pairs(nodes: DataFrame, shared, first: bool, percent: int = 80) -> DataFrame:
+    """``a, b`` (a <= b) of ``node, comp, n, own, sig`` rows that meet under a coordinate-value pair."""
+    return _met(nodes.select("node", "comp", "n", "own", "sig").mapInArrow(_post(shared), POSTING), first, percent)
+
+
+def _shingle_frequencies(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH, np.int64)
         for part in slices(batches, "text", 1_000_000):
-            sets = shingle_sets(part.column("text"), size)
-            node = np.repeat(part.column("node").to_numpy(zero_copy_only=False), [len(x) for x in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(node)], names=["h", "node"])
+            for x in shingle_sets(part.column("text"), size):
+                np.add.at(total, (x & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+        found = np.flatnonzero(total)
+        for lo in range(0, len(found), 100_000):
+            piece = found[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(total[piece])], names=["slot", "n"])
+
+    return run
+
+
+def _post_shingles(shared, size: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for part in slices(batches, "text", 1_000_000):
+            bits = _bits(_sig_array(part.column("sig")))
+            node, comp = (part.column(c).to_numpy(zero_copy_only=False) for c in ("node", "comp"))
+            held = []
+            for i, x in enumerate(shingle_sets(part.column("text"), size)):
+                often = counts[(x & np.uint64(SKETCH - 1)).astype(np.int64)]
+                order = np.argsort(often, kind="stable")[: len(x) + 1 + (-percent * len(x)) // 100]  # n - ceil(t n) + 1
+                held.append((x[order], often[order], np.full(len(order), i), np.arange(len(order), dtype=np.int32), np.full(len(order), len(x), np.int32)))
+            tok, often, row, place, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            yield _postings(mix(tok), often, node[row], comp[row], n, place, bits[row, 0], bits[row, 1])
 
     return run
 
 
-def own_shingles(texts: DataFrame, size: int) -> DataFrame:
-    """``node, own``: how many shingles of each node no other one has. Every node has one text."""
-    found = texts.select("node", "text").mapInArrow(_shingles(size), "h long, node long").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
-    return found.where("n = 1").groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("own"))
+def late_pairs(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """``a, b`` of different components that meet under a rare shingle. Every node has one text."""
+    found = texts.select("text").mapInArrow(_shingle_frequencies(size), "slot long, n long")
+    shared = texts.sparkSession.sparkContext.broadcast(_collected(found))  # SKETCH numbers
+    posts = nodes.select("node", "comp", "sig").join(texts, "node").mapInArrow(_post_shingles(shared, size, percent), POSTING)
+    return _met(posts, False, percent)
 
 
 def _confirm(size: int, percent: int):
@@ -301,12 +345,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     sketch = written(source.mapInArrow(_sketch(size), "doc_id long, n_shingles long, d1 long, d2 long, sig binary"), "sketch")
     classes = sketch.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min("sig").alias("sig"), F.min("n_shingles").cast("int").alias("n"))
     classes = written(classes, "classes")
+    release(spark)
     nodes = classes.select("node", F.col("node").alias("comp"), "n", F.lit(0).alias("own"), "sig")
     shared = spark.sparkContext.broadcast(frequency_sketch(classes))  # SKETCH numbers
 
     met = written(candidate_pairs(nodes, shared, True, percent), "pairs")
     wanted = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct()
     texts = written(source.join(wanted, source.doc_id == wanted.node, "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
+    release(spark)
     single = _unique(texts)
     if not single:  # rows of one doc_id are one node; of equal rows one is enough
         texts = texts.dropDuplicates(["node", "text"])
@@ -318,10 +364,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     links = written(confirmed(met), "links")
     joined = written(components(links), "joined")
     again = wanted.join(nodes.select("node", "n", "sig"), "node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), "n", "sig")
-    again = again.join(own_shingles(texts, size), "node", "left").withColumn("own", F.coalesce("own", F.lit(0))) if single else again.withColumn("own", F.lit(0))
-    # a set whose shared part is under the percentage of itself has no link
-    again = written(again.where(F.lit(100) * (F.col("n") - F.col("own")) >= F.lit(percent) * F.col("n")), "again")
-    late = written(confirmed(candidate_pairs(again, shared, False, percent)), "links")
+    again = written(again, "again")
+    release(spark)
+    pairs = late_pairs(again, texts, size, percent) if single else candidate_pairs(again.withColumn("own", F.lit(0)), shared, False, percent)
+    late = written(confirmed(written(pairs, "pairs")), "links")
     links = links.unionByName(late)
     comps = components(links) if late.head(1) else joined
     home = classes.select("d1", "d2", "node").join(comps, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("home"))
