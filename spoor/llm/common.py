@@ -94,7 +94,8 @@ class Words:
     offsets: np.ndarray
     data: np.ndarray
 
-    def text(self, i: int, k: np.ndarray | None = None) -> list[bytes]:
+    def text(self, i: int) -> list[bytes]:
+        """The words of text ``i``."""
         lo, hi = self.offsets[i], self.offsets[i + 1]
         raw = self.data.tobytes()
         return [raw[a:b] for a, b in zip(self.start[lo:hi], self.end[lo:hi], strict=True)]
