@@ -88,15 +88,15 @@ def lerp(a: Column, b: Column, alpha: Column) -> Column:
     return (1 - alpha) * a + alpha * b
 
 
-def slerp(a: Cols, b: Cols, alpha: Column) -> list[Column]:
-    """Between unit quaternions on the shorter arc; nearly equal ones linearly, then normalised."""
-    dot = sum((x * y for x, y in zip(a, b, strict=True)), F.lit(0.0))
-    sign = F.when(dot < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    d = F.least(F.greatest(dot * sign, F.lit(-1.0)), F.lit(1.0))
-    theta = F.acos(d)
-    near = d > 0.9995
-    wa = F.when(near, 1 - alpha).otherwise(F.sin((1 - alpha) * theta) / F.sin(theta))
-    wb = F.when(near, alpha).otherwise(F.sin(alpha * theta) / F.sin(theta))
-    raw = [wa * x + wb * sign * y for x, y in zip(a, b, strict=True)]
-    n = F.sqrt(sum((c * c for c in raw), F.lit(0.0)))
-    return [F.when(near, c / n).otherwise(c) for c in raw]
+def dot(a: Cols, b: Cols) -> Column:
+    return sum((x * y for x, y in zip(a[1:], b[1:], strict=True)), a[0] * b[0])
+
+
+def slerp_weights(cosine: Column, alpha: Column) -> tuple[Column, Column]:
+    """Weights of two unit quaternions with this dot product, on the shorter arc; nearly equal ones linearly."""
+    sign = F.when(cosine < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+    near = F.abs(cosine) > 0.9995
+    theta = F.acos(F.least(F.abs(cosine), F.lit(1.0)))
+    first = F.when(near, 1 - alpha).otherwise(F.sin((1 - alpha) * theta) / F.sin(theta))
+    second = F.when(near, alpha).otherwise(F.sin(alpha * theta) / F.sin(theta))
+    return first, sign * second

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import apply, product, quaternion_of, rotation_of, slerp, unit
+from ..functions.geometry import apply, dot, product, quaternion_of, rotation_of, slerp_weights, unit
 from ..operators.timejoin import asof_neighbours
 
 XYZ, QUAT = ("x", "y", "z"), ("qx", "qy", "qz", "qw")
@@ -24,15 +25,22 @@ class Rigid:
 
 def poses_at(queries: DataFrame, track: DataFrame, ts: str = "ts") -> DataFrame:
     """Ground truth poses at the queries' times: positions linear, quaternions by slerp, ends held."""
-    near = asof_neighbours(queries, track, (*XYZ, *QUAT), ts)
+    scaled = [c.alias(n) for c, n in zip(unit([F.col(q) for q in QUAT]), QUAT, strict=True)]
+    near = asof_neighbours(queries, track.select(*[c for c in track.columns if c not in QUAT], *scaled), (*XYZ, *QUAT), ts)
     near = near.withColumn("before", F.coalesce("before", "after")).withColumn("after", F.coalesce("after", "before"))
     b, a = (lambda c: F.col(f"before.{c}")), (lambda c: F.col(f"after.{c}"))
     span = a("t") - b("t")
     alpha = F.when(span > 0, (F.col(ts) - b("t")) / span).otherwise(F.lit(0.0))
+    rest = [c for c in queries.columns if c not in (*XYZ, *QUAT)]
+    # a step at a time, so that what is used often is worked out once
     place = [((1 - alpha) * b(c) + alpha * a(c)).alias(c) for c in XYZ]
-    turn = slerp([b(c) for c in QUAT], [a(c) for c in QUAT], alpha)
-    turn = [F.when(span > 0, s).otherwise(b(c)).alias(c) for s, c in zip(turn, QUAT, strict=True)]
-    return near.select(*[c for c in queries.columns if c not in (*XYZ, *QUAT)], *place, *turn)
+    rows = near.select(*rest, *place, alpha.alias("_alpha"), *[b(c).alias(f"_b{c}") for c in QUAT], *[a(c).alias(f"_a{c}") for c in QUAT])
+    first, second = ([F.col(f"_{k}{c}") for c in QUAT] for k in "ba")
+    rows = rows.withColumn("_dot", dot(first, second))
+    wa, wb = slerp_weights(F.col("_dot"), F.col("_alpha"))
+    rows = rows.withColumns({"_wa": wa, "_wb": wb})
+    rows = rows.select(*rest, *XYZ, *[(F.col("_wa") * x + F.col("_wb") * y).alias(c) for x, y, c in zip(first, second, QUAT, strict=True)])
+    return rows.select(*rest, *XYZ, *[c.alias(n) for c, n in zip(unit([F.col(q) for q in QUAT]), QUAT, strict=True)])
 
 
 def rotations(poses: DataFrame) -> DataFrame:
@@ -48,9 +56,15 @@ def anchor(track: DataFrame, poses: DataFrame) -> Rigid:
     if first.isEmpty() or track.isEmpty():
         raise RuntimeError("ground truth and poses must have rows")
     est = rotations(first).first()
-    true = poses_at(first.select(F.col("t").alias("ts")), track)
-    true = rotations(true).first()
-    r, s = [true[f"r{i}"] for i in range(9)], [est[f"r{i}"] for i in range(9)]
+    true = poses_at(first.select(F.col("t").alias("ts")), track).first()
+    length = math.sqrt(sum(true[q] ** 2 for q in QUAT)) or 1.0
+    x, y, z, w = (true[q] / length for q in QUAT)
+    r = [
+        1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w),
+        2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w),
+        2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y),
+    ]
+    s = [est[f"r{i}"] for i in range(9)]
     turn = [sum(r[3 * i + k] * s[3 * j + k] for k in range(3)) for i in range(3) for j in range(3)]
     move = [true[c] - sum(turn[3 * i + k] * est[XYZ[k]] for k in range(3)) for i, c in enumerate(XYZ)]
     return Rigid(turn, move)
