@@ -351,14 +351,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
     met = written(candidate_pairs(nodes, shared, True, percent), "pairs")
     wanted = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct()
-    texts = written(source.join(wanted, source.doc_id == wanted.node, "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
+    # joins with texts are shuffles at every size, so that the disk they take follows the input
+    texts = written(source.join(wanted.hint("merge"), source.doc_id == wanted.node, "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
     release(spark)
     single = _unique(texts)
     if not single:  # rows of one doc_id are one node; of equal rows one is enough
         texts = texts.dropDuplicates(["node", "text"])
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.where("a <> b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        both = pairs.where("a <> b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
         return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(size, percent), "a long, b long")
 
     links = written(confirmed(met), "links")
