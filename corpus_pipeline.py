@@ -3,7 +3,7 @@
 Each stage works on what its predecessor kept, which is written as Parquet to the shared folder and read again:
 
 1. quality rules: documents that fail them go, with all documents of hosts that nearly always fail;
-2. MinHash near-dedup: one document of each class of near copies (5-word shingles, similarity 0.8 or more) stays;
+2. MinHash near-dedup: one row of each class of near copies (5-word shingles, similarity 0.8 or more) stays;
 3. substring dedup: words in 35-word windows that repeat anywhere go; a document that loses all its words goes;
 4. benchmark decontamination: documents with a verified leak go;
 5. mixing: each document gets a rate, so that expected tokens match the domains' target shares; those of rate 0 go.

@@ -18,6 +18,7 @@ skipped by the second. No list, partner or candidate is capped.
 
 Defined results: a text without words has the empty set and links with nothing. A row without doc_id links with
 nothing, and its component_id is null; it is kept. Rows with one doc_id are one node. Extra columns are passed over.
+``one_of_each`` numbers the rows, so that rows with one doc_id, or with none, are told apart.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ MOST_BITS = 26
 SKETCH = 1 << 20
 #: Members of a list (or of two blocks of it) that one task compares.
 BLOCK = 50_000
+#: Column that numbers rows.
+ROW = "_near_row"
 
 _ODD = np.random.Generator(np.random.PCG64(7)).integers(0, 2**62, K, dtype=np.uint64) * np.uint64(4) + np.uint64(3)
 _G = np.uint64(0x9E3779B97F4A7C15)
@@ -379,10 +382,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its class (or null)."""
-    rows = near_duplicates(docs, size, percent, id_col, text_col).rows
-    gone = rows.where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """One row of each class of near copies; every row is a node of its own, whatever its id.
+
+    The row with the smallest id stays, one without id only where no other has one; equal ids go by a hash of the text,
+    then by place. A text without words links with nothing and stays.
+    """
+    rows = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(rows, size, percent, ROW, text_col).rows.select(F.col("doc_id").alias(ROW), "component_id")
+    rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(clean_text(text_col)).alias("text"), F.col(ROW).alias("row"))
+    best = found.join(rows.select(ROW, rank.alias("rank")), ROW).groupBy("component_id").agg(F.min("rank").alias("rank"))
+    return rows.join(best.select(F.col("rank.row").alias(ROW)), ROW, "left_semi").select(*docs.columns)
 
 
 def _unique(texts: DataFrame) -> bool:
