@@ -1,7 +1,8 @@
 """Benchmark decontamination: a BM25 inverted index of the test items, queried with every passage of every document.
 
 Test items are cut into entries of at most ``ENTRY`` words. An entry's term weights are BM25 scores divided by the
-entry's score against itself, so a passage that holds all its terms scores 1. Postings lie in blocks of ``BLOCK``
+entry's score against itself, so a passage that holds all its terms scores 1. Term frequencies, number and mean length
+are those of all entries, so scores do not depend on how the index is cut. Postings lie in blocks of ``BLOCK``
 entries with the block's highest weight. Passages are ``PASSAGE`` words long and begin every ``STRIDE`` words, so an
 entry lies whole within one. As in block-max WAND, the block maxima of a passage's terms are summed first, and only
 (passage, block) pairs that can reach the threshold are scored exactly; every entry at or above it is retrieved.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, clean_text, slices, words
+from .common import Words, clean_text, slices, words, written
 
 ENTRY, PASSAGE, STRIDE, BLOCK = 64, 96, 32, 8
 THRESHOLD = 0.55
@@ -75,8 +76,23 @@ class Item:
     runs: frozenset
 
 
-def build_index(hashes: list[np.ndarray], item: list[int]) -> Index:
-    """An index of entries given as word hashes."""
+@dataclass
+class Statistics:
+    """Of all entries of the benchmark: their number, their mean length, and of ``terms`` (sorted) how many have each."""
+
+    n: int
+    mean: float
+    terms: np.ndarray
+    df: np.ndarray
+
+
+def cut(hashes: np.ndarray) -> list[np.ndarray]:
+    """The entries of an item's word hashes."""
+    return np.array_split(hashes, max(1, -(-len(hashes) // ENTRY)))
+
+
+def build_index(hashes: list[np.ndarray], item: list[int], of: Statistics | None = None) -> Index:
+    """An index of entries given as word hashes, weighted by the statistics of the whole benchmark (these entries, if none)."""
     n = len(hashes)
     size = np.array([len(h) for h in hashes], float)
     entry = np.repeat(np.arange(n), size.astype(int))
@@ -84,9 +100,10 @@ def build_index(hashes: list[np.ndarray], item: list[int]) -> Index:
     terms, term = np.unique(flat, return_inverse=True)
     pair, tf = np.unique(term * n + entry, return_counts=True)
     term, entry = pair // n, pair % n
-    df = np.bincount(term, minlength=len(terms))
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    score = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[entry] / size.mean()))
+    of = of or Statistics(n, size.mean(), terms, np.bincount(term, minlength=len(terms)))
+    df = of.df[np.searchsorted(of.terms, terms)]
+    idf = np.log1p((of.n - df + 0.5) / (df + 0.5))
+    score = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[entry] / of.mean))
     score /= np.bincount(entry, weights=score, minlength=n)[entry]
     blocks = -(-n // BLOCK)
     row = np.zeros((len(terms), blocks), np.int32)
@@ -97,8 +114,8 @@ def build_index(hashes: list[np.ndarray], item: list[int]) -> Index:
     return Index(terms, row, weights, weights.max(1)[row], np.array(item))
 
 
-def build(benchmark: pd.DataFrame) -> tuple[list[Index], list[Item]]:
-    """Indexes and items of rows ``item_id, text, norm`` (bounded by the caller)."""
+def build(benchmark: pd.DataFrame, of: Statistics) -> tuple[list[Index], list[Item]]:
+    """Indexes and items of rows ``item_id, text, norm`` (bounded by the caller), whose terms are all in ``of``."""
     items, entries, owner = [], [], []
     for item_id, text, norm in benchmark.itertuples(index=False):
         w = words(pa.array([norm]))
@@ -108,11 +125,10 @@ def build(benchmark: pd.DataFrame) -> tuple[list[Index], list[Item]]:
         part = lambda s: frozenset(re.findall(r"[^\W_]+", s.lower()))
         t = norm.split()
         items.append(Item(item_id, part(q), part(a), frozenset(zip(t, t[1:], t[2:]))))  # noqa: B905
-        cuts = max(1, -(-len(w.hash) // ENTRY))
-        for h in np.array_split(w.hash, cuts):
+        for h in cut(w.hash):
             entries.append(h)
             owner.append(len(items) - 1)
-    return [build_index(entries[lo : lo + INDEX], owner[lo : lo + INDEX]) for lo in range(0, len(entries), INDEX)], items
+    return [build_index(entries[lo : lo + INDEX], owner[lo : lo + INDEX], of) for lo in range(0, len(entries), INDEX)], items
 
 
 def retrieve(w: Words, index: Index, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -178,14 +194,32 @@ def leaks(texts: pa.Array, indexes: list[Index], items: list[Item], threshold: f
     return [(*k, *v) for k, v in sorted(best.items())]
 
 
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many entries have each term."""
+    for part in slices(batches, "norm"):
+        w = words(part.column("norm"))
+        held = [np.unique(h) for lo, hi in zip(w.offsets[:-1], w.offsets[1:], strict=True) if hi > lo for h in cut(w.hash[lo:hi])]
+        if held:
+            term, df = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(df, pa.int64())], names=["term", "df"])
+
+
 def _groups(benchmark: DataFrame) -> Iterator[tuple[list[Index], list[Item]]]:
     """The benchmark's indexes, at most about GROUP entries at a time."""
     rows = benchmark.select(F.col("item_id").cast("long"), clean_text().alias("text"), normalised(clean_text()).alias("norm"))
-    entries = rows.agg(F.sum(F.floor(F.size(F.split("norm", " ")) / ENTRY) + 1)).first()[0] or 0
-    n = max(1, -(-int(entries) // (GROUP // 2)))
+    size = F.when(F.col("norm") == "", 0).otherwise(F.size(F.split("norm", " ")))
+    told = rows.agg(F.sum(F.ceil(size / ENTRY)).alias("entries"), F.sum(size).alias("words")).first()
+    entries, length = int(told["entries"] or 0), int(told["words"] or 0)
+    n = max(1, -(-entries // (GROUP // 2)))
+    count = lambda of: of.select("norm").mapInArrow(_terms, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    everywhere = count(rows) if n == 1 else written(count(rows), "terms")
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield build(part.toPandas())
+        # a group's terms alone come to the driver, with their counts over all groups
+        found = (everywhere if n == 1 else everywhere.join(count(part).select("term"), "term", "left_semi")).toArrow()
+        term = found["term"].to_numpy().view(np.uint64)
+        order = np.argsort(term)
+        yield build(part.toPandas(), Statistics(entries, length / max(entries, 1), term[order], found["df"].to_numpy()[order]))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
