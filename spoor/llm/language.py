@@ -5,9 +5,11 @@ frequency over all learning texts, of unit length. Spherical k-means on a bounde
 gives its centroids. A text gets the language of the centroid with the highest cosine; one that is farther from it than
 nearly all of that centroid's own texts were is flagged as rejected.
 
-Bound: about ``per_language`` sampled texts a language fit the centroids. Document frequencies cover all learning texts.
+Bound: at most about twice ``per_language`` distinct texts a language fit the centroids, each weighted by the rows it
+stands for; floors are over distinct texts. Document frequencies cover all learning rows. A language with any text of
+three bytes, a letter among them, has a centroid.
 Defined results: a null text or one without a letter is ``und`` with score 0, as is every text if nothing was learnt.
-Equal cosines go to the language that sorts first. Repeated rows are learnt from each. Extra columns are passed over.
+Equal cosines go to the language that sorts first. Repeated rows are learnt from each, by weight. Extra columns are passed over.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_text, slices, text_bytes
+from .common import clean_text, slices, text_bytes, written
 
 UNKNOWN = "und"
 DIMS = 4096
@@ -70,9 +72,9 @@ def _frequencies(dims: int):
     return run
 
 
-def _cluster(x: np.ndarray, k: int, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from a farthest-first start: unit centroids, and each row's cosine to its own."""
-    centre = x.mean(0)
+def _cluster(x: np.ndarray, weight: np.ndarray, k: int, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """Spherical k-means from a farthest-first start, rows counted by weight: unit centroids, and each row's own."""
+    centre = weight @ x
     chosen = [int(np.argmax(x @ centre))]
     while len(chosen) < min(k, len(x)):
         chosen.append(int(np.argmin((x @ x[chosen].T).max(1))))
@@ -81,12 +83,31 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 10) -> tuple[np.ndarray, np.nd
         own = np.argmax(x @ c.T, 1)
         for j in range(len(c)):
             if (own == j).any():
-                m = x[own == j].mean(0)
+                m = weight[own == j] @ x[own == j]
                 c[j] = m / max(np.linalg.norm(m), 1e-9)
     own = np.argmax(x @ c.T, 1)
     return c, own
 
 
+def _drawn(train: DataFrame, per_language: int) -> DataFrame:
+    """``lang, text, weight``: distinct texts and the rows each stands for, at most about twice ``per_language`` a language.
+
+    A text with more than its even share of the rows is always drawn and stands for its own rows. The others are drawn by
+    hash at a rate over their distinct texts, the one with the smallest hash always, and stand for as many more.
+    """
+    # a text of three bytes, a letter among them, has a vector
+    rows = train.where(F.col("text").rlike(r"[a-zA-Z]|[^\x00-\x7F]") & (F.octet_length("text") > 2)).select("lang", "text", F.xxhash64("text").alias("h"))
+    seen = written(rows.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n")), "texts")
+    share = seen.groupBy("lang").agg((F.sum("n") / per_language).alias("share"))
+    seen = seen.join(F.broadcast(share), "lang").withColumn("large", F.col("n") > F.col("share"))
+    rate = seen.where(~F.col("large")).groupBy("lang").agg(F.least(F.lit(1.0), per_language / F.count(F.lit(1))).alias("rate"), F.min("h").alias("least"))
+    seen = seen.join(F.broadcast(rate), "lang", "left")
+    seen = seen.where(F.col("large") | (F.pmod("h", F.lit(1_000_003)) < F.col("rate") * 1_000_003) | (F.col("h") == F.col("least")))
+    chosen = seen.select("lang", "h", F.when(F.col("large"), F.col("n")).otherwise(F.col("n") / F.col("rate")).cast("double").alias("weight"))
+    # bounded by the number of languages; copies of a text are one row before they leave a task
+    return rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h", "weight").agg(F.min("text").alias("text"))
+
+
 def fit(train: DataFrame, per_language: int = 1500, clusters: int = 4, dims: int = DIMS, reject_quantile: float = 0.001) -> pd.DataFrame:
     """Centroids learnt from ``lang, text``: ``lang, cluster, floor, centroid, idf`` (the last the same in each row).
 
@@ -94,29 +115,25 @@ def fit(train: DataFrame, per_language: int = 1500, clusters: int = 4, dims: int
     """
     train = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("string"))
     found = train.select("text").mapInArrow(_frequencies(dims), "bin long, df long").groupBy("bin").agg(F.sum("df").alias("df")).toPandas()
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
+    if not len(found):
         return pd.DataFrame({"lang": [], "cluster": [], "floor": [], "centroid": []})
     df = np.zeros(dims + 1)
     df[found["bin"]] = found["df"]
     idf = (np.log((df[dims] + 1) / (df[:dims] + 1)) + 1).astype(np.float32)
 
-    rate = F.lit(0.0)
-    for lang, n in sizes.items():
-        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(rate)
-    drawn = train.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < rate * 1_000_003).select("lang", "text")
-
     def one(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("h")
         x = np.concatenate([weighted(counts(p.column("text"), dims), idf) for p in slices(iter(table.select(["text"]).to_batches()), "text", 1_000_000, 512)])
-        x = x[x.any(1)]
+        some = x.any(1)
+        x, weight = x[some], table["weight"].to_numpy()[some].astype(np.float32)
         if not len(x):
             return pa.table({"lang": pa.array([], pa.string()), "cluster": pa.array([], pa.int32()), "floor": pa.array([], pa.float64()), "centroid": pa.array([], pa.list_(pa.float32()))})
-        c, own = _cluster(x, clusters)
+        c, own = _cluster(x, weight / weight.sum(), clusters)
         kept = [j for j in range(len(c)) if (own == j).any()]
         floor = [float(np.quantile(x[own == j] @ c[j], reject_quantile)) for j in kept]
         return pa.table({"lang": pa.array([key[0].as_py()] * len(kept), pa.string()), "cluster": pa.array(range(len(kept)), pa.int32()), "floor": pa.array(floor, pa.float64()), "centroid": pa.array([c[j].tolist() for j in kept], pa.list_(pa.float32()))})
 
-    model = drawn.groupBy("lang").applyInArrow(one, "lang string, cluster int, floor double, centroid array<float>").toPandas()
+    model = _drawn(train, per_language).groupBy("lang").applyInArrow(one, "lang string, cluster int, floor double, centroid array<float>").toPandas()
     model = model.sort_values(["lang", "cluster"]).reset_index(drop=True)
     model.attrs["idf"] = idf
     return model
