@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import drop_written, written
 
 
 def neighbours(edges: DataFrame) -> DataFrame:
@@ -20,20 +20,42 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").distinct().join(n, F.col("id") == F.col("u"), "left").select("id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``id, component`` (the smallest id that can be reached), by label propagation with pointer jumping.
+def _large(edges: DataFrame) -> DataFrame:
+    """Every node's larger neighbours go to the smallest node around it."""
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _small(edges: DataFrame) -> DataFrame:
+    """Every node and its smaller neighbours go to the smallest of these."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = edges.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
+
 
-    Every round is written to the shared folder; the loop ends when no label changes.
+def linked(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``node, component`` of every node that has a link to another; the component is its smallest node.
+
+    Large-star and small-star steps in turn. Each round's table is written once to the shared folder; rounds grow with
+    the logarithm of the largest component. A node with very many neighbours keeps one of them after the first steps.
     """
-    nbr = written(neighbours(edges).where("u <> v"), "neighbours")
-    labels = written(nodes.select("id").distinct().withColumn("component", F.col("id")), "labels")
-    while True:
-        near = nbr.join(labels, nbr.v == labels.id).groupBy("u").agg(F.min("component").alias("low"))
-        pulled = labels.join(near, labels.id == near.u, "left").select("id", F.least("component", F.coalesce("low", "component")).alias("component"))
-        pulled = written(pulled, "labels")
-        up = pulled.select(F.col("id").alias("root"), F.col("component").alias("over"))
-        jumped = written(pulled.join(up, pulled.component == up.root).select("id", F.least("component", "over").alias("component")), "labels")
-        changed = jumped.join(labels.withColumnRenamed("component", "old"), "id").where("component <> old").isEmpty()
-        labels = jumped
-        if changed:
-            return labels
+    a, b = F.col(a), F.col(b)
+    edges = written(links.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
+    before = mark(edges)
+    while before[0]:
+        new = written(_small(_large(edges)), "edges")
+        drop_written(edges)
+        edges, after = new, mark(new)
+        if after == before:
+            break
+        before = after
+    # settled edges are stars around each component's smallest node
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id, component`` (the smallest id that can be reached) of every distinct node; ends outside ``nodes`` don't count."""
+    found = linked(edges, "source", "target")
+    return nodes.select("id").distinct().join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))

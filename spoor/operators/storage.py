@@ -7,21 +7,54 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Deletes shuffle files as soon as the job that made them has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
+    """The folder named in spark.checkpoint.dir.
+
+    Where it is unset, one of our own for a local master, as in tests; a cluster's executors would not see that, so
+    there it is an error.
+    """
     global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
     _own_dir = _own_dir or "file://" + tempfile.mkdtemp(prefix="spoor-shared-")
     return _own_dir
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: its lineage is cut."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` as a Parquet table in the shared folder, read again: its lineage is cut, and a lost executor loses nothing.
+
+    Shuffle files of the job that writes it go when it ends, since nothing else reads them.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by ``written`` that no later job reads."""
+    for df in tables:
+        spark = df.sparkSession
+        files = df.inputFiles()[:1]
+        if files:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
