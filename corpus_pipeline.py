@@ -34,10 +34,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = substring.strip_repeats(docs).where("n_removed = 0 OR n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn("text", text).select(*docs.columns)
+    # the row travels as one column, so that its columns can have any name
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    out = substring.strip_repeats(rows).where("n_removed = 0 OR n_removed < n_words")
+    cut = {"text": F.col("kept_text"), "n_chars": F.length("kept_text")}
+    kept = lambda c: F.col("_doc").getField(c)
+    return out.select(*[(F.when(F.col("n_removed") > 0, cut[f.name].cast(f.dataType)).otherwise(kept(f.name)) if f.name in cut else kept(f.name)).alias(f.name) for f in docs.schema])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), TARGETS).where("rate > 0")
+    return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), TARGETS).rows.where("rate > 0")
 
 
 STAGES = [

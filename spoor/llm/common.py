@@ -1,63 +1,21 @@
-"""Shared pieces: the folder that all executors see, written intermediate tables, and word hashing over Arrow text."""
+"""Shared pieces: written intermediate tables, slices of Arrow text and the hashing of its words."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Bytes of text that one step of a Python worker looks at; a longer text goes alone.
-SLICE_BYTES = 2_000_000
-
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset (tests)."""
-    global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="spoor-shared-")
-    return _own_dir
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from ..operators.storage import drop_written, new_path, written
 
+__all__ = ["Words", "bucket_of", "clean_text", "doc_of", "drop_written", "mix", "new_path", "slices", "text_bytes", "words", "written"]
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: its lineage is cut, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files that no DataFrame refers to any more; it does so when the driver's garbage goes."""
-    for _ in range(2):  # the first round frees what refers to the plans from Python
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
-def drop_written(df: DataFrame) -> None:
-    """Deletes the files of tables made by ``written`` once no later job reads them."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+#: Bytes of text that one step of a Python worker looks at; a longer text goes alone.
+SLICE_BYTES = 2_000_000
 
 
 def bucket_of(column: str, modulus: int) -> Column:

@@ -1,11 +1,13 @@
 """Linear text classifiers: which words a text has, and a few proportions of its characters.
 
 A classifier is fitted on a bounded sample of labelled rows (``max_rows``, drawn evenly by a hash of the id), so each
-fit is one task; fits for different folds or classes are tasks of their own. A model is ``DIMS`` weights at most.
+fit is one task; fits for different folds or classes are tasks of their own. Texts become sparse features where they
+lie, and only these move. A model is ``DIMS`` weights at most.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -59,6 +61,11 @@ class Linear:
         return z + np.clip((dense - self.mean) / self.scale, -5, 5) @ self.dense + self.bias
 
 
+def blank(width: int) -> Linear:
+    """The model that knows nothing: every probability is a half."""
+    return Linear(np.empty(0, np.int64), np.empty(0), np.zeros(width), np.ones(width), np.zeros(width), 0.0)
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
@@ -90,26 +97,39 @@ def fit(row: np.ndarray, slot: np.ndarray, dense: np.ndarray, y: np.ndarray, rou
     return Linear(slots, w[:k], mean, scale, w[k:-1], float(w[-1]))
 
 
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, "text"):
+        row, slot, plain = features(part.column("text"))
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(slot.astype(np.int32)))
+        dense = pa.ListArray.from_arrays(pa.array(np.arange(0, plain.size + 1, PLAIN, dtype=np.int32)), pa.array(plain.ravel()))
+        yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), lists, dense], names=["id", "h", "slots", "plain"])
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, targets: dict[str, Column], max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, text`` and the target columns of about ``max_rows`` labelled rows at most.
+    """``id`` (as text), ``slots, plain`` and the target columns of about ``max_rows`` labelled ids at most, a row each.
 
+    Of labels that contradict each other the greatest counts; of texts that share an id the one with the least hash.
     The sample of labels is bounded by ``max_rows`` rows of a few numbers, so it is broadcast; the texts stay in place.
     """
-    known = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *[c.alias(k) for k, c in targets.items()]).dropna().dropDuplicates(["id"])
+    named = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), *[c.alias(k) for k, c in targets.items()]).dropna()
+    known = named.groupBy("id").agg(*[F.max(k).alias(k) for k in targets])
     n = known.count()
     if n > max_rows:
         known = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(1_000_003 * max_rows / n))
-    return docs.select(F.col(id_col).alias("id"), clean_text(text_col).alias("text")).join(F.broadcast(known), "id")
+    text = clean_text(text_col)
+    there = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(text).alias("h"), text.alias("text")).join(F.broadcast(known.select("id")), "id", "left_semi")
+    found = there.mapInArrow(_featured, "id string, h long, slots array<int>, plain array<double>").groupBy("id").agg(F.min(F.struct("h", "slots", "plain")).alias("x"))
+    return found.join(F.broadcast(known), "id").select("id", "x.slots", "x.plain", *targets)
 
 
 def table_features(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows, slots, plain, base = [], [], [], 0
-    for part in slices(iter(table.select(["text"]).to_batches()), "text"):
-        r, s, p = features(part.column("text"))
-        rows.append(r + base)
-        slots.append(s)
-        plain.append(p)
-        base += part.num_rows
-    if not rows:
+    """The features of a group of ``labelled_sample`` rows."""
+    table = table.combine_chunks()
+    n = table.num_rows
+    if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros((0, PLAIN))
-    return np.concatenate(rows), np.concatenate(slots), np.concatenate(plain)
+    slots, plain = (table[c].combine_chunks() for c in ("slots", "plain"))
+    slots, plain = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (slots, plain))
+    sizes = np.diff(slots.offsets.to_numpy())
+    return np.repeat(np.arange(n), sizes), slots.flatten().to_numpy().astype(np.int64), plain.flatten().to_numpy().reshape(n, PLAIN)

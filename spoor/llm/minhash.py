@@ -4,14 +4,18 @@
    digest of the set. Texts with one set are one class; a class has one representative.
 2. A representative is posted under its coordinate-value pairs. Two sets of similarity 0.8 agree in at least ``T``
    coordinates (but for a chance of about one in a million), so they meet under at least one of each other's first
-   ``K - T + 1`` pairs in any fixed order. The order is by frequency, rarest first, from a sketch of all postings.
-3. A list's members are compared by one bit of each coordinate; pairs above the match threshold stay candidates.
-   Merging skips: in the first pass a member goes to the first member that it matches, in the second pass only members
-   of different components are compared. Lists too long for one task are split into pairs of blocks.
-4. Candidates are confirmed on the full sets, and confirmed links become components. The second pass posts the
-   candidates again, now under the rarest fifth of their own shingles (two sets of similarity 0.8 share one of these):
-   a pair that first meets at places i and j of sets of n and m can share min(n - i, m - j) at most. So copies that
-   differ in too many places are told apart without a look at each pair.
+   ``K - T + 1`` pairs in any fixed order: that prefix alone is posted. The order is by frequency, rarest first, from a
+   sketch of all postings.
+3. Lists are merged with skips. Members that differ in the low bit of so many coordinates that ``T`` collisions can't
+   be left are passed over; in the first pass a member goes to the first member left, in the second only members of
+   different components meet. A list of over ``BLOCK`` members, by an exact count, is split into pairs of blocks.
+4. For each pair that met, its collisions are counted over all ``K`` coordinates; pairs of at least ``T`` are retained,
+   and confirmed on the full sets. Confirmed links become components.
+5. The second pass posts the documents that met any other once more, to find the links between different components.
+   It posts them under the rarest fifth of their own shingles (two sets of similarity 0.8 share one of these): a pair
+   that first meets at places i and j of sets of n and m can share min(n - i, m - j) at most. So in a large group of
+   documents that are all somewhat alike, but less than 0.8, no pair needs a look, where coordinates alone would give
+   all of the group's pairs. Pairs that pass are counted and confirmed as in 4.
 
 Pairs within a group of copies are never all made: a member adds one pair a list, and what the first pass has joined is
 skipped by the second. No list, partner or candidate is capped.
@@ -31,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_text, mix, release, slices, words, written
-from .graph import components
+from ..operators.graph import linked
+from .common import clean_text, drop_written, mix, slices, words, written
 
 K, T = 96, 58
 #: Of K coordinates' low bits, sets of similarity 0.8 differ in 10 on average; more than this is a chance of about 1e-6.
@@ -41,6 +45,8 @@ MOST_BITS = 26
 SKETCH = 1 << 20
 #: Members of a list (or of two blocks of it) that one task compares.
 BLOCK = 50_000
+#: Long lists whose lengths are broadcast (16 bytes each); more are joined by a shuffle.
+LONG_LISTS = 1_000_000
 #: Column that numbers rows.
 ROW = "_near_row"
 
@@ -133,21 +139,34 @@ def _bits(sig: np.ndarray) -> np.ndarray:
     return np.pad(bits, ((0, 0), (0, 16 - bits.shape[1]))).view(np.int64)
 
 
-def _postings(tok, often, node, comp, size, own, b1, b2) -> pa.RecordBatch:
-    """A row for each posting; those of a list that is too long for one task go to pairs of blocks of it."""
-    use = often > 1  # what one document has leads to no other; a sketch never counts too few
-    blocks = np.where(often > BLOCK, 2 * often.astype(np.int64) // BLOCK + 1, 1)
-    one = use & (blocks == 1)
-    cols = [[tok[one].view(np.int64), node[one], comp[one], size[one], own[one], b1[one], b2[one], np.zeros(one.sum(), np.int8)]]
-    for i in np.flatnonzero(use & (blocks > 1)):
-        g, mine = int(blocks[i]), int(mix(np.array([node[i]], np.int64).view(np.uint64))[0] % np.uint64(blocks[i]))
-        x, y = np.minimum(mine, np.arange(g)), np.maximum(mine, np.arange(g))
-        key = mix(tok[i] ^ mix((x * g + y + 1).astype(np.uint64)))
-        # side 0 meets all others, sides 1 and 2 meet each other alone
-        side = np.where(x == y, 0, np.where(x == mine, 1, 2)).astype(np.int8)
-        cols.append([key.view(np.int64), *(np.full(g, c[i]) for c in (node, comp, size, own, b1, b2)), side])
-    got = [np.concatenate(c) for c in zip(*cols, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["token", "node", "comp", "n", "own", "b1", "b2", "side"])
+POSTING = "token long, node long, comp long, n int, own int, b1 long, b2 long"
+_FIELDS = tuple(x.split()[0] for x in POSTING.split(", "))
+
+
+def _postings(tok, often, *fields) -> pa.RecordBatch:
+    """A row for each posting. What one document has leads to no other; a sketch never counts too few."""
+    use = often > 1
+    return pa.RecordBatch.from_arrays([pa.array(tok[use].view(np.int64)), *(pa.array(f[use]) for f in fields), pa.array(often[use])], names=[*_FIELDS, "often"])
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings with the exact ``length`` of their list where it is too long for one task: these go to pairs of blocks of it."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 10_000):
+            part = batch.slice(lo, 10_000)
+            length = part.column("length").fill_null(0).to_numpy(zero_copy_only=False)
+            cols = [part.column(c).to_numpy(zero_copy_only=False) for c in _FIELDS]
+            one = length <= BLOCK
+            out = [[c[one] for c in cols] + [np.zeros(one.sum(), np.int8)]]
+            for i in np.flatnonzero(~one):
+                g = 2 * int(length[i]) // BLOCK + 1
+                mine = int(mix(np.array([cols[1][i]], np.int64).view(np.uint64))[0] % np.uint64(g))
+                x, y = np.minimum(mine, np.arange(g)), np.maximum(mine, np.arange(g))
+                key = mix(cols[0][i : i + 1].view(np.uint64) ^ mix((x * g + y + 1).astype(np.uint64)))
+                # side 0 meets all others, sides 1 and 2 meet each other alone
+                side = np.where(x == y, 0, np.where(x == mine, 1, 2)).astype(np.int8)
+                out.append([key.view(np.int64), *(np.full(g, c[i]) for c in cols[1:]), side])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=[*_FIELDS, "side"])
 
 
 def _post(shared):
@@ -263,18 +282,24 @@ def _merge_lists(first: bool, percent: int):
     return run
 
 
-POSTING = "token long, node long, comp long, n int, own int, b1 long, b2 long, side byte"
-
-
-def _met(posts: DataFrame, first: bool, percent: int) -> DataFrame:
-    parts = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lists = posts.repartition(parts, "token").sortWithinPartitions("token", "node")
+def _met(posts: DataFrame, counts: np.ndarray, first: bool, percent: int) -> DataFrame:
+    """``a, b`` of the postings' lists. ``counts``, the sketch, tells whether any list may be too long; lengths are exact."""
+    spark = posts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lists = posts.drop("often").withColumn("side", F.lit(0).cast("byte"))
+    if counts.max(initial=0) > BLOCK:
+        long = written(posts.where(F.col("often") > BLOCK).groupBy("token").agg(F.count(F.lit(1)).alias("length")).where(F.col("length") > BLOCK), "long")
+        n = long.count()
+        if n:
+            told = posts.drop("often").join(F.broadcast(long) if n <= LONG_LISTS else long, "token", "left")
+            lists = told.mapInArrow(_split, f"{POSTING}, side byte")
+    lists = lists.repartition(parts, "token").sortWithinPartitions("token", "node")
     return lists.mapInArrow(_merge_lists(first, percent), "a long, b long").distinct()
 
 
 def candidate_pairs(nodes: DataFrame, shared, first: bool, percent: int = 80) -> DataFrame:
     """``a, b`` (a <= b) of ``node, comp, n, own, sig`` rows that meet under a coordinate-value pair."""
-    return _met(nodes.select("node", "comp", "n", "own", "sig").mapInArrow(_post(shared), POSTING), first, percent)
+    return _met(nodes.select("node", "comp", "n", "own", "sig").mapInArrow(_post(shared), f"{POSTING}, often int"), shared.value, first, percent)
 
 
 def _shingle_frequencies(size: int):
@@ -312,17 +337,26 @@ def late_pairs(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     """``a, b`` of different components that meet under a rare shingle. Every node has one text."""
     found = texts.select("text").mapInArrow(_shingle_frequencies(size), "slot long, n long")
     shared = texts.sparkSession.sparkContext.broadcast(_collected(found))  # SKETCH numbers
-    posts = nodes.select("node", "comp", "sig").join(texts, "node").mapInArrow(_post_shingles(shared, size, percent), POSTING)
-    return _met(posts, False, percent)
+    posts = nodes.select("node", "comp").join(texts, "node").mapInArrow(_post_shingles(shared, size, percent), f"{POSTING}, often int")
+    return _met(posts, shared.value, False, percent)
+
+
+def collisions(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many coordinates each pair of signatures agrees."""
+    return (a == b).sum(1)
 
 
 def _confirm(size: int, percent: int):
+    """Retains pairs with ``T`` collisions or more, and of these the ones whose full sets are alike."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text_a", 1_000_000, 400):
+            count = collisions(_sig_array(part.column("sig_a")), _sig_array(part.column("sig_b")))
+            part = part.filter(pa.array(count >= T))
             x, y = shingle_sets(part.column("text_a"), size), shingle_sets(part.column("text_b"), size)
             same = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)], np.int64)
             union = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)], np.int64) - same
-            keep = pa.array((100 * same >= percent * union) & (same > 0))
+            keep = pa.array((100 * same >= percent * union) & (same > 0), pa.bool_())
             yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], names=["a", "b"])
 
     return run
@@ -348,36 +382,39 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     sketch = written(source.mapInArrow(_sketch(size), "doc_id long, n_shingles long, d1 long, d2 long, sig binary"), "sketch")
     classes = sketch.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min("sig").alias("sig"), F.min("n_shingles").cast("int").alias("n"))
     classes = written(classes, "classes")
-    release(spark)
     nodes = classes.select("node", F.col("node").alias("comp"), "n", F.lit(0).alias("own"), "sig")
     shared = spark.sparkContext.broadcast(frequency_sketch(classes))  # SKETCH numbers
 
     met = written(candidate_pairs(nodes, shared, True, percent), "pairs")
-    wanted = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct()
+    wanted = written(met.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
     # joins with texts are shuffles at every size, so that the disk they take follows the input
-    texts = written(source.join(wanted.hint("merge"), source.doc_id == wanted.node, "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
-    release(spark)
+    texts = source.join(wanted.hint("merge"), source.doc_id == wanted.node, "left_semi").select(F.col("doc_id").alias("node"), "text")
+    texts = written(texts.join(nodes.select("node", "sig").hint("merge"), "node"), "texts")
     single = _unique(texts)
     if not single:  # rows of one doc_id are one node; of equal rows one is enough
         texts = texts.dropDuplicates(["node", "text"])
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.where("a <> b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-        return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(size, percent), "a long, b long")
+        side = lambda k: texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}"), F.col("sig").alias(f"sig_{k}")).hint("merge")
+        both = pairs.where("a <> b").join(side("a"), "a").join(side("b"), "b")
+        return both.select("a", "b", "text_a", "text_b", "sig_a", "sig_b").mapInArrow(_confirm(size, percent), "a long, b long")
 
     links = written(confirmed(met), "links")
-    joined = written(components(links), "joined")
+    joined = written(linked(links), "joined")
     again = wanted.join(nodes.select("node", "n", "sig"), "node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), "n", "sig")
     again = written(again, "again")
-    release(spark)
     pairs = late_pairs(again, texts, size, percent) if single else candidate_pairs(again.withColumn("own", F.lit(0)), shared, False, percent)
-    late = written(confirmed(written(pairs, "pairs")), "links")
+    pairs = written(pairs, "pairs")
+    late = written(confirmed(pairs), "links")
     links = links.unionByName(late)
-    comps = components(links) if late.head(1) else joined
+    comps = written(linked(links), "joined") if late.head(1) else joined
+    drop_written(met, wanted, texts, again, pairs)
     home = classes.select("d1", "d2", "node").join(comps, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("home"))
-    rows = sketch.join(home, ["d1", "d2"], "left")
-    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("home", "doc_id")).otherwise(F.col("doc_id"))
-    rows = rows.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    with_words = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    columns = ["doc_id", "n_shingles", F.col("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")]
+    rows = sketch.where(with_words).select("doc_id", "n_shingles", "d1", "d2").join(home, ["d1", "d2"], "left").withColumn("component_id", F.coalesce("home", "doc_id")).select(*columns)
+    alone = sketch.where(~with_words).withColumn("component_id", F.col("doc_id")).select(*columns)
+    rows = rows.unionByName(alone)
     return Result(rows, links)
 
 

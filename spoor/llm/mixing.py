@@ -2,34 +2,40 @@
 
 A classifier learnt from the labelled table gives each document a posterior over the domains. Each document gets a
 nonnegative rate (its expected number of uses), found by least squares: the expected tokens of each domain, the sum of
-rate x tokens x posterior, should match the targets, and rates should stay near 1 where the targets leave them free.
-
-The fit is accelerated projected gradient descent, distributed: a step needs one number a domain, the mismatch of the
-totals, and changes a rate by the document's own posterior. So no rate is stored or moved: a document's rate is
-replayed from the history of these numbers, and a step is one sum over the documents.
-
-Bound: about ``max_rows`` labelled rows fit the classifier; the history has one number a domain and step. Defined
+rate x tokens x posterior, should match the targets. Rates begin at 1 and move along the posteriors alone, so what the
+targets leave free stays near 1.
+
+The fit is projected gradient descent, distributed. The gradient of a document's rate is its posterior times the
+mismatch of the domains' totals; a step takes it in the metric of the Gram matrix of the documents whose rates are free
+(k x k numbers for k domains), so that without a rate at its bound one step lands on the targets. A step that does not
+lower the mismatch is halved. No rate is stored or moved: a document's rate is replayed from the history of steps, one
+number a domain and step, and a step is one sum over the documents. The descent ends when every domain is within
+``tolerance`` of its own target, or when no step lowers the mismatch: then the targets can't be reached, which ``Fit``
+tells and a warning says.
+
+Bound: about ``max_rows`` labelled ids fit the classifier; the history has one number a domain and step. Defined
 results: a null text has no tokens and weighs nothing, but has a rate; without labels all domains are equally likely;
-repeated rows get equal rates; an empty table gives an empty result. Extra columns stay.
+labels that contradict each other count as the domain that sorts last; repeated rows get equal rates; an empty table
+gives an empty result. Extra columns stay.
 """
 
 from __future__ import annotations
 
 import pickle
+import warnings
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_text, slices, words, written
+from .common import clean_text, drop_written, slices, words, written
 from .linear import MAX_ROWS, Linear, features, fit, labelled_sample, sigmoid, table_features
 
-#: Weight of staying near rate 1 against matching the targets.
-RIDGE = 1e-3
-STEPS, TOLERANCE = 80, 1e-4
+#: Largest mismatch of a domain in parts of its own target, and the steps after which a descent is given up as failed.
+TOLERANCE, STEPS = 1e-4, 60
 
 
 def default_domain() -> Column:
@@ -55,6 +61,7 @@ def learn_domains(docs: DataFrame, labels: DataFrame, names: list[str], domain:
     sample = written(labelled_sample(docs, labels, {"domain": domain}, max_rows, id_col, text_col), "labelled")
 
     def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
         name = table["class"][0].as_py()
         row, slot, dense = table_features(table)
         y = np.array([d == name for d in table["domain"].to_pylist()], float)
@@ -62,43 +69,57 @@ def learn_domains(docs: DataFrame, labels: DataFrame, names: list[str], domain:
 
     each = sample.withColumn("class", F.explode(F.array(*[F.lit(n) for n in names])))
     found = {r["class"]: Linear(**pickle.loads(r["model"])) for r in each.groupBy("class").applyInArrow(one, "class string, model binary").collect()}
+    drop_written(sample)
     return Domains(names, [found.get(n) for n in names])
 
 
+@dataclass
 class Descent:
-    """A document's rate after the steps so far, from its posterior and the history of mismatches."""
+    """A document's rate after the steps so far, from its posterior and the history of steps."""
 
-    def __init__(self, ridge: float):
-        self.ridge, self.history = ridge, []
+    history: list[np.ndarray] = field(default_factory=list)
 
-    def rates(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rates, and the point from which the next step goes."""
+    def rates(self, p: np.ndarray) -> np.ndarray:
         r = np.ones(len(p))
-        y, t = r, 1.0
-        for g in self.history:
-            new = np.maximum(0.0, y - (p @ g + self.ridge * (y - 1)) / (1 + self.ridge))
-            s = (1 + np.sqrt(1 + 4 * t * t)) / 2
-            y, r, t = new + (t - 1) / s * (new - r), new, s
-        return r, y
+        for step in self.history:
+            r = np.maximum(0.0, r - p @ step)
+        return r
+
+
+@dataclass
+class Fit:
+    """``target`` and ``reached`` tokens by domain; whether each is within the tolerance of its own target."""
+
+    descent: Descent
+    target: dict[str, float]
+    reached: dict[str, float]
+    converged: bool
 
 
-def _sums(descent: Descent, d: int):
+def _sums(descent: Descent, k: int):
+    """Totals by domain, and the Gram matrix of the documents whose rates are over 0, a row each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at_r, at_y = np.zeros(d), np.zeros(d)
+        out = np.zeros((k + 1, k))
         for batch in batches:
             if batch.num_rows:
                 w = batch.column(0).to_numpy(zero_copy_only=False)
-                p = np.stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(d)], 1)
-                r, y = descent.rates(p)
-                at_r += (w * r) @ p
-                at_y += (w * y) @ p
-        yield pa.RecordBatch.from_arrays([pa.array(range(d), pa.int32()), pa.array(at_r), pa.array(at_y)], names=["d", "r", "y"])
+                p = np.stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(k)], 1)
+                r = descent.rates(p)
+                out[0] += (w * r) @ p
+                out[1:] += p.T @ (p * (w * (r > 0))[:, None])
+        yield pa.RecordBatch.from_arrays([pa.array(range(k + 1), pa.int32()), *(pa.array(np.ascontiguousarray(out[:, i])) for i in range(k))], names=["d", *(f"c{i}" for i in range(k))])
 
     return run
 
 
-def fit_rates(docs: DataFrame, domains: Domains, targets: dict[str, float], ridge: float = RIDGE, steps: int = STEPS, tolerance: float = TOLERANCE, text_col: str = "text") -> tuple[Descent, dict[str, tuple[float, float]]]:
-    """The descent, and (target, reached) token totals of each domain. Targets are shares of the corpus's tokens."""
+def _step(gram: np.ndarray, mismatch: np.ndarray) -> np.ndarray:
+    """The mismatch in the metric of the Gram matrix, which may be singular."""
+    return np.linalg.lstsq(gram, mismatch, rcond=1e-10)[0]
+
+
+def fit_rates(docs: DataFrame, domains: Domains, targets: dict[str, float], tolerance: float = TOLERANCE, steps: int = STEPS, text_col: str = "text") -> Fit:
+    """The descent and what it reached. Targets are shares of the corpus's tokens."""
     k = len(domains.names)
     schema = "w double, " + ", ".join(f"p{i} double" for i in range(k))
 
@@ -112,17 +133,36 @@ def fit_rates(docs: DataFrame, domains: Domains, targets: dict[str, float], ridg
     total = small.agg(F.sum("w")).first()[0] or 0.0
     share = np.array([targets[n] for n in domains.names], float)
     share /= share.sum()
-    descent, reached = Descent(ridge), np.zeros(k)
-    for _ in range(steps if total else 0):
-        rows = small.mapInArrow(_sums(descent, k), "d int, r double, y double").groupBy("d").agg(F.sum("r").alias("r"), F.sum("y").alias("y")).collect()
-        at = np.zeros((2, k))
-        for x in rows:
-            at[:, x["d"]] = x["r"] / total, x["y"] / total
-        reached = at[0]
-        if np.abs(reached - share).max() < tolerance:
-            break
-        descent.history.append(at[1] - share)
-    return descent, {n: (float(share[i] * total), float(reached[i] * total)) for i, n in enumerate(domains.names)}
+
+    def measured(descent: Descent) -> tuple[np.ndarray, np.ndarray]:
+        rows = small.mapInArrow(_sums(descent, k), "d int, " + ", ".join(f"c{i} double" for i in range(k))).groupBy("d").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)]).collect()
+        out = np.array([list(r)[1:] for r in sorted(rows)]) / total
+        return out[0], out[1:]
+
+    least = 1e-9 / k
+    off = lambda t: float((np.abs(t - share) / np.maximum(share, least)).max())
+    descent, reached = Descent(), np.zeros(k)
+    if total:
+        reached, gram = measured(descent)
+        for _ in range(steps):
+            if off(reached) <= tolerance:
+                break
+            step, scale = _step(gram, reached - share), 1.0
+            while scale > 1e-3:
+                tried = Descent([*descent.history, scale * step])
+                got, got_gram = measured(tried)
+                if np.linalg.norm(got - share) < np.linalg.norm(reached - share) * (1 - 1e-6):
+                    break
+                scale /= 2
+            else:
+                break
+            descent, reached, gram = tried, got, got_gram
+    drop_written(small)
+    converged = not total or off(reached) <= tolerance
+    if not converged:
+        warnings.warn(f"domain targets aren't reached: {dict(zip(domains.names, share, strict=True))} wanted, {dict(zip(domains.names, reached, strict=True))} reached", stacklevel=2)
+    told = lambda t: {n: float(x * total) for n, x in zip(domains.names, t, strict=True)}
+    return Fit(descent, told(share), told(reached), converged)
 
 
 def with_rates(docs: DataFrame, domains: Domains, descent: Descent, text_col: str = "text") -> DataFrame:
@@ -136,13 +176,19 @@ def with_rates(docs: DataFrame, domains: Domains, descent: Descent, text_col: st
         for part in slices(batches, "_text"):
             text = part.column("_text")
             p = domains.posteriors(text)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(words(text).offsets).astype(np.int64)), *(pa.array(np.ascontiguousarray(p[:, i])) for i in range(len(names))), pa.array(descent.rates(p)[0])], names=["_row", "n_tokens", *names, "rate"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(words(text).offsets).astype(np.int64)), *(pa.array(np.ascontiguousarray(p[:, i])) for i in range(len(names))), pa.array(descent.rates(p))], names=["_row", "n_tokens", *names, "rate"])
 
     return rows.mapInArrow(run, schema).select("_row.*", "n_tokens", *names, "rate")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Learns the domains from ``labels``, fits the rates to ``targets`` and returns ``with_rates``."""
+@dataclass
+class Mixed:
+    rows: DataFrame
+    fit: Fit
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", **options) -> Mixed:
+    """Learns the domains from ``labels`` and fits the rates to ``targets``: ``with_rates``, and what the fit reached."""
     domains = learn_domains(docs, labels, list(targets), id_col=id_col, text_col=text_col)
-    descent, _ = fit_rates(docs, domains, targets, text_col=text_col, **options)
-    return with_rates(docs, domains, descent, text_col)
+    found = fit_rates(docs, domains, targets, text_col=text_col, **options)
+    return Mixed(with_rates(docs, domains, found.descent, text_col), found)

@@ -1,18 +1,22 @@
-"""An interpolated modified Kneser-Ney bigram model, counted in Spark and scored from memory-mapped arrays.
-
-Tokens are lower-cased (A to Z) words and one end token a text; a text's first token follows a begin mark.
-
-1. Each task counts the bigrams of its texts and sends them, packed in columns, to parts by the second word; words that
-   are too common for one part are spread over ``SALT`` of them by the first word.
-2. A part sums its bigrams, stores them as sorted hash arrays in the shared folder, and passes on what its words and
-   contexts need: counts, continuation counts, and how many followers occurred once, twice or more.
-3. These are summed by word and stored in the same way. Only sums over all parts come to the driver: token and word
-   totals, and the counts of counts that give the discounts.
-4. Workers memory-map the arrays and look up the distinct bigrams of some texts at a time.
-
-All sizes follow the corpus: parts are as many as ``spark.sql.shuffle.partitions`` asks for. Files are written under a
-name of their own and then renamed, so a task that runs again leaves the same arrays. Words are told apart by 64 bits
-of hash, contexts by 48.
+"""An interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark and scored from memory-mapped arrays.
+
+Tokens are lower-cased (A to Z) words and one end token a text; a text's first tokens follow begin marks.
+
+1. Each task counts the words of its texts. Buckets of words sum them and number them, frequent ones first, so that
+   n-grams of numbers are small.
+2. Each task counts the n-grams (u, v, w) of its texts and sends them, packed in columns, to parts by the middle word v.
+   There both the context (u, v) and the suffix (v, w) of an n-gram are whole: a part stores its n-grams, its contexts
+   with their totals and how many followers occurred once, twice or more, and its suffixes with how many u they follow.
+   Words too common for one part are dealt to as many as their frequency asks for, by u; the suffixes of these meet
+   once more, by v and w.
+3. What words need as contexts and as the last part of an n-gram is summed by word and stored in the same way. Only sums
+   over all parts come to the driver: token and word totals, and the counts of counts that give the discounts.
+4. Workers memory-map the arrays and look up the distinct n-grams of some texts at a time.
+
+Arrays are sorted by hash: 32 bits and the bucket of each n-gram, and one byte that names its values in a table of the
+part's 255 most common ones; the rest have a sorted array of their own. Parts hold about ``PART_TOKENS`` tokens. Files
+are written under a name of their own and then renamed, so a task that runs again leaves the same arrays. Words and
+n-grams are told apart by 64 bits of hash when they are counted.
 
 Defined results: a null text is empty and has the end token alone. Without training texts every word is unknown and the
 model is uniform over one word. Repeated rows count each. Extra columns are passed over.
@@ -20,10 +24,10 @@ model is uniform over one word. Repeated rows count each. Extra columns are pass
 
 from __future__ import annotations
 
-import io
 import math
 import os
 import pickle
+import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,93 +38,124 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_text, mix, new_path, slices, words
+from .common import clean_text, drop_written, mix, new_path, slices, words, written
 
-BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0xE6546B64A5B3C7D9)
+END = np.uint64(0xE6546B64A5B3C7D9)
+#: Numbers of the begin mark and of an unknown word; words are numbered from 1.
+BEGIN, NONE = np.uint64(0), np.uint64(2**64 - 1)
 _G = np.uint64(0x9E3779B97F4A7C15)
-_TOP = np.uint64(16)
-SALT = 16
-#: Slots of the sketch that finds words too common for one part.
-SLOTS = 1 << 16
-CHUNK = 1_000_000
-
-
-def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each token, the one before it, and where each text's tokens begin."""
-    w = words(texts, lower=True)
-    n = len(w.offsets) - 1
-    off = w.offsets + np.arange(n + 1)
-    token = np.full(len(w.hash) + n, END)
-    last = np.zeros(len(token), bool)
-    last[off[1:] - 1] = True
-    token[~last] = w.hash
-    before = np.empty_like(token)
-    before[1:] = token[:-1]
-    before[off[:-1]] = BEGIN
-    return token, before, off
-
-
-def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SLOTS, np.int64)
-    for part in slices(batches, "text"):
-        token, _, _ = _tokens(part.column("text"))
-        total += np.bincount((token >> np.uint64(48)).astype(np.int64), minlength=SLOTS)
-    found = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["slot", "n"])
-
-
-def _part(token: np.ndarray, before: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
-    salt = np.where(hot[(token >> np.uint64(48)).astype(np.int64)], (before >> np.uint64(60)) % np.uint64(SALT), np.uint64(0))
-    return (mix(token + salt * _G) % np.uint64(parts)).astype(np.int64)
+#: Tokens that a task counts at a time, and that a part holds on average.
+CHUNK, PART_TOKENS = 1_500_000, 1_000_000
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin and end."""
+    begin = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.empty(0, np.int64)
+    return begin, np.append(begin[1:], len(x))[: len(begin)]
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(mix(a + _G) * _G + b)
+
+
+# Files ------------------------------------------------------------------------------------------------------------
+
+
+def _table(key: np.ndarray, values: np.ndarray) -> bytes:
+    """A sorted hash array of distinct ``key`` with rows of ``values`` (u8)."""
+    n, width = values.shape
+    order = np.argsort(key)
+    key, values = key[order], values[order]
+    bits = max(0, int(n // 16).bit_length() - 1)
+    low = (key >> np.uint64(32 - bits)).astype(np.uint32)
+    offsets = np.searchsorted(key, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.empty(0, np.int64)
+    offsets = np.concatenate([[0], offsets, [n]]).astype(np.uint64 if n >= 1 << 32 else np.uint32)
+    code = values[:, 0].copy()
+    for j in range(1, width):
+        code = _pair(code, values[:, j])
+    _, first, at, count = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+    common = np.argsort(-count, kind="stable")[:255]
+    number = np.full(len(count), 255, np.uint8)
+    number[common] = np.arange(len(common))
+    code = number[at] if n else np.empty(0, np.uint8)
+    rest = np.flatnonzero(code == 255)
+    head = np.array([n, width, bits, len(common), len(rest), offsets.itemsize, 0, 0], np.uint64)
+    parts = [head, values[first[common]] if n else values, key[rest], values[rest], offsets, low, code]
+    return b"".join(np.ascontiguousarray(p).tobytes() for p in parts)
+
+
+class Table:
+    """What ``_table`` wrote, over mapped memory."""
+
+    def __init__(self, raw: np.ndarray):
+        n, width, bits, common, rest, size = (int(x) for x in raw[:64].view(np.uint64)[:6])
+        at = 64
+
+        def take(count: int, kind) -> np.ndarray:
+            nonlocal at
+            out = raw[at : at + count * np.dtype(kind).itemsize].view(kind)
+            at += count * np.dtype(kind).itemsize
+            return out
+
+        self.n, self.width, self.bits = n, width, bits
+        self.common = take(common * width, np.uint64).reshape(common, width)
+        self.rest_key = take(rest, np.uint64)
+        self.rest = take(rest * width, np.uint64).reshape(rest, width)
+        self.offsets = take((1 << bits) + 1, np.uint32 if size == 4 else np.uint64)
+        self.low, self.code = take(n, np.uint32), take(n, np.uint8)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The values of each key; zeros where there is none."""
+        out = np.zeros((len(key), self.width), np.uint64)
+        if not self.n:
+            return out
+        bucket = (key >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(key), np.int64)
+        asked = (key >> np.uint64(32 - self.bits)).astype(np.uint32)
+        lo, end = self.offsets[bucket].astype(np.int64), self.offsets[bucket + 1].astype(np.int64)
+        hi = end.copy()
+        for _ in range(int((hi - lo).max(initial=0)).bit_length()):
+            mid = np.minimum((lo + hi) >> 1, self.n - 1)
+            less = (self.low[mid] < asked) & (lo < hi)
+            lo = np.where(less, mid + 1, lo)
+            hi = np.where(less, hi, np.maximum(mid, lo))
+        hit = np.flatnonzero((lo < end) & (self.low[np.minimum(lo, self.n - 1)] == asked))
+        code = self.code[lo[hit]]
+        usual = code < 255
+        out[hit[usual]] = self.common[code[usual]]
+        odd = hit[~usual]
+        if len(odd):
+            at = np.minimum(np.searchsorted(self.rest_key, key[odd]), len(self.rest_key) - 1)
+            same = self.rest_key[at] == key[odd]
+            out[odd[same]] = self.rest[at[same]]
+        return out
 
 
-def _small(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint8 if not len(x) or x.max() < 256 else np.uint32)
+class Words:
+    """Sorted word hashes of a bucket with their numbers and counts."""
 
+    KIND = np.dtype([("key", "<u8"), ("rank", "<u4"), ("count", "<u4")])
+    WIDE = np.dtype([("key", "<u8"), ("rank", "<u8"), ("count", "<u8")])
 
-def _bigrams(hot: np.ndarray, parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
-
-        def chunk(token: np.ndarray, before: np.ndarray) -> pa.RecordBatch:
-            _, first, count = np.unique(mix(before * _G + token), return_index=True, return_counts=True)
-            order = np.argsort(token[first])
-            first, count = first[order], count[order]
-            part = _part(token[first], before[first], hot, parts)
-            order = np.argsort(part, kind="stable")
-            first, count, part = first[order], count[order], part[order]
-            begin = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            blobs = []
-            for lo, hi in zip(begin, np.append(begin[1:], len(part)), strict=True):
-                t, b = token[first[lo:hi]], before[first[lo:hi]] >> _TOP
-                head = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-                cols = (t[head], _small(np.diff(np.append(head, len(t)))), (b >> _TOP).astype(np.uint32), (b & np.uint64(0xFFFF)).astype(np.uint16), _small(count[lo:hi]))
-                blobs.append(press.compress(pickle.dumps(cols, 5)))
-            return pa.RecordBatch.from_arrays([pa.array(part[begin].astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "blob"])
-
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        n = 0
-        for piece in slices(batches, "text"):
-            token, before, _ = _tokens(piece.column("text"))
-            # the context is kept by its first 48 bits throughout
-            held.append((token, before >> _TOP << _TOP))
-            n += len(token)
-            if n >= CHUNK:
-                yield chunk(*map(np.concatenate, zip(*held, strict=True)))
-                held, n = [], 0
-        if n:
-            yield chunk(*map(np.concatenate, zip(*held, strict=True)))
+    def __init__(self, raw: np.ndarray):
+        self.rows = raw[8:].view(self.WIDE if raw[0] else self.KIND)
 
-    return run
+    @classmethod
+    def bytes_of(cls, key: np.ndarray, rank: np.ndarray, count: np.ndarray) -> bytes:
+        wide = len(key) >= 1 << 32 or bool(len(count) and count.max() >= 1 << 32)
+        rows = np.empty(len(key), cls.WIDE if wide else cls.KIND)
+        rows["key"], rows["rank"], rows["count"] = key, rank, count
+        return bytes([wide]) + bytes(7) + rows.tobytes()
 
 
 class Store:
-    """Sorted hash arrays, a file for each kind and part, in a folder that all executors see."""
+    """Arrays, a file for each kind and part, in a folder that all executors see."""
+
+    KEPT = 20_000
 
     def __init__(self, path: str):
         self.path = path
         self.local = path.removeprefix("file://") if path.startswith(("file:", "/")) else None
-        self.open: dict[tuple[str, int], np.ndarray | None] = {}
+        self.open: dict[tuple[str, int], Table | Words | None] = {}
 
     def __getstate__(self):
         return self.path
@@ -133,159 +168,346 @@ class Store:
 
         return fs.FileSystem.from_uri(self.path)
 
-    def put(self, kind: str, part: int, rows: np.ndarray) -> None:
-        name, own = f"{kind}-{part}.npy", f".{kind}-{part}-{uuid.uuid4().hex}"
+    def put(self, kind: str, part: int, data: bytes) -> None:
+        name, own = f"{kind}-{part}", f".{kind}-{part}-{uuid.uuid4().hex}"
         if self.local:
             os.makedirs(self.local, exist_ok=True)
             with open(f"{self.local}/{own}", "wb") as f:
-                np.save(f, rows)
+                f.write(data)
             os.replace(f"{self.local}/{own}", f"{self.local}/{name}")
         else:
             files, root = self._remote()
-            held = io.BytesIO()
-            np.save(held, rows)
             files.create_dir(root, recursive=True)
             with files.open_output_stream(f"{root}/{own}") as f:
-                f.write(held.getvalue())
+                f.write(data)
             files.move(f"{root}/{own}", f"{root}/{name}")
 
-    def get(self, kind: str, part: int) -> np.ndarray | None:
+    def _mapped(self, name: str) -> np.ndarray | None:
+        if self.local:
+            return np.memmap(f"{self.local}/{name}", np.uint8, "r").view(np.ndarray) if os.path.exists(f"{self.local}/{name}") else None
+        from pyarrow import fs
+
+        files, root = self._remote()
+        if files.get_file_info(f"{root}/{name}").type == fs.FileType.NotFound:
+            return None
+        # a copy on the worker's own disk, which goes with the mapping
+        with tempfile.NamedTemporaryFile() as spool, files.open_input_stream(f"{root}/{name}") as f:
+            while block := f.read(1 << 22):
+                spool.write(block)
+            spool.flush()
+            return np.memmap(spool.name, np.uint8, "r").view(np.ndarray)
+
+    def get(self, kind: str, part: int) -> Table | Words | None:
         if (kind, part) not in self.open:
-            if len(self.open) > 4096:
+            if len(self.open) > self.KEPT:
                 self.open.clear()
-            name = f"{kind}-{part}.npy"
-            if self.local:
-                found = np.load(f"{self.local}/{name}", mmap_mode="r") if os.path.exists(f"{self.local}/{name}") else None
-            else:
-                from pyarrow import fs
-
-                files, root = self._remote()
-                there = files.get_file_info(f"{root}/{name}").type != fs.FileType.NotFound
-                found = np.load(io.BytesIO(files.open_input_file(f"{root}/{name}").read())) if there else None
-            self.open[kind, part] = found
+            raw = self._mapped(f"{kind}-{part}")
+            self.open[kind, part] = None if raw is None else (Words if kind == "word" else Table)(raw)
         return self.open[kind, part]
 
-    def find(self, kind: str, part: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """The stored rows of the keys; rows of zeros where there is none."""
-        dtype = DTYPES[kind]
-        out = np.zeros(len(key), dtype)
-        order = np.lexsort((key, part))
-        part, begin = part[order], None
-        begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
-        for lo, hi in zip(begin, np.append(begin[1:], len(part)), strict=True) if len(part) else ():
-            rows = self.get(kind, int(part[lo]))
-            if rows is None or not len(rows):
-                continue
-            asked = key[order[lo:hi]]
-            at = np.minimum(np.searchsorted(rows["key"], asked), len(rows) - 1)
-            hit = rows["key"][at] == asked
-            out[order[lo:hi][hit]] = rows[at[hit]]
+    @staticmethod
+    def _by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        for lo, hi in zip(*_runs(part), strict=True):
+            yield int(part[lo]), order[lo:hi]
+
+    def find(self, kind: str, width: int, part: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The stored values of the keys; zeros where there is none."""
+        out = np.zeros((len(key), width), np.uint64)
+        for p, at in self._by_part(part):
+            table = self.get(kind, p)
+            if table is not None:
+                out[at] = table.find(key[at])
         return out
 
+    def numbers(self, key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """The number and the count of each word hash; ``NONE`` and 0 for unknown ones."""
+        number, count = np.full(len(key), NONE), np.zeros(len(key), np.uint64)
+        for p, at in self._by_part((key % np.uint64(buckets)).astype(np.int64)):
+            held = self.get("word", p)
+            if held is None or not len(held.rows):
+                continue
+            place = np.minimum(np.searchsorted(held.rows["key"], key[at]), len(held.rows) - 1)
+            hit = held.rows["key"][place] == key[at]
+            number[at[hit]] = held.rows["rank"][place[hit]].astype(np.uint64) * np.uint64(buckets) + np.uint64(p + 1)
+            count[at[hit]] = held.rows["count"][place[hit]]
+        return number, count
+
 
-#: Counts of bigrams over 255 are also in an array of their own.
-DTYPES = {
-    "bigram": np.dtype([("key", "<u8"), ("count", "u1")]),
-    "many": np.dtype([("key", "<u8"), ("count", "<u8")]),
-    "word": np.dtype([("key", "<u8"), ("count", "<u8"), ("before", "<u4")]),
-    "context": np.dtype([("key", "<u8"), ("total", "<u8"), ("once", "<u4"), ("twice", "<u4"), ("more", "<u4")]),
-}
+# Counting ---------------------------------------------------------------------------------------------------------
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Each token's hash, and where each text's tokens begin."""
+    w = words(texts, lower=True)
+    n = len(w.offsets) - 1
+    off = w.offsets + np.arange(n + 1)
+    token = np.full(len(w.hash) + n, END)
+    last = np.zeros(len(token), bool)
+    last[off[1:] - 1] = True
+    token[~last] = w.hash
+    return token, off
+
+
+def _before(number: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token the number of the one before it, and of the one before that."""
+    v = np.empty_like(number)
+    v[1:] = number[:-1]
+    v[off[:-1]] = BEGIN
+    u = np.empty_like(v)
+    u[1:] = v[:-1]
+    u[off[:-1]] = BEGIN
+    return v, u
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers, a byte plane after the other, compressed."""
+    out = []
+    for c in columns:
+        c = np.ascontiguousarray(c, np.uint64)
+        size = max(1, (int(c.max(initial=0)).bit_length() + 7) // 8)
+        out.append((size, c.view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(out, 5))
+
+
+def _unpacked(blob: bytes) -> list[np.ndarray]:
+    out = []
+    for size, raw in pickle.loads(zstandard.ZstdDecompressor().decompress(blob)):
+        planes = np.frombuffer(raw, np.uint8).reshape(size, -1)
+        wide = np.zeros((planes.shape[1], 8), np.uint8)
+        wide[:, :size] = planes.T
+        out.append(wide.view(np.uint64).ravel())
+    return out
+
+
+BLOBS = "kind string, target int, blob binary"
+
+
+def _blobs(kind: str, target: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """Rows dealt to targets, packed by target in the order they have."""
+    order = np.argsort(target, kind="stable")
+    target = target[order]
+    begin, end = _runs(target)
+    found = [_packed(*(c[order[lo:hi]] for c in columns)) for lo, hi in zip(begin, end, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(found), pa.string()), pa.array(target[begin].astype(np.int32)), pa.array(found, pa.binary())], names=["kind", "target", "blob"])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The columns of each target, whose blobs lie one after the other."""
+    target, blobs = None, []
+
+    def whole():
+        return target, [np.concatenate(c) for c in zip(*map(_unpacked, blobs), strict=True)]
+
+    for b in batches:
+        for t, blob in zip(b.column("target").to_pylist(), b.column("blob").to_pylist(), strict=True):
+            if t != target and blobs:
+                yield whole()
+                blobs = []
+            target = t
+            blobs.append(blob)
+    if blobs:
+        yield whole()
 
 
 def _grouped(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Where each distinct key first is, and the sums of its values."""
     order = np.argsort(key, kind="stable")
-    key = key[order]
-    head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    return key[head], *(np.add.reduceat(v[order], head) for v in values)
-
-
-def _merge(store: Store, parts: int):
-    """Stores each part's bigrams and passes on what words (bucket: part) and contexts (bucket: parts + part) need."""
-    names = ["bucket", "w", "x", "y", "z", "v"]
-
-    def one(part: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdDecompressor()
-        cols = [pickle.loads(press.decompress(b)) for b in blobs]
-        token = np.concatenate([np.repeat(c[0], c[1]) for c in cols])
-        before = np.concatenate([(c[2].astype(np.uint64) << _TOP | c[3]) << _TOP for c in cols])
-        count = np.concatenate([c[4].astype(np.int64) for c in cols])
-        key = mix(before * _G + token)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        key, count, token, before = key[head], np.add.reduceat(count[order], head), token[order[head]], before[order[head]]
-        rows = np.empty(len(key), DTYPES["bigram"])
-        rows["key"], rows["count"] = key, np.minimum(count, 255)
-        store.put("bigram", part, rows)
-        over = count >= 255
-        if over.any():
-            rows = np.empty(int(over.sum()), DTYPES["many"])
-            rows["key"], rows["count"] = key[over], count[over]
-            store.put("many", part, rows)
-        w, c, n = _grouped(token, count, np.ones(len(token), np.int64))
-        none = np.zeros(len(w), np.int64)
-        yield batch(mix(w), 0, w, c, n, none, none)
-        w, a, b, m, c = _grouped(before, (count == 1).astype(np.int64), (count == 2).astype(np.int64), (count > 2).astype(np.int64), count)
-        yield batch(mix(w), parts, w, a, b, m, c)
-        told = np.array([(count == k).sum() for k in (1, 2, 3, 4)])
-        yield pa.RecordBatch.from_arrays([pa.array([-1, -2], pa.int32()), pa.array([0, 0], pa.int64()), pa.array(told[[0, 2]]), pa.array(told[[1, 3]]), pa.array([0, 0], pa.int64()), pa.array([0, 0], pa.int64())], names=names)
-
-    def batch(mixed: np.ndarray, base: int, w: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
-        bucket = (mixed % np.uint64(parts)).astype(np.int32) + base
-        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(w.view(np.int64)), *map(pa.array, values)], names=names)
+    head, _ = _runs(key[order])
+    return order[head], *(np.add.reduceat(v[order], head) if len(key) else v for v in values)
+
 
+def _classes(count: np.ndarray) -> list[np.ndarray]:
+    return [(count == 1).astype(np.uint64), (count == 2).astype(np.uint64), (count > 2).astype(np.uint64)]
+
+
+def _dealt(of: DataFrame, n: int) -> DataFrame:
+    return of.repartition(n, "target").sortWithinPartitions("target").select("target", "blob")
+
+
+def _count_words(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, blobs = None, []
-        for b in batches:
-            for p, blob in zip(b.column("part").to_pylist(), b.column("blob").to_pylist(), strict=True):
-                if p != part and blobs:
-                    yield from one(part, blobs)
-                    blobs = []
-                part = p
-                blobs.append(blob)
-        if blobs:
-            yield from one(part, blobs)
+        held, n = [], 0
+
+        def chunk() -> pa.RecordBatch:
+            key, count = np.unique(np.concatenate(held), return_counts=True)
+            return _blobs("words", (key % np.uint64(buckets)).astype(np.int64), key, count)
+
+        for part in slices(batches, "text"):
+            token, _ = _tokens(part.column("text"))
+            held.append(token)
+            n += len(token)
+            if n >= 2 * CHUNK:
+                yield chunk()
+                held, n = [], 0
+        if n:
+            yield chunk()
+
+    return run
+
+
+SUMS = "what string, a long, b long, c long, d long"
+
+
+def _told(what: str, *values) -> pa.RecordBatch:
+    values = [*map(int, values), *[0] * (4 - len(values))]
+    return pa.RecordBatch.from_arrays([pa.array([what]), *(pa.array([v], pa.int64()) for v in values)], names=["what", "a", "b", "c", "d"])
+
+
+def _number_words(store: Store):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, (key, count) in _gathered(batches):
+            at, count = _grouped(key, count)
+            key = key[at]
+            rank = np.empty(len(key), np.uint64)
+            rank[np.argsort(-count.astype(np.int64), kind="stable")] = np.arange(len(key), dtype=np.uint64)
+            store.put("word", bucket, Words.bytes_of(key, rank, count))
+            yield _told("words", len(key), count.sum())
 
     return run
 
 
-def _keep(store: Store, parts: int):
-    """Stores words and contexts; returns, by bucket, what is summed over all of them."""
-    names = ["what", "a", "b", "c", "d", "e", "f"]
-
-    def one(bucket: int, t: pa.Table) -> pa.RecordBatch:
-        w, x, y, z, v = (t[c].to_numpy() for c in ("w", "x", "y", "z", "v"))
-        if bucket < 0:
-            return row("pairs" if bucket == -1 else "more pairs", int(x.sum()), int(y.sum()), 0, 0, 0, 0)
-        w = w.view(np.uint64)
-        order = np.argsort(w)
-        if bucket < parts:
-            rows = np.empty(len(w), DTYPES["word"])
-            rows["key"], rows["count"], rows["before"] = w[order], x[order], y[order]
-            store.put("word", bucket, rows)
-            return row("words", len(w), int(x.sum()), *(int((y == k).sum()) for k in (1, 2, 3, 4)))
-        rows = np.empty(len(w), DTYPES["context"])
-        rows["key"], rows["total"], rows["once"], rows["twice"], rows["more"] = w[order], v[order], x[order], y[order], z[order]
-        store.put("context", bucket - parts, rows)
-        return row("contexts", len(w), int((x + y + z).sum()), 0, 0, 0, 0)
-
-    def row(what: str, *values: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([what]), *(pa.array([v], pa.int64()) for v in values)], names=names)
+def _common_words(store: Store, buckets: int, least: int):
+    """Words with more tokens than ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
         for b in batches:
-            cuts = np.flatnonzero(np.diff(b.column("bucket").to_numpy())) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
-                piece = b.slice(lo, hi - lo)
-                if not piece.num_rows:
-                    continue
-                if held and held[0].column("bucket")[0].as_py() != piece.column("bucket")[0].as_py():
-                    yield one(held[0].column("bucket")[0].as_py(), pa.Table.from_batches(held))
-                    held = []
-                held.append(piece)
-        if held:
-            yield one(held[0].column("bucket")[0].as_py(), pa.Table.from_batches(held))
+            for bucket in b.column(0).to_pylist():
+                held = store.get("word", bucket)
+                if held is not None:
+                    at = np.flatnonzero(held.rows["count"] > least)
+                    number = held.rows["rank"][at].astype(np.uint64) * np.uint64(buckets) + np.uint64(bucket + 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(number.view(np.int64)), pa.array(held.rows["count"][at].astype(np.int64))], names=["number", "count"])
+
+    return run
+
+
+@dataclass
+class Layout:
+    """Where n-grams lie. ``common`` (sorted): the words dealt to several parts, and to how many; at most two a part."""
+
+    order: int
+    buckets: int
+    parts: int
+    common: np.ndarray
+    times: np.ndarray
+
+    def is_common(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.common):
+            return np.zeros(len(v), bool), np.zeros(len(v), np.int64)
+        at = np.minimum(np.searchsorted(self.common, v), len(self.common) - 1)
+        return self.common[at] == v, at
+
+    def part(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        hit, at = self.is_common(v)
+        salt = np.zeros(len(v), np.uint64)
+        if hit.any():
+            salt[hit] = mix((u if self.order == 3 else w)[hit] + _G) % self.times[at[hit]]
+        return (_pair(v, salt) % np.uint64(self.parts)).astype(np.int64)
+
+    def suffix_part(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """For suffixes of common words."""
+        return (_pair(w, v) % np.uint64(self.parts)).astype(np.int64)
+
+    def bucket(self, number: np.ndarray) -> np.ndarray:
+        return (number % np.uint64(self.buckets)).astype(np.int64)
+
+
+def _numbered(store: Store, buckets: int, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    known, at = np.unique(token, return_inverse=True)
+    number, count = store.numbers(known, buckets)
+    return number[at], count[at]
+
+
+def _ngrams(store: Store, layout: Layout):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        n = 0
+
+        def chunk() -> pa.RecordBatch:
+            w, v, u = (np.concatenate(c) for c in zip(*held, strict=True))
+            if layout.order == 2:
+                u = np.zeros(len(w), np.uint64)
+            _, first, count = np.unique(_pair(_pair(u, v), w), return_index=True, return_counts=True)
+            u, v, w = u[first], v[first], w[first]
+            order = np.lexsort((w, u, v))
+            u, v, w, count = u[order], v[order], w[order], count[order]
+            return _blobs("ngrams", layout.part(u, v, w), u, v, w, count)
+
+        for piece in slices(batches, "text"):
+            token, off = _tokens(piece.column("text"))
+            number, _ = _numbered(store, layout.buckets, token)
+            held.append((number, *_before(number, off)))
+            n += len(token)
+            if n >= CHUNK:
+                yield chunk()
+                held, n = [], 0
+        if n:
+            yield chunk()
+
+    return run
+
+
+def _suffixes(store: Store, layout: Layout, kind: str, part: int, v: np.ndarray, w: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Stores distinct (v, w) with their counts, and passes on what v needs as a context and w as a word."""
+    store.put(kind, part, _table(_pair(v, w), count[:, None]))
+    yield pa.RecordBatch.from_arrays([pa.array(["told"]), pa.array([1], pa.int32()), pa.array([pickle.dumps([int((count == k).sum()) for k in (1, 2, 3, 4)])], pa.binary())], names=["kind", "target", "blob"])
+    at, total, *classes = _grouped(v, count, *_classes(count))
+    none = np.zeros(len(at), np.uint64)
+    yield _blobs("words", layout.bucket(v[at]), v[at], none, total, *classes)
+    at, kinds = _grouped(w, np.ones(len(w), np.uint64))
+    none = np.zeros(len(at), np.uint64)
+    yield _blobs("words", layout.bucket(w[at]), w[at], kinds, none, none, none, none)
+
+
+def _merge(store: Store, layout: Layout):
+    """Stores each part's n-grams, contexts and suffixes; the suffixes of common words go on to meet once more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, (u, v, w, count) in _gathered(batches):
+            key = _pair(_pair(u, v), w)
+            at, count = _grouped(key, count)
+            key, u, v, w = key[at], u[at], v[at], w[at]
+            adjusted = count
+            if layout.order == 3:
+                store.put("ngram", part, _table(key, count[:, None]))
+                context = _pair(u, v)
+                at, total, *classes = _grouped(context, count, *_classes(count))
+                store.put("context", part, _table(context[at], np.stack([total, *classes], 1)))
+                told = pickle.dumps([int((count == k).sum()) for k in (1, 2, 3, 4)])
+                yield pa.RecordBatch.from_arrays([pa.array(["told"]), pa.array([0], pa.int32()), pa.array([told], pa.binary())], names=["kind", "target", "blob"])
+                # what begins a text follows nothing, so it keeps its count
+                adjusted = np.where(v == BEGIN, count, np.uint64(1))
+            at, adjusted = _grouped(_pair(v, w), adjusted)
+            v, w = v[at], w[at]
+            common, _ = layout.is_common(v)
+            if common.any():
+                yield _blobs("shared", layout.suffix_part(v[common], w[common]), v[common], w[common], adjusted[common])
+            yield from _suffixes(store, layout, "suffix", part, v[~common], w[~common], adjusted[~common])
+
+    return run
+
+
+def _merge_shared(store: Store, layout: Layout):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, (v, w, count) in _gathered(batches):
+            at, count = _grouped(_pair(v, w), count)
+            yield from _suffixes(store, layout, "shared", part, v[at], w[at], count)
+
+    return run
+
+
+def _keep(store: Store):
+    """Stores what words need; returns, by bucket, what is summed over all of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, (number, *values) in _gathered(batches):
+            at, *values = _grouped(number, *values)
+            store.put("unigram", bucket, _table(mix(number[at]), np.stack(values, 1)))
+            kinds = values[0]
+            yield _told("kinds", *((kinds == k).sum() for k in (1, 2, 3, 4)))
+            yield _told("totals", kinds.sum(), (kinds > 2).sum())
 
     return run
 
@@ -300,84 +522,123 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return 0.5, 1.0, 1.5
 
 
+_FALLBACK = (0.5, 1.0, 1.5)
+
+
 @dataclass
 class Model:
     store: Store
-    parts: int
-    hot: np.ndarray
-    n_tokens: int
-    n_words: int
-    n_texts: int
-    n_bigrams: int
-    pair_discounts: tuple[float, float, float]
-    word_discounts: tuple[float, float, float]
-    word_classes: tuple[int, int, int] = field(default=(0, 0, 0))
-
-
-def train(docs: DataFrame, text_col: str = "text") -> Model:
-    """Counts all of ``docs``. What comes to the driver is a sketch of ``SLOTS`` numbers and a row of sums a bucket."""
+    layout: Layout
+    n_tokens: int = 0
+    n_words: int = 0
+    #: Distinct pairs of words that follow each other, and words by how many others they follow: 1, 2 or more.
+    n_pairs: int = 0
+    word_classes: tuple[int, int, int] = (0, 0, 0)
+    ngram_discounts: tuple[float, float, float] = _FALLBACK
+    suffix_discounts: tuple[float, float, float] = _FALLBACK
+    word_discounts: tuple[float, float, float] = field(default=_FALLBACK)
+
+
+def train(docs: DataFrame, text_col: str = "text", order: int = 3) -> Model:
+    """Counts all of ``docs``. What comes to the driver is at most two words a part, and sums over all parts."""
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     spark = docs.sparkSession
     source = docs.select(clean_text(text_col).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = 4 * n
-    found = source.mapInArrow(_common, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    often = np.zeros(SLOTS, np.int64)
-    often[found["slot"].to_numpy()] = found["n"].to_numpy()
-    hot = often > max(1, often.sum() / parts / 2)
+    buckets = 4 * n
     store = Store(new_path(spark, "ngrams"))
-    blobs = source.mapInArrow(_bigrams(hot, parts), "part int, blob binary").repartition(n, "part").sortWithinPartitions("part")
-    sums = blobs.mapInArrow(_merge(store, parts), "bucket int, w long, x long, y long, z long, v long").repartition(n, "bucket").groupBy("bucket", "w").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("z").alias("z"), F.sum("v").alias("v"))
-    told = sums.sortWithinPartitions("bucket").mapInArrow(_keep(store, parts), "what string, a long, b long, c long, d long, e long, f long").groupBy("what").agg(*[F.sum(c).alias(c) for c in "abcdef"]).collect()
-    told = {r["what"]: r for r in told}
-    texts = source.count()
-    if not texts:
-        return Model(store, parts, hot, 0, 0, 0, 0, (0.5, 1.0, 1.5), (0.5, 1.0, 1.5))
-    w, p, q = told["words"], told["pairs"], told["more pairs"]
-    bigrams = told["contexts"]["b"]
-    classes = (w["c"], w["d"], w["a"] - w["c"] - w["d"])
-    return Model(store, parts, hot, w["b"], w["a"], texts, bigrams, discounts(p["a"], p["b"], q["a"], q["b"]), discounts(w["c"], w["d"], w["e"], w["f"]), classes)
+    empty = Layout(order, buckets, 1, np.empty(0, np.uint64), np.empty(0, np.uint64))
+    counted = written(_dealt(source.mapInArrow(_count_words(buckets), BLOBS), n).mapInArrow(_number_words(store), SUMS), "sums")
+    n_words, n_tokens = counted.agg(F.sum("a"), F.sum("b")).first()
+    drop_written(counted)
+    if not n_words:
+        return Model(store, empty)
+    parts = max(n, -(-n_tokens // PART_TOKENS))
+    least = max(1, n_tokens // parts // 2)
+    found = spark.range(0, buckets, 1, n).mapInArrow(_common_words(store, buckets, least), "number long, count long").toArrow()
+    common, often = found["number"].to_numpy().view(np.uint64), found["count"].to_numpy()
+    by = np.argsort(common)
+    layout = Layout(order, buckets, parts, common[by], (often[by] // least + 1).astype(np.uint64))
+    sums = written(_dealt(source.mapInArrow(_ngrams(store, layout), BLOBS), n).mapInArrow(_merge(store, layout), BLOBS), "sums")
+    shared = written(_dealt(sums.where("kind = 'shared'"), n).mapInArrow(_merge_shared(store, layout), BLOBS), "sums")
+    both = sums.where("kind <> 'shared'").unionByName(shared)
+    words_ = written(_dealt(both.where("kind = 'words'"), n).mapInArrow(_keep(store), SUMS), "sums")
+    told = {r["what"]: r for r in words_.groupBy("what").agg(*[F.sum(c).alias(c) for c in "abcd"]).collect()}
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for level, blob in zip(b.column("target").to_pylist(), b.column("blob").to_pylist(), strict=True):
+                yield _told(str(level), *pickle.loads(blob))
+
+    levels = {r["what"]: discounts(*list(r)[1:]) for r in both.where("kind = 'told'").select("target", "blob").mapInArrow(unfold, SUMS).groupBy("what").agg(*[F.sum(c).alias(c) for c in "abcd"]).collect()}
+    drop_written(sums, shared, words_)
+    k, t = told["kinds"], told["totals"]
+    return Model(store, layout, n_tokens, n_words, t["a"], (k["a"], k["b"], t["b"]), levels.get("0", _FALLBACK), levels["1"], discounts(k["a"], k["b"], k["c"], k["d"]))
+
+
+# Scoring ----------------------------------------------------------------------------------------------------------
 
 
 def _off(count: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(count, 3).astype(np.int64)]
 
 
-def probabilities(model: Model, token: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(token | before) of each pair, and the token's training count."""
-    P, parts = model.store, np.uint64(model.parts)
-    before = before >> _TOP << _TOP
-    w, w_at = np.unique(token, return_inverse=True)
-    word = P.find("word", (mix(w) % parts).astype(np.int64), w)
-    b, b_at = np.unique(before, return_inverse=True)
-    context = P.find("context", (mix(b) % parts).astype(np.int64), b)
-    key, first, at = np.unique(mix(before * _G + token), return_index=True, return_inverse=True)
-    where = _part(token[first], before[first], model.hot, model.parts)
-    count = P.find("bigram", where, key)["count"].astype(np.int64)
-    many = np.flatnonzero(count == 255)
-    count[many] = P.find("many", where[many], key[many])["count"]
-    if not model.n_bigrams:
-        return np.full(len(token), 1.0 / (model.n_words + 1)), word["count"][w_at].astype(np.int64)
-    kinds = word["before"].astype(np.int64)
-    left = sum(d * m for d, m in zip(model.word_discounts, model.word_classes, strict=True)) / model.n_bigrams
-    alone = np.maximum(kinds - _off(kinds, model.word_discounts), 0) / model.n_bigrams + left / (model.n_words + 1)
-    d1, d2, d3 = model.pair_discounts
-    once, twice, more, total = (context[c].astype(float) for c in ("once", "twice", "more", "total"))
-    spare = np.where(total > 0, (d1 * once + d2 * twice + d3 * more) / np.maximum(total, 1), 1.0)
-    own = np.maximum(count - _off(count, model.pair_discounts), 0)[at] / np.maximum(total[b_at], 1)
-    return own + spare[b_at] * alone[w_at], word["count"][w_at].astype(np.int64)
+def _mixed(count: np.ndarray, context: np.ndarray, d: tuple[float, float, float], lower: np.ndarray) -> np.ndarray:
+    """The discounted share of the n-gram in its context (total, followers by class), and the rest by the lower order."""
+    total, once, twice, more = (context[:, j].astype(float) for j in range(4))
+    count = count.astype(float)
+    own = np.maximum(count - _off(count, d), 0) / np.maximum(total, 1)
+    spare = np.where(total > 0, (d[0] * once + d[1] * twice + d[2] * more) / np.maximum(total, 1), 1.0)
+    return own + spare * lower
+
+
+def probabilities(model: Model, token: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(token | the tokens before it) of each token of some texts, and its training count."""
+    P, layout = model.store, model.layout
+    if not model.n_pairs:
+        return np.full(len(token), 1.0 / (model.n_words + 1)), np.zeros(len(token), np.uint64)
+    number, counts = _numbered(P, layout.buckets, token)
+    v, u = _before(number, off)
+    if layout.order == 2:
+        u = np.zeros(len(v), np.uint64)
+    _, first, back = np.unique(_pair(_pair(u, v), number), return_index=True, return_inverse=True)
+    u, v, w = u[first], v[first], number[first]
+    words_, at = np.unique(np.concatenate([w, v]), return_inverse=True)
+    told = P.find("unigram", 5, layout.bucket(words_), mix(words_))
+    w_at, v_at = at[: len(w)], at[len(w) :]
+    kinds = told[:, 0].astype(float)
+    left = sum(d * m for d, m in zip(model.word_discounts, model.word_classes, strict=True)) / model.n_pairs
+    lower = (np.maximum(kinds - _off(kinds, model.word_discounts), 0) / model.n_pairs + left / (model.n_words + 1))[w_at]
+    key, some, again = np.unique(_pair(v, w), return_index=True, return_inverse=True)
+    common, _ = layout.is_common(v[some])
+    count = np.zeros(len(key), np.uint64)
+    for kind, mine, part in (("suffix", ~common, layout.part), ("shared", common, None)):
+        x, y = v[some[mine]], w[some[mine]]
+        if len(x):
+            where = part(x, x, y) if part else layout.suffix_part(x, y)
+            count[mine] = P.find(kind, 1, where, key[mine])[:, 0]
+    p = _mixed(count[again], told[v_at, 1:], model.suffix_discounts, lower)
+    if layout.order == 3:
+        part = layout.part(u, v, w)
+        count = P.find("ngram", 1, part, _pair(_pair(u, v), w))[:, 0]
+        key, some, again = np.unique(_pair(u, v), return_index=True, return_inverse=True)
+        context = P.find("context", 4, part[some], key)[again]
+        p = _mixed(count, context, model.ngram_discounts, p)
+    return p[back], counts
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """``keep, n_tokens, n_known, base_score, score`` of every row: log10 probabilities of whole texts."""
     source = docs.select(*keep, clean_text(text_col).alias("_text"))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema) + "n_tokens long, n_known long, base_score double, score double"
-    m = model  # goes with the function: a path, a few sums and SLOTS flags
+    m = model  # goes with the function: a path, a few sums, and at most two words a part
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_text", 4_000_000):
-            token, before, off = _tokens(part.column("_text"))
-            p, count = probabilities(m, token, before)
-            base = np.log10((count + 1) / (m.n_tokens + m.n_words + 1))
+            token, off = _tokens(part.column("_text"))
+            p, count = probabilities(m, token, off)
+            base = np.log10((count.astype(float) + 1) / (m.n_tokens + m.n_words + 1))
             add = lambda x: np.add.reduceat(x, off[:-1])  # noqa: E731  every text has a token
             yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(keep))], pa.array(np.diff(off)), pa.array(add((count > 0).astype(np.int64))), pa.array(add(base)), pa.array(add(np.log10(p)))], names=[*keep, "n_tokens", "n_known", "base_score", "score"])
 

@@ -113,7 +113,7 @@ def host_verdicts(measured: DataFrame, host_col: str = "source", rules: tuple[Ho
     """
     fails = [F.sum(F.expr(r.fails).cast("long")).cast("double").alias(f"k_{r.name}") for r in rules]
     hosts = measured.where(F.col(host_col).isNotNull()).groupBy(host_col).agg(F.count(F.lit(1)).cast("double").alias("n_docs"), *fails)
-    hosts = written(hosts, "hosts")
+    hosts = written(hosts, "hosts")  # also lets a host with very many rows be dealt to several tasks when it is joined
     moments = [x for r in rules for x in (F.avg(F.col(f"k_{r.name}") / F.col("n_docs")).alias(f"m_{r.name}"), F.var_samp(F.col(f"k_{r.name}") / F.col("n_docs")).alias(f"v_{r.name}"))]
     found = hosts.agg(F.sum("n_docs").alias("n"), *moments).first()
     rates, bad = [], F.lit(False)
@@ -135,13 +135,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
-def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", rules: tuple[HostRule, ...] = HOST_RULES) -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns. The document rules are applied again in place of a join by id."""
+def filter_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source", rules: tuple[HostRule, ...] = HOST_RULES) -> DataFrame:
+    """The rows of ``docs`` that pass, with their columns. Each text is measured once; rows that fail alone go at once."""
     names = docs.columns
-    measured = measures(docs, text_col, (id_col, host_col)).withColumn("base_failed", F.expr(BASE_FAILED))
-    bad = host_verdicts(measured, host_col, rules).where("host_rejected").select(host_col)
-    kept = docs.join(bad, host_col, "left_anti") if host_col in names else docs
-    lean = measures(kept.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in names])), text_col, ("_row",))
-    # a filter that the optimiser may push down would be written out in terms of the text, many times over
-    lean = lean.withColumn("_at", F.monotonically_increasing_id())
-    return lean.where(~F.expr(BASE_FAILED) & (F.col("_at") >= 0)).select("_row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(host_col).alias("_host") if host_col in names else F.lit(None).cast("string").alias("_host"), F.col(text_col).alias("_whole"))
+    measured = measures(rows, "_whole", ("_row", "_host")).withColumn("base_failed", F.expr(BASE_FAILED))
+    measured = written(measured.withColumn("_row", F.when(~F.col("base_failed"), F.col("_row"))), "measures")
+    bad = host_verdicts(measured, "_host", rules).where("host_rejected").select("_host")
+    return measured.where(~F.col("base_failed")).join(bad, "_host", "left_anti").select("_row.*")

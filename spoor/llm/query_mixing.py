@@ -14,4 +14,4 @@ TARGETS = {"good": 0.9, "rough": 0.08, "toxic": 0.02}
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), TARGETS).drop("text")
+    return mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), TARGETS).rows.drop("text")

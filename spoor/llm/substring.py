@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, clean_text, mix, release, slices, words, written
+from .common import Words, clean_text, mix, slices, words, written
 from .fm_index import FMIndex, repeated_windows
 
 WINDOW = 35
@@ -213,8 +213,10 @@ def _keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 def _written_units(docs: DataFrame, window: int, gram: int, hot: int, id_col: str, text_col: str) -> DataFrame:
     source = _keyed(docs, text_col, id_col)
     keys = source.mapInArrow(_keys(window, gram), "id long, th long, start int, key long")
-    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    asked = keys.join(often, "key").groupBy("id", "th").agg(F.collect_list(F.when(F.col("n") <= hot, F.col("start"))).alias("starts"), F.collect_list(F.when(F.col("n") > hot, F.col("start"))).alias("hot"))
+    # written, so that a key that very many segments have is dealt to several tasks when it is joined (skew join)
+    often = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
+    # sets: rows with one id and text ask once
+    asked = keys.join(often.hint("merge"), "key").groupBy("id", "th").agg(F.collect_set(F.when(F.col("n") <= hot, F.col("start"))).alias("starts"), F.collect_set(F.when(F.col("n") > hot, F.col("start"))).alias("hot"))
     asked = source.join(asked, ["id", "th"]).select("id", "th", "text", "starts", "hot")
     return written(asked.mapInArrow(_units(window, gram), "id long, th long, start int, key long, s1 long, s2 long, content binary, sight byte"), "units")
 
@@ -224,11 +226,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     if not 0 < gram <= window <= gram + RUN - 1:
         raise ValueError(f"gram must be from window - {RUN - 1} to window")
     units = _written_units(docs, window, gram, hot, id_col, text_col)
-    release(docs.sparkSession)  # of the shuffles that led to the units
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shards = units.where("sight > 0").select("key", "s1", "s2", "content").repartition(n, "key").sortWithinPartitions("key", "s1", "s2")
-    found = shards.mapInArrow(_search(window), "s1 long, s2 long, mask long")
-    return units.select("id", "th", "start", "s1", "s2").join(found, ["s1", "s2"]).groupBy("id", "th").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
+    found = written(shards.mapInArrow(_search(window), "s1 long, s2 long, mask long"), "masks")
+    return units.select("id", "th", "start", "s1", "s2").join(found, ["s1", "s2"]).groupBy("id", "th").agg(F.collect_set(F.struct("start", "mask")).alias("spans"))
 
 
 def _strip(window: int):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import clean_text, new_path, slices
+from .common import clean_text, new_path, slices, written
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
 
@@ -89,6 +89,7 @@ def count_tokens(docs: DataFrame, model_path: str, cache_path: str | None = None
         lacking = lacking.join(stored().select("content_digest"), "content_digest", "left_anti")
     lacking.dropDuplicates(["content_digest"]).mapInArrow(_encode(model_path, version), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     # two runs that append at one time may both have encoded a text; their counts are equal
-    counts = stored().groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # (written, so that a text with very many copies is dealt to several tasks when it is joined)
+    counts = written(stored().groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     rows = keyed.select(id_col, "content_digest", F.octet_length("text").cast("long").alias("n_bytes"))
     return rows.join(counts, "content_digest", "inner").select(id_col, "content_digest", "n_bytes", "n_tokens")
