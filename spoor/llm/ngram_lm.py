@@ -45,7 +45,7 @@ END = np.uint64(0xE6546B64A5B3C7D9)
 BEGIN, NONE = np.uint64(0), np.uint64(2**64 - 1)
 _G = np.uint64(0x9E3779B97F4A7C15)
 #: Tokens that a task counts at a time, and that a part holds on average.
-CHUNK, PART_TOKENS = 1_500_000, 1_000_000
+CHUNK, PART_TOKENS = 1_500_000, 500_000
 
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -262,22 +262,27 @@ def _before(number: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _packed(*columns: np.ndarray) -> bytes:
-    """Columns of whole numbers, a byte plane after the other, compressed."""
-    out = []
+    """Columns of whole numbers, a byte plane after the other; compressed where there is enough of them."""
+    sizes, planes = [], []
     for c in columns:
         c = np.ascontiguousarray(c, np.uint64)
-        size = max(1, (int(c.max(initial=0)).bit_length() + 7) // 8)
-        out.append((size, c.view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()))
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(out, 5))
+        sizes.append(max(1, (int(c.max(initial=0)).bit_length() + 7) // 8))
+        planes.append(c.view(np.uint8).reshape(-1, 8)[:, : sizes[-1]].T.tobytes())
+    raw = b"".join(planes)
+    press = len(raw) > 200
+    return bytes([press, len(sizes), *sizes]) + (zstandard.ZstdCompressor(level=3).compress(raw) if press else raw)
 
 
 def _unpacked(blob: bytes) -> list[np.ndarray]:
-    out = []
-    for size, raw in pickle.loads(zstandard.ZstdDecompressor().decompress(blob)):
-        planes = np.frombuffer(raw, np.uint8).reshape(size, -1)
+    press, width = blob[0], blob[1]
+    sizes, raw = blob[2 : 2 + width], blob[2 + width :]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw) if press else raw, np.uint8).reshape(sum(sizes), -1)
+    out, at = [], 0
+    for size in sizes:
         wide = np.zeros((planes.shape[1], 8), np.uint8)
-        wide[:, :size] = planes.T
+        wide[:, :size] = planes[at : at + size].T
         out.append(wide.view(np.uint64).ravel())
+        at += size
     return out
 
 
@@ -293,6 +298,29 @@ def _blobs(kind: str, target: np.ndarray, *columns: np.ndarray) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array([kind] * len(found), pa.string()), pa.array(target[begin].astype(np.int32)), pa.array(found, pa.binary())], names=["kind", "target", "blob"])
 
 
+class _Gather:
+    """Rows of a task that go to targets by ``target`` of their first columns, packed when there are many."""
+
+    def __init__(self, kind: str, target, summed: bool = False):
+        self.kind, self.target, self.summed, self.held, self.n = kind, target, summed, [], 0
+
+    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(columns[0]):
+            self.held.append(columns)
+            self.n += len(columns[0])
+        if self.n >= CHUNK:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            columns = [np.concatenate(c) for c in zip(*self.held, strict=True)]
+            if self.summed:
+                at, *values = _grouped(*columns)
+                columns = [columns[0][at], *values]
+            self.held, self.n = [], 0
+            yield _blobs(self.kind, self.target(*columns[:2]), *columns)
+
+
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
     """The columns of each target, whose blobs lie one after the other."""
     target, blobs = None, []
@@ -449,22 +477,23 @@ def _ngrams(store: Store, layout: Layout):
     return run
 
 
-def _suffixes(store: Store, layout: Layout, kind: str, part: int, v: np.ndarray, w: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _suffixes(store: Store, told: _Gather, kind: str, part: int, v: np.ndarray, w: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Stores distinct (v, w) with their counts, and passes on what v needs as a context and w as a word."""
     store.put(kind, part, _table(_pair(v, w), count[:, None]))
     yield pa.RecordBatch.from_arrays([pa.array(["told"]), pa.array([1], pa.int32()), pa.array([pickle.dumps([int((count == k).sum()) for k in (1, 2, 3, 4)])], pa.binary())], names=["kind", "target", "blob"])
     at, total, *classes = _grouped(v, count, *_classes(count))
     none = np.zeros(len(at), np.uint64)
-    yield _blobs("words", layout.bucket(v[at]), v[at], none, total, *classes)
+    yield from told.add(v[at], none, total, *classes)
     at, kinds = _grouped(w, np.ones(len(w), np.uint64))
     none = np.zeros(len(at), np.uint64)
-    yield _blobs("words", layout.bucket(w[at]), w[at], kinds, none, none, none, none)
+    yield from told.add(w[at], kinds, none, none, none, none)
 
 
 def _merge(store: Store, layout: Layout):
     """Stores each part's n-grams, contexts and suffixes; the suffixes of common words go on to meet once more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, shared = _Gather("words", lambda x, _: layout.bucket(x), True), _Gather("shared", layout.suffix_part)
         for part, (u, v, w, count) in _gathered(batches):
             key = _pair(_pair(u, v), w)
             at, count = _grouped(key, count)
@@ -483,17 +512,21 @@ def _merge(store: Store, layout: Layout):
             v, w = v[at], w[at]
             common, _ = layout.is_common(v)
             if common.any():
-                yield _blobs("shared", layout.suffix_part(v[common], w[common]), v[common], w[common], adjusted[common])
-            yield from _suffixes(store, layout, "suffix", part, v[~common], w[~common], adjusted[~common])
+                yield from shared.add(v[common], w[common], adjusted[common])
+            yield from _suffixes(store, sums, "suffix", part, v[~common], w[~common], adjusted[~common])
+        yield from sums.flush()
+        yield from shared.flush()
 
     return run
 
 
 def _merge_shared(store: Store, layout: Layout):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Gather("words", lambda x, _: layout.bucket(x), True)
         for part, (v, w, count) in _gathered(batches):
             at, count = _grouped(_pair(v, w), count)
-            yield from _suffixes(store, layout, "shared", part, v[at], w[at], count)
+            yield from _suffixes(store, sums, "shared", part, v[at], w[at], count)
+        yield from sums.flush()
 
     return run
 
@@ -546,7 +579,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 3) -> Model:
     spark = docs.sparkSession
     source = docs.select(clean_text(text_col).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * n
+    buckets = n
     store = Store(new_path(spark, "ngrams"))
     empty = Layout(order, buckets, 1, np.empty(0, np.uint64), np.empty(0, np.uint64))
     counted = written(_dealt(source.mapInArrow(_count_words(buckets), BLOBS), n).mapInArrow(_number_words(store), SUMS), "sums")
