@@ -11,8 +11,8 @@ A retrieved item is verified against the passage's surroundings: it leaks if eno
 its answer are there, and enough of its 3-word runs, in order. The answer is what follows the last question mark, or else the last
 sentence, or else the last third of the words.
 
-The index is broadcast in groups of at most ``GROUP`` entries; a larger benchmark takes several passes over the
-documents. Documents and items are compared lower-cased, by their letters and digits. Defined results: null or empty
+The index is broadcast in groups of at most ``GROUP`` entries and ``MOST_BYTES`` bytes; a larger benchmark takes several
+passes over the documents, one a group, and is never whole on the driver. Documents and items are compared lower-cased, by their letters and digits. Defined results: null or empty
 texts and items match nothing; repeated items are found each; repeated rows are searched each; empty tables give an
 empty result. Extra columns are passed over.
 """
@@ -26,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ K1, B = 1.2, 0.75
 GROUP = 4096
 #: Entries of one index; a group has several.
 INDEX = 256
+#: Bound of what is broadcast at a time.
+MOST_BYTES = 256_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -115,7 +118,8 @@ def build_index(hashes: list[np.ndarray], item: list[int], of: Statistics | None
 
 
 def build(benchmark: pd.DataFrame, of: Statistics) -> tuple[list[Index], list[Item]]:
-    """Indexes and items of rows ``item_id, text, norm`` (bounded by the caller), whose terms are all in ``of``."""
+    """Indexes and items of rows ``item_id, text, norm`` (bounded by the caller), whose terms are all in ``of``; the rows' order doesn't matter."""
+    benchmark = benchmark.sort_values(["item_id", "norm", "text"], kind="stable", na_position="last")
     items, entries, owner = [], [], []
     for item_id, text, norm in benchmark.itertuples(index=False):
         w = words(pa.array([norm]))
@@ -204,8 +208,8 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(df, pa.int64())], names=["term", "df"])
 
 
-def _groups(benchmark: DataFrame) -> Iterator[tuple[list[Index], list[Item]]]:
-    """The benchmark's indexes, at most about GROUP entries at a time."""
+def _groups(benchmark: DataFrame) -> Iterator[Broadcast]:
+    """The benchmark's indexes and items, broadcast: at most about GROUP entries at a time, of at most MOST_BYTES."""
     rows = benchmark.select(F.col("item_id").cast("long"), clean_text().alias("text"), normalised(clean_text()).alias("norm"))
     size = F.when(F.col("norm") == "", 0).otherwise(F.size(F.split("norm", " ")))
     told = rows.agg(F.sum(F.ceil(size / ENTRY)).alias("entries"), F.sum(size).alias("words")).first()
@@ -219,7 +223,22 @@ def _groups(benchmark: DataFrame) -> Iterator[tuple[list[Index], list[Item]]]:
         found = (everywhere if n == 1 else everywhere.join(count(part).select("term"), "term", "left_semi")).toArrow()
         term = found["term"].to_numpy().view(np.uint64)
         order = np.argsort(term)
-        yield build(part.toPandas(), Statistics(entries, length / max(entries, 1), term[order], found["df"].to_numpy()[order]))
+        indexes, items = build(part.toPandas(), Statistics(entries, length / max(entries, 1), term[order], found["df"].to_numpy()[order]))
+        for some in _bounded(indexes):
+            yield benchmark.sparkSession.sparkContext.broadcast((some, items))
+
+
+def _bounded(indexes: list[Index]) -> Iterator[list[Index]]:
+    """The indexes in runs of at most MOST_BYTES; an index of INDEX entries has a bound of its own."""
+    held, total = [], 0
+    for x in indexes:
+        size = sum(a.nbytes for a in vars(x).values())
+        if held and total + size > MOST_BYTES:
+            yield held
+            held, total = [], 0
+        held.append(x)
+        total += size
+    yield held
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -227,9 +246,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     source = docs.select(F.col(id_col), normalised(clean_text(text_col)).alias("_text"))
     schema = f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, item_id long, word long, score double, question_overlap double, answer_overlap double, run_overlap double"
     out = None
-    for indexes, items in _groups(benchmark):
+    for shared in _groups(benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], indexes=indexes, items=items) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            indexes, items = shared.value
             for part in slices(batches, "_text"):
                 got = leaks(part.column("_text"), indexes, items, threshold)
                 cols = list(zip(*got, strict=True)) or [()] * 7
@@ -245,10 +265,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` without a verified leak."""
-    for indexes, items in _groups(benchmark):
+    for shared in _groups(benchmark):
         rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), normalised(clean_text(text_col)).alias("_text"))
 
-        def run(batches: Iterator[pa.RecordBatch], indexes=indexes, items=items) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            indexes, items = shared.value
             for part in slices(batches, "_text"):
                 keep = np.ones(part.num_rows, bool)
                 keep[[x[0] for x in leaks(part.column("_text"), indexes, items, threshold)]] = False
