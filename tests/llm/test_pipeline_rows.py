@@ -23,7 +23,7 @@ def tables(spark, tmp_path_factory):
     rows = [
         (1, whole, "a"), (1, whole, "a"), (None, whole, None), (2, prose(2, 80), None), (2, prose(2, 80), None),
         (3, None, "a"), (4, "", "a"), (None, None, None), (5, prose(3, 60) + " " + run, "b"), (6, prose(4, 60) + " " + run, "b"),
-        (7, prose(5, 70) + "\n" + leak.upper() + "\n" + prose(6, 60), "a"), (8, prose(8, 30_000), "c"), (9, "\x0b\t \n" * 50, "a"),
+        (7, prose(5, 70) + "\n" + leak.upper() + "\n" + prose(6, 60), "a"), (8, " ".join(f"long{i}" for i in range(30_000)), "c"), (9, "\x0b\t \n" * 50, "a"),
         (10, "short text", "a"), (None, prose(11, 90), "c"),
     ]
     return at, spark.createDataFrame([("k", i, -5, t, s, "gone", 3, 4, "host", 5, 6, 7) for i, t, s in rows], SCHEMA), leak, run
