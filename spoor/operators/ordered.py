@@ -3,22 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def changes(log: DataFrame, values: Sequence[str], order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Rows whose values differ from the row before; a value of NaN differs from anything. Partitioned by ``by``."""
-    w = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy(*order)
+def changes(log: DataFrame, values: Sequence[str], order: Sequence[str], by: Sequence[str] = (), bucket: float = 600e9) -> DataFrame:
+    """Rows whose values differ from the row before in their log (``by``); a value of NaN differs from anything.
+
+    The log is cut into buckets of the first column of ``order`` (nanoseconds, ten minutes each, by default). What a
+    bucket's first row needs from before comes from a table of one row a bucket, so no task holds a whole log.
+    """
     now = F.struct(*values)
+    rows = log.withColumn("_bucket", F.floor(F.col(order[0]) / F.lit(bucket)))
+    keys = [*by, "_bucket"]
     fresh = F.lit(False)
     for c in values:
         if log.schema[c].dataType.simpleString() in ("double", "float"):
             fresh = fresh | F.coalesce(F.isnan(c), F.lit(False))
-    marked = log.withColumn("_before", F.lag(now).over(w)).withColumn("_first", F.row_number().over(w) == 1)
-    return marked.where(F.col("_first") | ~F.col("_before").eqNullSafe(now) | fresh).drop("_before", "_first")
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(now.alias("v")), F.struct(*order)).alias("_last"))
+    along = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy("_bucket")
+    carried = last.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.lag("_last").over(along).alias("_carried"))
+    marked = rows.withColumn("_lag", F.lag(F.struct(now.alias("v"))).over(W.partitionBy(*keys).orderBy(*order)))
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    both = marked.join(carried, reduce(lambda x, y: x & y, same), "left").withColumn("_before", F.coalesce("_lag", "_carried"))
+    return both.where(F.col("_before").isNull() | ~F.col("_before.v").eqNullSafe(now) | fresh).select(*log.columns)
 
 
 def batches(accepted: DataFrame, order: str, size: int = 20) -> DataFrame:

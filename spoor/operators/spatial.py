@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import norm
+from .storage import written
 
 AXES = ("x", "y", "z")
 
@@ -34,31 +37,33 @@ def pairs_within(points: DataFrame, radius: float) -> DataFrame:
 def nearest_distance(points: DataFrame, obstacles: DataFrame, name: str = "clearance_radius") -> DataFrame:
     """``points`` with the distance to their nearest obstacle; null if there is none.
 
-    The grid's first cell suits the density of the obstacles. A distance of at most a cell is final; the rest look
-    again with cells twice as large, so every point is settled once a cell spans the whole extent.
+    The grid's first cell suits the density of the obstacles between their 1st and 99th percentiles, so a few far ones
+    don't widen it. A distance of at most a cell is final; the rest look again with cells twice as large, so every point
+    is settled once a cell spans the whole extent. Each round is written, so no round works out an earlier one again.
     """
     both = obstacles.select(*AXES).unionByName(points.select(*AXES))
     bounds = both.agg(*[f(c).alias(f"{n}{c}") for c in AXES for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    n = obstacles.count()
-    if not n or bounds["lox"] is None:
+    told = obstacles.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(c, [0.01, 0.99]).alias(c) for c in AXES]).first()
+    if not told["n"] or bounds["lox"] is None:
         return points.withColumn(name, F.lit(None).cast("double"))
     extent = max(bounds[f"hi{c}"] - bounds[f"lo{c}"] for c in AXES) or 1.0
-    size = extent / max(1.0, round(n ** (1 / 3)))
+    inner = max(told[c][1] - told[c][0] for c in AXES) or extent
+    size = inner / max(1.0, round(told["n"] ** (1 / 3)))
     target = obstacles.select(*[F.col(c).alias(f"t{c}") for c in AXES])
     d = norm(*[F.col(c) - F.col(f"t{c}") for c in AXES])
-    done, left = None, points
+    done, left = [], points
     while True:
         cells = target.select("*", *[c.alias(k) for k, c in zip(("cx", "cy", "cz"), _cell(size, "t"), strict=True)])
-        best = _around(left, size).join(cells, ["cx", "cy", "cz"]).groupBy("id").agg(F.min(d).alias(name))
+        best = _around(left.select("id", *AXES), size).join(cells, ["cx", "cy", "cz"]).groupBy("id").agg(F.min(d).alias(name))
         last = size > extent
-        found = best if last else best.where(F.col(name) <= size)
-        settled = left.join(found, "id").select(*points.columns, name)
-        done = settled if done is None else done.unionByName(settled)
+        best = written(best if last else best.where(F.col(name) <= size), "nearest")
+        done.append(best)
+        rest = points.join(reduce(DataFrame.unionByName, done), "id", "left")
         if last:
-            return done
-        left = left.join(found, "id", "left_anti")
+            return rest.select(*points.columns, name)
+        left = rest.where(F.col(name).isNull()).select(*points.columns)
         if left.isEmpty():
-            return done
+            return rest.select(*points.columns, name)
         size *= 2
 
 

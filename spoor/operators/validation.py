@@ -63,27 +63,55 @@ def findings(nodes: DataFrame, edges: DataFrame, allow_self_loops: bool = False,
     return spark.createDataFrame([x for x in told if x[3]], "phase int, severity string, rule string, n long")
 
 
-def document_findings(documents: DataFrame) -> DataFrame:
-    """Structural findings of raw documents (column ``document``): each node's and edge's shape, by type and key."""
+NODE_KEYS, EDGE_KEYS = ("id", "x", "y", "z", "clearance_radius"), ("source", "target", "weight")
+
+
+def document_messages(documents: DataFrame) -> DataFrame:
+    """``subject, item, place, rule`` of each structural fault of raw documents (column ``document``).
+
+    ``item`` is the number of the node or edge (null for the document), ``place`` the check's; together they give the
+    order in which the faults are met: document, nodes, edges.
+    """
     parsed = documents.select(F.try_parse_json("document").alias("v"))
-    root = parsed.select(
-        F.when(F.col("v").isNull(), "unparsable").when(F.schema_of_variant("v").startswith("OBJECT") == F.lit(False), "root_not_object").when(F.try_variant_get("v", "$.nodes", "variant").isNull(), "nodes_missing").when(F.try_variant_get("v", "$.edges", "variant").isNull(), "edges_missing").alias("rule"),
-        F.lit("document").alias("subject"),
-    )
-    out = root
-    for kind, keys, whole in (("nodes", ("id", "x", "y", "z", "clearance_radius"), ("id",)), ("edges", ("source", "target", "weight"), ("source", "target"))):
-        items = parsed.select(F.explode(F.try_variant_get("v", f"$.{kind}", "array<variant>")).alias("i"))
+    is_list = lambda k: F.coalesce(F.schema_of_variant(F.try_variant_get("v", f"$.{k}", "variant")).startswith("ARRAY"), F.lit(False))
+    there = lambda k: F.try_variant_get("v", f"$.{k}", "variant").isNotNull()
+    root = F.when(F.col("v").isNull(), "unparsable").when(F.schema_of_variant("v").startswith("OBJECT") == F.lit(False), "root_not_object").when(~there("nodes"), "nodes_missing").when(~there("edges"), "edges_missing")
+    none = F.lit(None).cast("int")
+    out = parsed.select(F.lit("document").alias("subject"), none.alias("item"), F.lit(0).alias("place"), root.alias("rule"))
+    lists = [F.when(root.isNull() & ~is_list(k), F.lit(f"{k}_not_a_list")) for k in ("nodes", "edges")]
+    out = out.unionByName(parsed.select(F.lit("lists").alias("subject"), none.alias("item"), F.posexplode(F.array(*lists)).alias("place", "rule")))
+    for kind, keys, whole in (("nodes", NODE_KEYS, ("id",)), ("edges", EDGE_KEYS, ("source", "target"))):
+        items = parsed.where(root.isNull()).select(F.posexplode(F.try_variant_get("v", f"$.{kind}", "array<variant>")).alias("item", "i"))
         shape = F.schema_of_variant("i")
         rules = [F.when(~shape.startswith("OBJECT"), F.lit("not_an_object"))]
         for k in keys:
-            there = F.try_variant_get("i", f"$.{k}", "variant")
-            rules.append(F.when(shape.startswith("OBJECT") & there.isNull(), F.lit(f"{k}_missing")))
+            value = F.try_variant_get("i", f"$.{k}", "variant")
+            rules.append(F.when(shape.startswith("OBJECT") & value.isNull(), F.lit(f"{k}_missing")))
             if k in whole:
-                rules.append(F.when(there.isNotNull() & ~F.schema_of_variant(there).isin("BIGINT", "BOOLEAN"), F.lit(f"{k}_not_integer")))
+                rules.append(F.when(value.isNotNull() & ~F.schema_of_variant(value).isin("BIGINT", "BOOLEAN"), F.lit(f"{k}_not_integer")))
             else:
-                rules.append(F.when(there.isNotNull() & ~is_finite(F.try_variant_get("i", f"$.{k}", "string")), F.lit(f"{k}_not_finite")))
-        out = out.unionByName(items.select(F.explode(F.filter(F.array(*rules), lambda r: r.isNotNull())).alias("rule"), F.lit(kind).alias("subject")))
-    return out.where("rule IS NOT NULL").groupBy("subject", "rule").agg(F.count(F.lit(1)).alias("n"))
+                rules.append(F.when(value.isNotNull() & ~is_finite(F.try_variant_get("i", f"$.{k}", "string")), F.lit(f"{k}_not_finite")))
+        out = out.unionByName(items.select(F.lit(kind).alias("subject"), "item", F.posexplode(F.array(*rules)).alias("place", "rule")))
+    return out.where("rule IS NOT NULL")
+
+
+def document_findings(documents: DataFrame) -> DataFrame:
+    """``subject, rule, n``: structural faults of raw documents by kind."""
+    return document_messages(documents).groupBy("subject", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+def document_graph(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of raw documents as far as their ids are whole numbers; true and false are 1 and 0, as ids go."""
+    parsed = documents.select(F.try_parse_json("document").alias("v"))
+
+    def items(kind: str, keys: tuple[str, ...], whole: tuple[str, ...]) -> DataFrame:
+        rows = parsed.select(F.explode(F.try_variant_get("v", f"$.{kind}", "array<variant>")).alias("i"))
+        get = lambda k, t: F.try_variant_get("i", f"$.{k}", t)
+        ids = lambda k: F.when(F.schema_of_variant(get(k, "variant")).isin("BIGINT", "BOOLEAN"), F.coalesce(get(k, "bigint"), get(k, "boolean").cast("long")))
+        out = rows.select(*[ids(k).alias(k) if k in whole else get(k, "string").try_cast("double").alias(k) for k in keys])
+        return out.dropna(subset=list(whole))
+
+    return items("nodes", NODE_KEYS, ("id",)), items("edges", EDGE_KEYS, ("source", "target"))
 
 
 def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:

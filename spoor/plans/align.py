@@ -70,6 +70,13 @@ def anchor(track: DataFrame, poses: DataFrame) -> Rigid:
     return Rigid(turn, move)
 
 
+def aligned_cloud(points: DataFrame, rigid: Rigid) -> DataFrame:
+    """``move_points`` of a cloud that must have points."""
+    if points.isEmpty():
+        raise RuntimeError("the cloud to align is empty")
+    return move_points(points, rigid)
+
+
 def move_points(points: DataFrame, rigid: Rigid) -> DataFrame:
     out = apply([F.lit(float(v)) for v in rigid.r], [F.lit(float(v)) for v in rigid.t], [F.col(c) for c in XYZ])
     return points.select(*[c for c in points.columns if c not in XYZ], *[c.alias(n) for c, n in zip(out, XYZ, strict=True)])

@@ -11,7 +11,7 @@ from ..functions import geometry as g
 from ..functions.scalars import frame_name, is_finite, shortened, stamp_seconds
 from ..operators import ordered, spatial, timejoin, validation, voxel
 from ..operators.graph import components, degrees
-from ..operators.storage import written
+from ..operators.storage import new_path, written
 from ..sources import views as v
 from . import align, topology
 
@@ -285,7 +285,10 @@ def q20(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q21_collision_free", f"""WITH {GRAPH}, s AS (SELECT source, target, ax, ay, az, bx, by_, bz, n, unnest(range(n)) AS i FROM (SELECT *, greatest(2, ceil(weight / 0.02::DOUBLE)::BIGINT + 1) AS n FROM edges)),
 p AS (SELECT source, target, ax + i::DOUBLE/(n-1) * (bx-ax) AS x, ay + i::DOUBLE/(n-1) * (by_-ay) AS y, az + i::DOUBLE/(n-1) * (bz-az) AS z FROM s),
-hit AS (SELECT DISTINCT source, target FROM p JOIN obst o ON sqrt((p.x-o.x)*(p.x-o.x) + (p.y-o.y)*(p.y-o.y) + (p.z-o.z)*(p.z-o.z)) <= 0.01)
+pc AS (SELECT *, floor(x / 0.0101)::BIGINT AS cx, floor(y / 0.0101)::BIGINT AS cy, floor(z / 0.0101)::BIGINT AS cz FROM p),
+near3 AS (SELECT unnest([-1, 0, 1]) AS k),
+oc AS (SELECT o.*, floor(x / 0.0101)::BIGINT + a.k AS cx, floor(y / 0.0101)::BIGINT + b.k AS cy, floor(z / 0.0101)::BIGINT + c.k AS cz FROM obst o, near3 a, near3 b, near3 c),
+hit AS (SELECT DISTINCT source, target FROM pc p JOIN oc o ON p.cx = o.cx AND p.cy = o.cy AND p.cz = o.cz WHERE sqrt((p.x-o.x)*(p.x-o.x) + (p.y-o.y)*(p.y-o.y) + (p.z-o.z)*(p.z-o.z)) <= 0.01)
 SELECT source, target, {r6('weight')} AS weight FROM edges e WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.source = e.source AND hit.target = e.target)""")
 def q21(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = spatial.collision_free(graph(spark, sf_dir)[1], v.obstacles(spark, sf_dir), step=0.02, margin=0.01)
@@ -359,3 +362,146 @@ def q29(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q30_degree_rows", f"WITH {GRAPH}, {NBR} SELECT id, count(v)::BIGINT AS degree FROM nodes LEFT JOIN nbr ON u = id GROUP BY id")
 def q30(spark: SparkSession, sf_dir: str) -> DataFrame:
     return degrees(*graph(spark, sf_dir))
+
+
+# Sources and sinks: what is written is read again ------------------------------------------------------------------
+
+
+@query("q31_trajectory_csv", f"WITH {TRAJ} SELECT {r6('t')} AS t, {r6('x')} AS x, {r6('y')} AS y, {r6('z')} AS z FROM traj")
+def q31(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import text
+
+    text.write_trajectory(v.trajectory(spark, sf_dir), path := new_path(spark, "trajectory"))
+    return rounded(text.read_named_trajectory(spark, path).select("t", "x", "y", "z"), "t", "x", "y", "z")
+
+
+def _pose_file(spark: SparkSession, sf_dir: str) -> str:
+    from ..sources import text
+
+    poses = v.slam_poses(spark, sf_dir)
+    text.write_poses(poses.withColumn("pid", F.when(F.col("row_idx") % 3 > 0, F.col("row_idx")).otherwise(F.lit(-1))), path := new_path(spark, "poses"))
+    return path
+
+
+@query("q32_pose_text", f"WITH {SLAM} SELECT CASE WHEN row_idx % 3 > 0 THEN row_idx ELSE -1 END::INT AS pid, {r6('t')} AS t, {r6('x')} AS x, {r6('y')} AS y, {r6('z')} AS z, {r6('sin(h)')} AS qz, {r6('cos(h)')} AS qw FROM slam")
+def q32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.text import read_poses
+
+    return rounded(read_poses(spark, _pose_file(spark, sf_dir)).select("pid", "t", "x", "y", "z", "qz", "qw"), "t", "x", "y", "z", "qz", "qw")
+
+
+@query("q33_keyframe_times", f"WITH {SLAM} SELECT {r6('t')} AS t FROM slam")
+def q33(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.text import read_keyframe_times
+
+    return rounded(read_keyframe_times(spark, _pose_file(spark, sf_dir)), "t")
+
+
+@query("q34_cloud_files", f"WITH {CLOUD} SELECT x, y, z FROM cloud")
+def q34(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import bags, clouds
+
+    bags.register(spark)
+    v.cloud(spark, sf_dir).select("x", "y", "z").write.format("pointcloud").option("kind", "pcd").mode("append").save(path := new_path(spark, "clouds"))
+    return clouds.read_clouds(spark, path).select("x", "y", "z")
+
+
+# More of the merge and of the rules --------------------------------------------------------------------------------
+
+
+@query("q35_origin_chain", f"""WITH {POINTS}, {TRAJ}, o AS (SELECT arg_min(x, (t, row_idx)) AS x, arg_min(y, (t, row_idx)) AS y, arg_min(z, (t, row_idx)) AS z FROM traj),
+p AS (SELECT points.*, CASE WHEN frame_id % 3 > 0 THEN o.x WHEN frame_id % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS ox, CASE WHEN frame_id % 3 > 0 THEN o.y WHEN frame_id % 2 = 0 THEN 2.0 ELSE 0.0 END::DOUBLE AS oy,
+  CASE WHEN frame_id % 3 > 0 THEN o.z WHEN frame_id % 2 = 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS oz FROM points, o),
+k AS (SELECT path, count(*) AS n_points, count(*) FILTER (sqrt((x-ox)*(x-ox) + (y-oy)*(y-oy) + (z-oz)*(z-oz)) BETWEEN 4 AND 20 AND z BETWEEN -3 AND 4) AS n_kept FROM p GROUP BY path)
+SELECT path, n_points, n_kept, CASE WHEN n_kept = 0 THEN 'after_filters' ELSE 'accepted' END AS disposition FROM k""")
+def q35(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sensor's origin is the track's place at the frame's time, else the file's viewpoint, else zero."""
+    from .cloud_merge import MergeOptions, merge
+
+    even = F.col("frame_id") % 2 == 0
+    p = v.points(spark, sf_dir).withColumn("frame_ts", F.when(F.col("frame_id") % 3 > 0, F.col("frame_ts")))
+    p = p.select("path", "frame_ts", "x", "y", "z", *[F.when(even, F.lit(o)).otherwise(F.lit(0.0)).alias(f"v{a}") for a, o in zip("xyz", (1.0, 2.0, 0.5), strict=True)])
+    options = MergeOptions(1.0, 4.0, 20.0, ((None, None), (None, None), (-3.0, 4.0)), range_mode="sensor_local", centroid_guard=False)
+    return merge(p, options, track=v.trajectory(spark, sf_dir)).frames.select("path", "n_points", "n_kept", "disposition")
+
+
+def _fold_sql(rounds: int, size: float) -> str:
+    """Rounds of strict folding written out, each on a grid from its own corner."""
+    out, before = [], None
+    for k in range(rounds):
+        part = f"SELECT x, y, z FROM each WHERE frame_id % {rounds} = {k}"
+        rows = part if before is None else f"SELECT x, y, z FROM {before} UNION ALL {part}"
+        cells = ", ".join(f"floor(({a} - (l{a} - {size / 2}::DOUBLE)) / {size}::DOUBLE)::BIGINT AS v{a}" for a in "xyz")
+        lows = ", ".join(f"min({a}) AS l{a}" for a in "xyz")
+        out.append(f"f{k} AS ({rows}), g{k} AS (SELECT {', '.join(f'avg({a}) AS {a}' for a in 'xyz')} FROM (SELECT x, y, z, {cells} FROM f{k}, (SELECT {lows} FROM f{k})) GROUP BY vx, vy, vz)")
+        before = f"g{k}"
+    return ", ".join(out)
+
+
+FOLDS, FOLD_SIZE = 3, 4.37
+
+
+@query("q36_compaction", f"{VOXELS}, {_fold_sql(FOLDS, FOLD_SIZE)} SELECT {r9('x')} AS x, {r9('y')} AS y, {r9('z')} AS z FROM g{FOLDS - 1}")
+def q36(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cloud is downsampled again after each batch of frames; here the batches go by the frame's number."""
+    each = voxel.voxels(v.points(spark, sf_dir), CELL, by=("frame_id",)).withColumn("batch", F.col("frame_id") % FOLDS)
+    return averaged(voxel.folded(each, "batch", FOLD_SIZE), "x", "y", "z")
+
+
+BROKEN = """thin AS (SELECT source, target, weight FROM edges WHERE weight <= 0.05),
+bn AS (SELECT id, CASE WHEN id % 50 = 0 THEN 'nan'::DOUBLE ELSE x END AS x, y, z, r FROM nodes WHERE id % 31 <> 30 UNION ALL SELECT id, x, y, z, r FROM nodes WHERE id % 29 = 0 AND id % 31 <> 30),
+be AS (SELECT * FROM thin UNION ALL SELECT source, source, weight FROM thin WHERE source % 9 = 0 UNION ALL SELECT source, target, -weight FROM thin WHERE source % 7 = 0 UNION ALL SELECT source, target, 'inf'::DOUBLE FROM thin WHERE source % 6 = 0)"""
+
+
+def _broken(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    nodes, edges = graph(spark, sf_dir)
+    nodes = nodes.where("id % 31 <> 30")
+    bad = nodes.withColumn("x", F.when(F.col("id") % 50 == 0, F.lit(float("nan"))).otherwise(F.col("x"))).unionByName(nodes.where("id % 29 = 0"))
+    e = written(edges.where("weight <= 0.05").select("source", "target", "weight"), "edges")
+    more = e.unionByName(e.where("source % 9 = 0").withColumn("target", F.col("source"))).unionByName(e.where("source % 7 = 0").withColumn("weight", -F.col("weight")))
+    return written(bad, "nodes"), written(more.unionByName(e.where("source % 6 = 0").withColumn("weight", F.lit(float("inf")))), "edges")
+
+
+@query("q37_findings", f"""WITH RECURSIVE {GRAPH}, {BROKEN}, ids AS (SELECT DISTINCT id FROM bn),
+f AS (SELECT source, target, weight, CASE WHEN source NOT IN (SELECT id FROM ids) OR target NOT IN (SELECT id FROM ids) THEN 'unknown_endpoint' WHEN NOT isfinite(weight) THEN 'weight_not_finite'
+  WHEN weight < 0 THEN 'negative_weight' WHEN source = target THEN 'self_loop' END AS fault FROM be),
+used AS (SELECT * FROM f WHERE fault IS NULL OR fault = 'self_loop'),
+near AS (SELECT source AS u, target AS v FROM used UNION SELECT target, source FROM used),
+reach(id, got) AS (SELECT id, id FROM ids UNION SELECT reach.id, near.v FROM reach JOIN near ON near.u = reach.got),
+comp AS (SELECT c, count(*) AS n FROM (SELECT id, min(got) AS c FROM reach GROUP BY id) GROUP BY c),
+deg AS (SELECT id, count(v) AS d FROM ids LEFT JOIN near ON u = id GROUP BY id),
+w AS (SELECT list_sort(list(weight)) AS w, count(*) AS n FROM used),
+told AS (
+  SELECT 1 AS phase, 'FAIL' AS severity, 'node_not_finite' AS rule, (SELECT count(*) FROM bn WHERE NOT isfinite(x)) AS n
+  UNION ALL SELECT 2, 'FAIL', 'ids_not_unique', (SELECT count(id) - count(DISTINCT id) FROM bn)
+  UNION ALL SELECT 3, 'FAIL', 'ids_not_contiguous', (SELECT max(id) - min(id) + 1 - count(DISTINCT id) FROM bn)
+  UNION ALL SELECT 4, 'FAIL', 'unknown_endpoint', (SELECT count(*) FROM f WHERE fault = 'unknown_endpoint')
+  UNION ALL SELECT 5, 'FAIL', 'weight_not_finite', (SELECT count(*) FROM f WHERE fault = 'weight_not_finite')
+  UNION ALL SELECT 6, 'FAIL', 'negative_weight', (SELECT count(*) FROM f WHERE fault = 'negative_weight')
+  UNION ALL SELECT 7, 'FAIL', 'self_loop', (SELECT count(*) FROM f WHERE fault = 'self_loop')
+  UNION ALL SELECT 8, 'FAIL', 'isolated_nodes', (SELECT count(*) FROM deg WHERE d = 0)
+  UNION ALL SELECT 9, 'FAIL', 'largest_component', ((SELECT max(n) FROM comp) < (SELECT count(*) FROM ids))::INT
+  UNION ALL SELECT 10, 'WARN', 'mean_degree', ((SELECT avg(d) FROM deg) > 0.5)::INT
+  UNION ALL SELECT 11, 'WARN', 'max_degree', ((SELECT max(d) FROM deg) > 2)::INT
+  UNION ALL SELECT 12, 'WARN', 'p95_weight', ((SELECT w[1 + trunc(0.95::DOUBLE * (n-1))::BIGINT] FROM w) > 0.01)::INT)
+SELECT phase::INT AS phase, severity, rule, n::BIGINT AS n FROM told WHERE n > 0""")
+def q37(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule of the report on a graph with planted faults."""
+    return validation.findings(*_broken(spark, sf_dir), max_avg_degree=0.5, max_max_degree=2, max_p95_weight=0.01)
+
+
+@query("q38_id_sets", f"WITH {GRAPH}, {BROKEN} SELECT count(*) AS n_rows, count(DISTINCT id) AS n_ids, count(*) = count(DISTINCT id) AS is_unique, max(id) - min(id) + 1 = count(DISTINCT id) AS is_contiguous FROM bn")
+def q38(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, _ = _broken(spark, sf_dir)
+    n = nodes.agg(F.count("id").alias("n_rows"), F.count_distinct("id").alias("n_ids"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    return n.select("n_rows", "n_ids", (F.col("n_rows") == F.col("n_ids")).alias("is_unique"), (F.col("hi") - F.col("lo") + 1 == F.col("n_ids")).alias("is_contiguous"))
+
+
+@query("q39_document_faults", """WITH d AS (SELECT item_id AS id, item_id % 4 AS k FROM benchmark),
+m AS (SELECT id, unnest(CASE k WHEN 0 THEN ['document:unparsable'] WHEN 1 THEN ['lists:nodes_not_a_list'] WHEN 2 THEN ['nodes:id_not_integer', 'nodes:y_not_finite', 'nodes:not_an_object', 'edges:target_not_integer', 'edges:weight_missing'] ELSE ['document:edges_missing'] END) AS fault FROM d)
+SELECT split_part(fault, ':', 1) AS subject, split_part(fault, ':', 2) AS rule, count(*)::BIGINT AS n FROM m GROUP BY ALL""")
+def q39(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structural faults of one document for each benchmark item, of four kinds."""
+    kinds = ['{"nodes": [', '{"nodes": 5, "edges": []}', '{"nodes": [{"id": 1.5, "x": "1.5", "y": "no", "z": 0, "clearance_radius": 1}, 7, {"id": true, "x": 0, "y": 0, "z": 0, "clearance_radius": 1}], "edges": [{"source": true, "target": "a"}]}', '{"nodes": []}']
+    items = v.table(spark, sf_dir, "benchmark")
+    return validation.document_findings(items.select(F.get(F.array(*[F.lit(k) for k in kinds]), (F.col("item_id") % 4).cast("int")).alias("document")))

@@ -58,7 +58,7 @@ def merge(points: DataFrame, options: MergeOptions, keyframes: DataFrame | None
     """``points``: path, frame_ts, x, y, z, and optionally a viewpoint vx, vy, vz; ``files`` names frames without points.
 
     The order is range (about the sensor's origin, in unturned coordinates), rotation, box. The origin is the
-    trajectory at the frame's time, else the viewpoint, else zero.
+    trajectory at the frame's time, else the viewpoint, else zero. It is an error if no frame is accepted.
     """
     o = options
     columns = ["path", "frame_ts", *[c for c in ("vx", "vy", "vz") if c in points.columns]]
@@ -95,6 +95,8 @@ def merge(points: DataFrame, options: MergeOptions, keyframes: DataFrame | None
     frames = frames.join(kept, "path", "left").fillna(0, ["n_kept"]).withColumn("centroid_norm", norm(F.col("cx"), F.col("cy"), F.col("cz")))
     frames = written(disposition(frames, F.col("is_key"), o.guard_radius, o.centroid_guard), "frames")
     accepted = frames.where("disposition = 'accepted'").select("path", "frame_idx")
+    if accepted.isEmpty():
+        raise RuntimeError("no frame has points left after the filters")
     rows = rows.join(accepted.select("path"), "path", "left_semi")
     each = voxels(rows, (o.voxel_size,) * 3, by=("frame_idx",))
     if o.mode == "grid":

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.storage import written
-from ..operators.validation import document_findings, findings
-from .topology import Topology, from_json, to_json
+from ..operators.validation import document_findings, document_graph, findings
+from .topology import Topology, to_json
 
 
 @dataclass
@@ -41,6 +41,5 @@ def validate(documents: DataFrame, **limits) -> Report:
     shape = written(document_findings(documents).select(F.lit(0).alias("phase"), F.lit("FAIL").alias("severity"), F.concat_ws(": ", "subject", "rule").alias("rule"), F.col("n").cast("long").alias("n")), "shape")
     if not shape.where("startswith(rule, 'document')").isEmpty():
         return Report(shape)
-    graph = from_json(documents)
-    nodes, edges = graph.nodes.where("id IS NOT NULL"), graph.edges.where("source IS NOT NULL AND target IS NOT NULL")
+    nodes, edges = (written(x, "graph") for x in document_graph(documents))
     return Report(written(shape.unionByName(findings(nodes, edges, **limits)), "findings"))

@@ -1,7 +1,7 @@
 """Recorded message logs (SQLite bags) as a Spark data source: ``bag``, one partition a slice of message ids.
 
 The topic filter is applied in SQLite, before any message is decoded. Transform messages are decoded from their
-serialised form; what can't be decoded comes with an error text in place of a value.
+serialised form, by message type; what can't be decoded comes with an error text in place of a value.
 """
 
 from __future__ import annotations
@@ -9,12 +9,14 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
 MESSAGES = "topic string, msgtype string, conn_id int, log_ts_ns long, seq long, raw binary"
-SLICE = 100_000
+ARROW = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+#: Messages of a partition, and of a batch.
+SLICE, BATCH = 100_000, 1000
 
 
 class _Slice(InputPartition):
@@ -46,13 +48,23 @@ class BagReader(DataSourceReader):
             out += [_Slice(f, k, k + SLICE) for k in range(low, high + 1, SLICE)] if low is not None else []
         return out
 
-    def read(self, partition) -> Iterator[tuple]:
+    def pushFilters(self, filters):
+        """``topic = '...'`` is applied in SQLite; the rest stays Spark's."""
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("topic",) and self.topic in (None, f.value):
+                self.topic = f.value
+            else:
+                yield f
+
+    def read(self, partition) -> Iterator[pa.RecordBatch]:
         with _open(partition.path) as db:
             ask = "SELECT t.name, t.type, t.id, m.timestamp, m.id, m.data FROM messages m JOIN topics t ON t.id = m.topic_id WHERE m.id >= ? AND m.id < ?"
             given: list = [partition.low, partition.high]
             if self.topic:
                 ask, given = ask + " AND t.name = ?", [*given, self.topic]
-            yield from (tuple(r) for r in db.execute(ask + " ORDER BY m.timestamp, m.id", given))
+            found = db.execute(ask + " ORDER BY m.timestamp, m.id", given)
+            while rows := found.fetchmany(BATCH):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), ARROW, strict=True)], names=[c.split()[0] for c in MESSAGES.split(", ")])
 
 
 class BagSource(DataSource):
@@ -91,29 +103,55 @@ class _Cursor:
         return out
 
 
+def _transform(c: _Cursor) -> tuple:
+    head = (c.take("i", 4), c.take("I", 4), c.text(), c.text())
+    return (*head, *(c.take("d", 8) for _ in range(7)))
+
+
 def decode_transforms(raw: bytes) -> list[tuple]:
-    c, out = _Cursor(bytes(raw)), []
-    for _ in range(c.take("I", 4)):
-        head = (c.take("i", 4), c.take("I", 4), c.text(), c.text())
-        out.append((*head, *(c.take("d", 8) for _ in range(7))))
-    return out
+    c = _Cursor(bytes(raw))
+    return [_transform(c) for _ in range(c.take("I", 4))]
 
 
-def decoded(messages: DataFrame) -> DataFrame:
-    """``messages`` with ``transforms`` and ``error``; a message is small, and its layout has no built-in reader."""
+def decode_transform(raw: bytes) -> list[tuple]:
+    """A message that is one transform itself."""
+    return [_transform(_Cursor(bytes(raw)))]
+
 
-    def one(raw):
+#: Decoders by the last part of a message type's name.
+DECODERS = {"TFMessage": decode_transforms, "TransformStamped": decode_transform}
+
+
+def decoded(messages: DataFrame) -> DataFrame:
+    """``messages`` with ``transforms`` and ``error``; a type without a decoder, or a bad message, has an error in place of a value."""
+    columns = messages.columns
+    names = [x.split(":")[0] for x in TRANSFORMS.removeprefix("array<struct<").removesuffix(">>").split(",")]
+    kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), *[pa.float64()] * 7]
+    item = pa.list_(pa.struct(list(zip(names, kinds, strict=True))))
+
+    def one(kind: str, raw: bytes) -> tuple[list[dict] | None, str | None]:
+        decode = DECODERS.get((kind or "").rsplit("/", 1)[-1])
+        if decode is None:
+            return None, f"undecoded {kind}"
         try:
-            return decode_transforms(raw), None
+            return [dict(zip(names, t, strict=True)) for t in decode(raw)], None
         except Exception as e:  # a bad message is data here
             return None, f"{type(e).__name__}: {e}"
 
-    parse = F.udf(one, f"struct<transforms:{TRANSFORMS},error:string>", useArrow=True)
-    return messages.withColumn("_d", parse("raw")).select("*", "_d.transforms", "_d.error").drop("_d")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [one(k, r) for k, r in zip(b.column(columns.index("msgtype")).to_pylist(), b.column(columns.index("raw")).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], item), pa.array([g[1] for g in got], pa.string())], names=[*columns, "transforms", "error"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in messages.schema)
+    return messages.mapInArrow(run, f"{schema}, transforms {TRANSFORMS}, error string")
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the formats known to the session, and lets their readers take filters."""
     from .clouds import PointCloudSource
 
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
     spark.dataSource.register(BagSource)
     spark.dataSource.register(PointCloudSource)

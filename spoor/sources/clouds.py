@@ -22,8 +22,31 @@ POINTS = "path string, frame_ts double, x double, y double, z double, vx double,
 _PLY_TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
 
 
+def unpacked(packed: bytes, size: int) -> bytes:
+    """LZF: a byte under 32 begins that many and one literals, any other a copy of what came before."""
+    out, at = bytearray(), 0
+    while at < len(packed):
+        head = packed[at]
+        at += 1
+        if head < 32:
+            out += packed[at : at + head + 1]
+            at += head + 1
+            continue
+        length = head >> 5
+        if length == 7:
+            length += packed[at]
+            at += 1
+        back = ((head & 31) << 8 | packed[at]) + 1
+        at += 1
+        for _ in range(length + 2):
+            out.append(out[-back])
+    if len(out) != size:
+        raise ValueError("a compressed PCD body has another size than it says")
+    return bytes(out)
+
+
 def parse_pcd(data: bytes) -> tuple[np.ndarray, tuple[float, float, float] | None]:
-    """Points (n, 3) and the viewpoint's place; ASCII and binary bodies."""
+    """Points (n, 3) and the viewpoint's place; ASCII, binary and compressed bodies."""
     head, end = {}, 0
     while True:
         stop = data.index(b"\n", end)
@@ -46,6 +69,13 @@ def parse_pcd(data: bytes) -> tuple[np.ndarray, tuple[float, float, float] | Non
         start = np.cumsum([0, *times])
         at = [int(start[fields.index(a)]) for a in "xyz"]
         return (rows[:, at].astype(float) if len(rows) else np.empty((0, 3))), view
+    if head["DATA"][0] == "binary_compressed":
+        small, size = np.frombuffer(data, "<u4", 2, end)
+        raw, body, at = unpacked(data[end + 8 : end + 8 + int(small)], int(size)), {}, 0
+        for f, k, s, c in zip(fields, kinds, sizes, times, strict=True):  # a field after the other
+            body[f] = np.frombuffer(raw, f"<{k.lower()}{s}", n * c, at).reshape(n, c)
+            at += n * c * int(s)
+        return np.stack([body[a][:, 0] for a in "xyz"], 1).astype(float), view
     if head["DATA"][0] != "binary":
         raise ValueError(f"PCD body {head['DATA'][0]} is not supported")
     kind = np.dtype([(f"{f}{i}", f"<{k.lower()}{s}", (c,)) for i, (f, k, s, c) in enumerate(zip(fields, kinds, sizes, times, strict=True))])
@@ -89,7 +119,7 @@ def encode(path: str, points: np.ndarray) -> bytes:
 
 
 def read_clouds(spark: SparkSession, folder: str, glob: str = "*.pcd") -> DataFrame:
-    """``POINTS`` of all files that match; an error if none does. An empty file gives no row (see ``list_frames``)."""
+    """``POINTS`` of all files that match. An empty file gives no row; ``list_frames`` names it, and raises where no file is."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", file_time(F.col("path")).alias("frame_ts"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,16 +203,27 @@ class _Writer(DataSourceWriter):
 
 
 def read_faces(spark: SparkSession, path: str) -> DataFrame:
-    """``face_id, v0, v1, v2`` of Wavefront OBJ files; polygons are cut into fans."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("n"), "value")
+    """``face_id, v0, v1, v2`` of a Wavefront OBJ file; polygons of any size are cut into fans.
+
+    Corners are numbered from 1, or from the last vertex so far where negative. Vertices are numbered by partitions of
+    lines: a count a partition, then places within it.
+    """
     from pyspark.sql import Window as W
 
     part = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
-    v = lines.where("startswith(value, 'v ')").select(F.row_number().over(W.orderBy("n")).cast("long").alias("i"), F.array(*[F.get(part, F.lit(k)).cast("double") for k in (1, 2, 3)]).alias("p"))
-    f = lines.where("startswith(value, 'f ')").select("n", F.transform(F.slice(part, 2, 1000), lambda c: F.split(c, "/")[0].cast("long")).alias("c"))
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("n"), F.spark_partition_id().alias("p"), part.alias("part"))
+    lines = lines.where(F.get("part", F.lit(0)).isin("v", "f")).select("n", "p", "part", (F.get("part", F.lit(0)) == "v").alias("vertex"))
+    starts = lines.groupBy("p").agg(F.count_if("vertex").alias("c"))
+    # a row a partition
+    starts = starts.select(F.col("p").alias("_p"), F.coalesce(F.sum("c").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    seen = F.count_if("vertex").over(W.partitionBy("p").orderBy("n").rowsBetween(W.unboundedPreceding, 0))
+    lines = lines.join(starts, F.col("p") == F.col("_p")).withColumn("i", F.col("start") + seen)
+    v = lines.where("vertex").select("i", F.array(*[F.get("part", F.lit(k)).cast("double") for k in (1, 2, 3)]).alias("xyz"))
+    corner = lambda c: F.split(c, "/")[0].cast("long")
+    f = lines.where("NOT vertex").select("n", F.transform(F.slice("part", F.lit(2), F.size("part")), lambda c: F.when(corner(c) < 0, F.col("i") + 1 + corner(c)).otherwise(corner(c))).alias("c"))
     fans = f.select("n", "c", F.explode(F.sequence(F.lit(1), F.size("c") - 2)).alias("k")).select(F.struct("n", "k").alias("face_id"), F.get("c", F.lit(0)).alias("i0"), F.get("c", F.col("k")).alias("i1"), F.get("c", F.col("k") + 1).alias("i2"))
     for k in range(3):
-        fans = fans.join(v.select(F.col("i").alias(f"i{k}"), F.col("p").alias(f"v{k}")), f"i{k}")
+        fans = fans.join(v.select(F.col("i").alias(f"i{k}"), F.col("xyz").alias(f"v{k}")), f"i{k}")
     return fans.select("face_id", "v0", "v1", "v2")
 
 

@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import is_finite
+
+#: Fixed value: the comment line of a pose file.
+POSE_HEADER = "#timestamp x y z qx qy qz qw id"
 TRAJECTORY = ("t", "x", "y", "z", "qx", "qy", "qz", "qw")
 
 
@@ -29,6 +33,22 @@ def read_trajectory(spark: SparkSession, path: str, poses: bool = False) -> Data
     return out.dropna()
 
 
+def read_named_trajectory(spark: SparkSession, path: str) -> DataFrame:
+    """``row_idx, t, x, y, z`` of a CSV file by its header's names, whatever their order; a missing name is an error.
+
+    A file without rows, or with a position that is no finite number, is an error too.
+    """
+    found = spark.read.option("header", True).csv(path)
+    lacking = [c for c in TRAJECTORY[:4] if c not in found.columns]
+    if lacking:
+        raise ValueError(f"{path} lacks the columns {lacking}")
+    rows = found.select(F.monotonically_increasing_id().alias("row_idx"), *[F.trim(c).try_cast("double").alias(c) for c in TRAJECTORY[:4]])
+    told = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(~(is_finite(F.col("x")) & is_finite(F.col("y")) & is_finite(F.col("z")))).alias("bad")).first()
+    if not told["n"] or told["bad"]:
+        raise ValueError(f"{path} has {told['n']} rows, {told['bad']} of them without a finite position")
+    return rows
+
+
 def read_poses(spark: SparkSession, path: str) -> DataFrame:
     """``row_idx``, the eight numbers and ``pid`` (-1 if absent) of white-space separated lines, in file order."""
     rows = _lines(spark, path).select("row_idx", F.trim(F.regexp_replace("value", r"\s+", " ")).alias("v")).where("v <> '' AND NOT startswith(v, '#')")
@@ -54,8 +74,10 @@ def pose_line(columns: Sequence[str], pid: str) -> Column:
 
 
 def write_poses(df: DataFrame, path: str) -> None:
+    """One text file with a comment line first, in row order; a list of poses is one file by its format."""
     lines = df.select("row_idx", pose_line(TRAJECTORY, "pid").alias("value"))
-    lines.coalesce(1).sortWithinPartitions("row_idx").select("value").write.mode("overwrite").text(path)
+    head = df.sparkSession.range(1).select(F.lit(None).cast("long").alias("row_idx"), F.lit(POSE_HEADER).alias("value"))
+    head.unionByName(lines).coalesce(1).sortWithinPartitions(F.col("row_idx").asc_nulls_first()).select("value").write.mode("overwrite").text(path)
 
 
 def resolve_output(path: str, fmt: str = "auto") -> str:

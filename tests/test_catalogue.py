@@ -34,7 +34,7 @@ def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["q07_keyframe_semi", "q08_asof_position", "q20_topology_edges", "q21_collision_free"])
+@pytest.mark.parametrize("name", ["q01_traj_dedupe", "q07_keyframe_semi", "q08_asof_position", "q20_topology_edges", "q21_collision_free"])
 def test_no_nested_loops(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan

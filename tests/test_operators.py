@@ -44,7 +44,10 @@ def test_range_and_box_drop_nan(spark):
 
 def test_changes_keep_later_repeats_and_nan(spark):
     log = spark.createDataFrame([(1, 1.0), (2, 1.0), (3, 2.0), (4, 1.0), (5, -0.0), (6, 0.0), (7, NAN), (8, NAN)], "seq long, x double")
-    assert sorted(r[0] for r in rows_of(ordered.changes(log, ("x",), ("seq",)))) == [1, 3, 4, 5, 7, 8]
+    for bucket in (1e9, 3, 1):  # logs are cut into buckets, which changes nothing
+        assert sorted(r[0] for r in rows_of(ordered.changes(log, ("x",), ("seq",), bucket=bucket))) == [1, 3, 4, 5, 7, 8]
+    two = log.withColumn("k", F.lit("a")).unionByName(log.withColumn("k", F.lit(None).cast("string")))
+    assert sorted(r[0] for r in rows_of(ordered.changes(two, ("x",), ("seq",), by=("k",), bucket=2))) == [1, 1, 3, 3, 4, 4, 5, 5, 7, 7, 8, 8]
 
 
 def test_tolerance(spark):
@@ -174,13 +177,18 @@ def test_cloud_files(spark, tmp_path):
     got = clouds.read_clouds(spark, f"{tmp_path}").orderBy("frame_ts", "x").collect()
     assert [(r["frame_ts"], r["x"], r["z"], r["vx"]) for r in got] == [(None, 1.0, 3.0, 7.0), (12.5, 1.0, 3.0, 0.0), (12.5, 4.0, 6.5, 0.0)]
     assert clouds.list_frames(spark, f"{tmp_path}").count() == 2
+    raw = np.ascontiguousarray(np.tile([1.0, 2.0], 20), "<f4").tobytes() + np.arange(40, dtype="<f4").tobytes() + bytes(160)
+    packed = b"".join(bytes([len(raw[i : i + 32]) - 1]) + raw[i : i + 32] for i in range(0, 320, 32)) + b"\x00\x00" + bytes([7 << 5, 150, 0])
+    head = b"VERSION .7\nFIELDS x y z\nSIZE 4 4 4\nTYPE F F F\nCOUNT 1 1 1\nWIDTH 40\nHEIGHT 1\nPOINTS 40\nDATA binary_compressed\n"
+    got, _ = clouds.parse_pcd(head + np.array([len(packed), 480], "<u4").tobytes() + packed)
+    assert got.shape == (40, 3) and got[:, 0].tolist() == [1.0, 2.0] * 20 and got[:, 1].tolist() == list(range(40)) and not got[:, 2].any()
     bags.register(spark)
     spark.createDataFrame(pts.tolist(), "x double, y double, z double").coalesce(1).write.format("pointcloud").mode("append").save(f"{tmp_path}/out")
     again = spark.read.format("pointcloud").load(f"{tmp_path}/out")
     assert sorted(r[1:] for r in rows_of(again)) == [tuple(p) for p in pts.tolist()]
 
 
-def serialised(transforms):
+def serialised(transforms, alone=False):
     """A transform message as a log stores it."""
     out = bytearray()
 
@@ -188,7 +196,8 @@ def serialised(transforms):
         out.extend(b"\0" * (-len(out) % size))
         out.extend(struct.pack(f"<{kind}", value))
 
-    put("I", 4, len(transforms))
+    if not alone:
+        put("I", 4, len(transforms))
     for sec, nano, parent, child, *pose in transforms:
         put("i", 4, sec)
         put("I", 4, nano)
@@ -204,11 +213,11 @@ def test_bag_to_trajectory(spark, tmp_path):
     db = sqlite3.connect(tmp_path / "log.db3")
     db.execute("CREATE TABLE topics (id INTEGER, name TEXT, type TEXT)")
     db.execute("CREATE TABLE messages (id INTEGER PRIMARY KEY, topic_id INTEGER, timestamp INTEGER, data BLOB)")
-    db.executemany("INSERT INTO topics VALUES (?, ?, ?)", [(1, "/tf", "tf"), (2, "/other", "o"), (3, "/silent", "s")])
+    db.executemany("INSERT INTO topics VALUES (?, ?, ?)", [(1, "/tf", "tf2_msgs/msg/TFMessage"), (2, "/other", "std_msgs/msg/String"), (3, "/silent", "s"), (4, "/one", "geometry_msgs/msg/TransformStamped"), (5, "/cut", "tf2_msgs/msg/TFMessage")])
     still = (1, 0, "/root", "base_link", 1.0, 2.0, 3.0, 0.0, 0.0, 0.0, 1.0)
     moved = (2, 500_000_000, "root", "//base_link", 1.5, 2.0, 3.0, 0.0, 0.0, 0.0, 1.0)
     data = [[still], [still], [(1, 0, "map", "x", *still[4:]), moved], [still]]
-    db.executemany("INSERT INTO messages VALUES (?, ?, ?, ?)", [(i, 1, i * 10**9, serialised(d)) for i, d in enumerate(data)] + [(9, 2, 5, b"bad")])
+    db.executemany("INSERT INTO messages VALUES (?, ?, ?, ?)", [(i, 1, i * 10**9, serialised(d)) for i, d in enumerate(data)] + [(9, 2, 5, b"bad"), (10, 4, 6, serialised([still], alone=True)), (11, 5, 7, b"\0\1\0\0\5")])
     db.commit()
     bags.register(spark)
     log = bags.decoded(spark.read.format("bag").load(f"{tmp_path}"))
@@ -216,14 +225,20 @@ def test_bag_to_trajectory(spark, tmp_path):
     assert [(r["t"], r["x"]) for r in got] == [(1.0, 1.0), (1.0, 1.0), (2.5, 1.5)]
     topics = spark.createDataFrame([("/tf", "tf"), ("/other", "o"), ("/silent", "s")], "topic string, msgtype string")
     told = {r["topic"]: r for r in trajectory.profile(log, topics, 40).collect()}
-    assert told["/silent"]["example"] is None and told["/other"]["example"].startswith("<") and len(told["/tf"]["example"]) == 40
+    assert told["/silent"]["example"] is None and told["/other"]["example"] == "<undecoded std_msgs/msg/String>" and len(told["/tf"]["example"]) == 40
     assert spark.read.format("bag").option("topic", "/other").load(f"{tmp_path}").count() == 1
+    assert spark.read.format("bag").load(f"{tmp_path}").where("topic = '/tf' AND seq > 1").count() == 2
+    by = {r["topic"]: r for r in log.where("topic IN ('/one', '/cut')").collect()}
+    assert [t["x"] for t in by["/one"]["transforms"]] == [1.0] and by["/cut"]["transforms"] is None and by["/cut"]["error"].startswith("error")
 
 
 def test_mesh_samples_lie_on_faces(spark, tmp_path):
     (tmp_path / "m.obj").write_text("v 0 0 0\nv 4 0 0\nv 4 1 0\nv 0 1 0\nf 1/1 2/2 3/3 4/4\n")
     faces = clouds.read_faces(spark, f"{tmp_path}/m.obj")
     assert faces.count() == 2
+    (tmp_path / "r.obj").write_text("".join(f"v {i} {i * i} 0\n" for i in range(1500)) + f"f {' '.join(map(str, range(1, 1501)))}\nv 9 9 9\nf -1 -2 -3\n")
+    more = clouds.read_faces(spark, f"{tmp_path}/r.obj").collect()
+    assert len(more) == 1499 and [[9.0, 9.0, 9.0], [1499.0, 1499.0**2, 0.0], [1498.0, 1498.0**2, 0.0]] in [[r["v0"], r["v1"], r["v2"]] for r in more]
     pts = mesh.sample_surface(faces.withColumn("face_id", F.col("face_id.k")), 500, seed=3).collect()
     assert 100 < len(pts) <= 502 and all(0 <= p["x"] <= 4 and 0 <= p["y"] <= 1 and p["z"] == 0 for p in pts)
 
@@ -235,6 +250,12 @@ def test_graph_json_round_trip(spark):
     broken = spark.createDataFrame([('{"nodes":[{"id":1.5,"x":"1.5","y":"no","z":0,"clearance_radius":1},7],"edges":[{"source":true,"target":"a","weight":1}]}',), ("[1]",), ("{",), ('{"nodes":[]}',)], "document string")
     found = {(r["subject"], r["rule"]) for r in validation.document_findings(broken).collect()}
     assert found == {("document", "root_not_object"), ("document", "unparsable"), ("document", "edges_missing"), ("nodes", "id_not_integer"), ("nodes", "y_not_finite"), ("nodes", "not_an_object"), ("edges", "target_not_integer")}
+    order = validation.document_messages(broken.limit(1)).orderBy("item", "place").collect()
+    assert sorted((r["subject"], r["item"], r["rule"]) for r in order) == [("edges", 0, "target_not_integer"), ("nodes", 0, "id_not_integer"), ("nodes", 0, "y_not_finite"), ("nodes", 1, "not_an_object")]
+    lists = spark.createDataFrame([('{"nodes": 5, "edges": {}}',)], "document string")
+    assert {r["rule"] for r in validation.document_findings(lists).collect()} == {"nodes_not_a_list", "edges_not_a_list"}
+    flags = spark.createDataFrame([('{"nodes":[{"id":true,"x":0,"y":0,"z":0,"clearance_radius":1}],"edges":[]}',)], "document string")
+    assert [r["id"] for r in validation.document_graph(flags)[0].collect()] == [1]
 
 
 def test_document_report(spark, tmp_path):
