@@ -7,8 +7,8 @@
    ``K - T + 1`` pairs in any fixed order: that prefix alone is posted. The order is by frequency, rarest first, from a
    sketch of all postings.
 3. Lists are merged with skips. Members that differ in the low bit of so many coordinates that ``T`` collisions can't
-   be left are passed over; in the first pass a member goes to the first member left, in the second only members of
-   different components meet. A list of over ``BLOCK`` members, by an exact count, is split into pairs of blocks.
+   be left are passed over; in the first pass a member goes to the first and to the nearest member left, in the second
+   only members of different components meet. A list of over ``BLOCK`` members, by an exact count, is split into pairs of blocks.
 4. For each pair that met, its collisions are counted over all ``K`` coordinates; pairs of at least ``T`` are retained,
    and confirmed on the full sets. Confirmed links become components.
 5. The second pass posts the documents that met any other once more, to find the links between different components.
@@ -17,7 +17,7 @@
    documents that are all somewhat alike, but less than 0.8, no pair needs a look, where coordinates alone would give
    all of the group's pairs. Pairs that pass are counted and confirmed as in 4.
 
-Pairs within a group of copies are never all made: a member adds one pair a list, and what the first pass has joined is
+Pairs within a group of copies are never all made: a member adds two pairs a list, and what the first pass has joined is
 skipped by the second. No list, partner or candidate is capped.
 
 Defined results: a text without words has the empty set and links with nothing. A row without doc_id links with
@@ -209,7 +209,11 @@ class Lists:
         ok = (self.comp[i] != self.comp[j]) & ((self.side[i] == 0) | (self.side[i] != self.side[j]))
         most = np.minimum(self.n[i] - self.own[i], self.n[j] - self.own[j])
         ok &= 100 * most >= self.percent * (self.n[i] + self.n[j] - most)
-        return ok & (np.bitwise_count(self.bits[i, 0] ^ self.bits[j, 0]).astype(np.int16) + np.bitwise_count(self.bits[i, 1] ^ self.bits[j, 1]) <= MOST_BITS)
+        return ok & (self.apart(i, j) <= MOST_BITS)
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """In how many bits the rows differ."""
+        return np.bitwise_count(self.bits[i, 0] ^ self.bits[j, 0]).astype(np.int16) + np.bitwise_count(self.bits[i, 1] ^ self.bits[j, 1])
 
 
 SMALL = 8
@@ -234,18 +238,16 @@ def _pairs_of(x: Lists, first: bool) -> tuple[np.ndarray, np.ndarray]:
         idx = np.arange(lo, lo + length)
         for at in range(lo, lo + length, step):
             rows = np.arange(at, min(at + step, lo + length))
-            ok = (idx[None, :] < rows[:, None]) & x.match(rows[:, None], idx[None, :])
+            ok = x.match(rows[:, None], idx[None, :])
             if first:
-                # a member goes to the first that it matches; one that only later members match is named by itself
-                has = ok.any(1)
-                r = np.flatnonzero(has)
-                ia.append(idx[ok[r].argmax(1)])
-                ib.append(rows[r])
-                named = np.flatnonzero(ok.any(0))
-                ia.append(idx[named])
-                ib.append(idx[named])
+                # a member goes to the first that it matches, and to the nearest: copies of one text that were changed
+                # in places of their own are nearer to that text than to each other
+                r = np.flatnonzero(ok.any(1))
+                apart = np.where(ok[r], x.apart(rows[r, None], idx[None, :]), np.int16(1000))
+                ia += [idx[ok[r].argmax(1)], idx[apart.argmin(1)]]
+                ib += [rows[r], rows[r]]
             else:
-                r, c = np.nonzero(ok)
+                r, c = np.nonzero(ok & (idx[None, :] < rows[:, None]))
                 ia.append(idx[c])
                 ib.append(rows[r])
     i, j = np.concatenate(ia), np.concatenate(ib)
