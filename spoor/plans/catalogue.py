@@ -275,7 +275,8 @@ def q18(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q19_adaptive_radius", f"WITH {GRAPH} SELECT {r6('radius')} AS radius FROM rad")
 def q19(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = spatial.nearest_distance(v.nodes(spark, sf_dir), v.obstacles(spark, sf_dir))
-    return nodes.agg((F.round(F.percentile("clearance_radius", 0.75) * 2, 6) + F.lit(0.0)).alias("radius"))
+    quartile = validation.interpolated(written(nodes.select("clearance_radius"), "clearances"), "clearance_radius", 0.75, "radius")
+    return rounded(quartile.select((F.col("radius") * 2).alias("radius")), "radius")
 
 
 @query("q20_topology_edges", f"WITH {GRAPH} SELECT source, target, {r6('weight')} AS weight FROM edges")
@@ -356,7 +357,7 @@ def q29(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     c = v.cloud(spark, sf_dir)
     faces = c.groupBy(F.floor(F.col("vec_id") / 3).alias("face_id")).agg(F.sort_array(F.collect_list(F.struct("vec_id", F.array("x", "y", "z").alias("p")))).alias("v")).where("size(v) = 3")
-    return sample_surface(faces.select("face_id", *[F.col("v")[i]["p"].alias(f"v{i}") for i in range(3)]), 5000, seed=7)
+    return sample_surface(faces.select("face_id", *[F.col("v")[i]["p"].alias(f"v{i}") for i in range(3)]), seed=7)
 
 
 @query("q30_degree_rows", f"WITH {GRAPH}, {NBR} SELECT id, count(v)::BIGINT AS degree FROM nodes LEFT JOIN nbr ON u = id GROUP BY id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import is_finite
 from ..operators.spatial import AXES, collision_free, nearest_distance, pairs_within
 from ..operators.storage import written
+from ..operators.validation import interpolated
 
 
 @dataclass
@@ -27,7 +28,7 @@ def finite_points(points: DataFrame) -> DataFrame:
 
 def adaptive_radius(nodes: DataFrame) -> float:
     """Twice the upper quartile of the clearances; 1 where that is not positive. One number comes to the driver."""
-    found = nodes.agg(F.percentile("clearance_radius", 0.75)).first()[0]
+    found = interpolated(nodes, "clearance_radius", 0.75).first()[0]
     return found * 2 if found and found > 0 else 1.0
 
 

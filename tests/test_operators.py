@@ -133,6 +133,8 @@ def test_findings(spark):
     assert found == {"node_not_finite": ("FAIL", 1), "ids_not_unique": ("FAIL", 1), "ids_not_contiguous": ("FAIL", 1), "unknown_endpoint": ("FAIL", 1), "weight_not_finite": ("FAIL", 1), "negative_weight": ("FAIL", 1), "self_loop": ("FAIL", 1), "isolated_nodes": ("FAIL", 1), "largest_component": ("FAIL", 1), "p95_weight": ("WARN", 1)}
     w = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,)], "w double")
     assert rows_of(validation.ranked(w, "w", {"p": 0.95, "m": 0.5})) == [(3.0, 2.0)]
+    assert rows_of(validation.interpolated(w, "w", 0.5)) == [(w.agg(F.percentile("w", 0.5)).first()[0],)]
+    assert rows_of(validation.interpolated(w.where("w < 0"), "w", 0.75)) == [(None,)]
 
 
 def test_quaternions_round_trip(spark):
