@@ -32,6 +32,25 @@ class WaveletMatrix:
             pos = np.where(up, self.zeros[k] + ones, pos - ones)
         return pos
 
+    def ones(self, level: int, pos: np.ndarray) -> np.ndarray:
+        """Set bits among the first ``pos`` of a level."""
+        block = pos >> 6
+        return self.counts[level][block] + np.bitwise_count(self.bits[level][block] & ((_ONE << (pos & 63).astype(np.uint64)) - _ONE)).astype(np.int64)
+
+    def report(self, a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two-dimensional range reporting: query number and symbol of each entry in places a to b with a symbol from low to high."""
+        query, symbol = np.arange(len(a)), np.zeros(len(a), np.int64)
+        for k in range(self.levels):
+            half = 1 << (self.levels - 1 - k)
+            one_a, one_b = self.ones(k, a), self.ones(k, b)
+            zero = (b - one_b > a - one_a) & (symbol + half > low[query])
+            one = (one_b > one_a) & (symbol + half < high[query])
+            a = np.concatenate([(a - one_a)[zero], self.zeros[k] + one_a[one]])
+            b = np.concatenate([(b - one_b)[zero], self.zeros[k] + one_b[one]])
+            symbol = np.concatenate([symbol[zero], symbol[one] + half])
+            query = np.concatenate([query[zero], query[one]])
+        return np.repeat(query, b - a), np.repeat(symbol, b - a)
+
 
 def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in the order of their first ``depth`` symbols (prefix doubling); ties in any order.
