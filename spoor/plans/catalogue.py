@@ -78,7 +78,7 @@ edges AS (SELECT p.* FROM pairs p, rad WHERE weight <= radius AND weight <= ar +
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nodes with clearances, and their candidate edges."""
     nodes = written(spatial.nearest_distance(v.nodes(spark, sf_dir), v.obstacles(spark, sf_dir)), "nodes")
-    return nodes, topology.candidate_edges(nodes, topology.adaptive_radius(nodes))
+    return nodes, written(topology.candidate_edges(nodes, topology.adaptive_radius(nodes)), "candidates")
 
 
 # Queries ---------------------------------------------------------------------------------------------------------
@@ -284,13 +284,12 @@ def q20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graph(spark, sf_dir)[1].select("source", "target", "weight"), "weight")
 
 
-@query("q21_collision_free", f"""WITH {GRAPH}, s AS (SELECT source, target, ax, ay, az, bx, by_, bz, n, unnest(range(n)) AS i FROM (SELECT *, greatest(2, ceil(weight / 0.02::DOUBLE)::BIGINT + 1) AS n FROM edges)),
-p AS (SELECT source, target, ax + i::DOUBLE/(n-1) * (bx-ax) AS x, ay + i::DOUBLE/(n-1) * (by_-ay) AS y, az + i::DOUBLE/(n-1) * (bz-az) AS z FROM s),
-pc AS (SELECT *, floor(x / 0.0101)::BIGINT AS cx, floor(y / 0.0101)::BIGINT AS cy, floor(z / 0.0101)::BIGINT AS cz FROM p),
-near3 AS (SELECT unnest([-1, 0, 1]) AS k),
-oc AS (SELECT o.*, floor(x / 0.0101)::BIGINT + a.k AS cx, floor(y / 0.0101)::BIGINT + b.k AS cy, floor(z / 0.0101)::BIGINT + c.k AS cz FROM obst o, near3 a, near3 b, near3 c),
-hit AS (SELECT DISTINCT source, target FROM pc p JOIN oc o ON p.cx = o.cx AND p.cy = o.cy AND p.cz = o.cz WHERE sqrt((p.x-o.x)*(p.x-o.x) + (p.y-o.y)*(p.y-o.y) + (p.z-o.z)*(p.z-o.z)) <= 0.01)
-SELECT source, target, {r6('weight')} AS weight FROM edges e WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.source = e.source AND hit.target = e.target)""")
+@query("q21_collision_free", f"""WITH {GRAPH}, e AS MATERIALIZED (SELECT source, target, weight, ax, ay, az, bx, by_, bz, greatest(2, ceil(weight / 0.02::DOUBLE)::BIGINT + 1) AS n FROM edges),
+s AS MATERIALIZED (SELECT *, unnest(range(n)) AS i FROM e),
+p AS MATERIALIZED (SELECT source, target, ax + i::DOUBLE/(n-1) * (bx-ax) AS x, ay + i::DOUBLE/(n-1) * (by_-ay) AS y, az + i::DOUBLE/(n-1) * (bz-az) AS z FROM s),
+oc AS MATERIALIZED (SELECT x, y, z, floor(x / 0.0101)::BIGINT + unnest([-1, 0, 1]) AS cx FROM obst),
+hit AS MATERIALIZED (SELECT DISTINCT source, target FROM p JOIN oc o ON floor(p.x / 0.0101)::BIGINT = o.cx WHERE sqrt((p.x-o.x)*(p.x-o.x) + (p.y-o.y)*(p.y-o.y) + (p.z-o.z)*(p.z-o.z)) <= 0.01)
+SELECT e.source, e.target, {r6('e.weight')} AS weight FROM e LEFT JOIN hit ON hit.source = e.source AND hit.target = e.target WHERE hit.source IS NULL""")
 def q21(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = spatial.collision_free(graph(spark, sf_dir)[1], v.obstacles(spark, sf_dir), step=0.02, margin=0.01)
     return rounded(edges.select("source", "target", "weight"), "weight")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import is_finite
+from ..operators.nearest import finite
 from ..operators.spatial import AXES, collision_free, nearest_distance, pairs_within
 from ..operators.storage import written
 from ..operators.validation import interpolated
@@ -20,10 +20,7 @@ class Topology:
 
 
 def finite_points(points: DataFrame) -> DataFrame:
-    keep = F.lit(True)
-    for a in AXES:
-        keep = keep & is_finite(F.col(a))
-    return points.where(keep)
+    return points.where(finite())
 
 
 def adaptive_radius(nodes: DataFrame) -> float:
@@ -41,7 +38,7 @@ def candidate_edges(nodes: DataFrame, radius: float) -> DataFrame:
 
 def extract(nodes: DataFrame, obstacles: DataFrame, max_edge_distance: float | None = None, step: float = 0.2, margin: float = 0.0) -> Topology:
     """``nodes`` are ``id, x, y, z``; empty inputs or a pose that isn't finite are errors."""
-    bad = nodes.agg(F.count(F.lit(1)), F.count_if(~(is_finite(F.col("x")) & is_finite(F.col("y")) & is_finite(F.col("z"))))).first()
+    bad = nodes.agg(F.count(F.lit(1)), F.count_if(~finite())).first()
     if not bad[0] or bad[1]:
         raise ValueError("the trajectory must have rows, and finite positions")
     free = finite_points(obstacles)
