@@ -6,12 +6,15 @@ rate x tokens x posterior, should match the targets. Rates begin at 1 and move a
 targets leave free stays near 1.
 
 The fit is projected gradient descent, distributed. The gradient of a document's rate is its posterior times the
-mismatch of the domains' totals; a step takes it in the metric of the Gram matrix of the documents whose rates are free
-(k x k numbers for k domains), so that without a rate at its bound one step lands on the targets. A step that does not
-lower the mismatch is halved. No rate is stored or moved: a document's rate is replayed from the history of steps, one
-number a domain and step, and a step is one sum over the documents. The descent ends when every domain is within
-``tolerance`` of its own target, or when no step lowers the mismatch: then the targets can't be reached, which ``Fit``
-tells and a warning says.
+mismatch of the domains' totals. A step takes it in the metric of the Gram matrix of the free documents (k x k numbers for
+k domains), so that without a rate at its bound one step lands on the targets; rates at or near their bound that the
+gradient pushes down are held at 0. Since a projected step in that metric need not descend, each step is chosen among
+candidates that one pass measures together: metrics from the Gram matrix to the plain Euclidean one, several lengths,
+and several widths of what counts as near the bound. The short Euclidean ones lower the mismatch wherever it can be lowered.
+No rate is stored or moved: a document's rate is replayed from the history of steps, and a step is two sums over the
+documents. The descent ends when every domain is within ``tolerance`` of its own target, or when the projected gradient
+vanishes or no candidate lowers the mismatch: the targets then can't be reached, which ``Fit.converged`` tells and a
+warning says; ``strict`` makes it an error.
 
 Bound: about ``max_rows`` labelled ids fit the classifier; the history has one number a domain and step. Defined
 results: a null text has no tokens and weighs nothing, but has a rate; without labels all domains are equally likely;
@@ -34,8 +37,10 @@ from pyspark.sql import functions as F
 from .common import clean_text, drop_written, slices, words, written
 from .linear import MAX_ROWS, Linear, features, fit, labelled_sample, sigmoid, table_features
 
-#: Largest mismatch of a domain in parts of its own target, and the steps after which a descent is given up as failed.
-TOLERANCE, STEPS = 1e-4, 60
+#: Largest mismatch of a domain in parts of its own target.
+TOLERANCE = 1e-4
+#: Candidates of a step: rates that count as at their bound, shares of the Euclidean metric, and lengths.
+NEAR, EUCLIDEAN, LENGTHS = (0.0, 1e-3, 3e-2), (0.0, 1e-6, 1e-4, 1e-3, 1e-2, 1e-1, 1.0), (1.0, 0.25, 1 / 16, 4.0, 16.0)
 
 
 def default_domain() -> Column:
@@ -73,16 +78,28 @@ def learn_domains(docs: DataFrame, labels: DataFrame, names: list[str], domain:
     return Domains(names, [found.get(n) for n in names])
 
 
+@dataclass
+class Step:
+    """``mismatch`` says which rates up to ``near`` are held at 0; the others move by their posterior times ``move``."""
+
+    mismatch: np.ndarray
+    move: np.ndarray
+    near: float
+
+    def apply(self, r: np.ndarray, p: np.ndarray) -> np.ndarray:
+        return np.where((r <= self.near) & (p @ self.mismatch > 0), 0.0, np.maximum(0.0, r - p @ self.move))
+
+
 @dataclass
 class Descent:
     """A document's rate after the steps so far, from its posterior and the history of steps."""
 
-    history: list[np.ndarray] = field(default_factory=list)
+    history: list[Step] = field(default_factory=list)
 
     def rates(self, p: np.ndarray) -> np.ndarray:
         r = np.ones(len(p))
         for step in self.history:
-            r = np.maximum(0.0, r - p @ step)
+            r = step.apply(r, p)
         return r
 
 
@@ -96,29 +113,61 @@ class Fit:
     converged: bool
 
 
-def _sums(descent: Descent, k: int):
-    """Totals by domain, and the Gram matrix of the documents whose rates are over 0, a row each."""
+def totals(r: np.ndarray, w: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Expected tokens by domain."""
+    return (w * r) @ p
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((k + 1, k))
-        for batch in batches:
-            if batch.num_rows:
-                w = batch.column(0).to_numpy(zero_copy_only=False)
-                p = np.stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(k)], 1)
-                r = descent.rates(p)
-                out[0] += (w * r) @ p
-                out[1:] += p.T @ (p * (w * (r > 0))[:, None])
-        yield pa.RecordBatch.from_arrays([pa.array(range(k + 1), pa.int32()), *(pa.array(np.ascontiguousarray(out[:, i])) for i in range(k))], names=["d", *(f"c{i}" for i in range(k))])
 
-    return run
+def grams(r: np.ndarray, w: np.ndarray, p: np.ndarray, mismatch: np.ndarray) -> np.ndarray:
+    """Rows of the Gram matrices of all documents and of the free ones for each width, then the projected gradient's square (first entry)."""
+    k = p.shape[1]
+    g = p @ mismatch
+    out = [p.T @ (p * (w * free)[:, None]) for free in (np.ones(len(r)), *(~((r <= near) & (g > 0)) for near in NEAR))]
+    still = np.zeros((1, k))
+    still[0, 0] = np.sum(w * (r - np.maximum(0, r - g)) ** 2)
+    return np.concatenate([*out, still])
 
 
-def _step(gram: np.ndarray, mismatch: np.ndarray) -> np.ndarray:
-    """The mismatch in the metric of the Gram matrix, which may be singular."""
-    return np.linalg.lstsq(gram, mismatch, rcond=1e-10)[0]
+def candidates(gram: np.ndarray, mismatch: np.ndarray) -> list[Step]:
+    """Steps to be measured, from what ``grams`` tells (in shares)."""
+    k = len(mismatch)
+    whole, free = gram[:k], gram[k:-1].reshape(len(NEAR), k, k)
+    top = max(float(np.linalg.eigvalsh(whole)[-1]), 1e-300)
+    out = []
+    for near, g in zip(NEAR, free, strict=True):
+        for part in EUCLIDEAN:
+            move = np.linalg.lstsq(g + part * top * np.eye(k), mismatch, rcond=1e-12)[0]
+            out += [Step(mismatch, length * move, near) for length in LENGTHS]
+    return out
 
 
-def fit_rates(docs: DataFrame, domains: Domains, targets: dict[str, float], tolerance: float = TOLERANCE, steps: int = STEPS, text_col: str = "text") -> Fit:
+def descend(measure, share: np.ndarray, tolerance: float = TOLERANCE) -> tuple[Descent, np.ndarray, bool]:
+    """The descent, the shares it reached, and whether each is within the tolerance of its target.
+
+    ``measure(descent, function)`` is the sum over all documents of ``function(rates, weights, posteriors)``, an array, in
+    parts of all tokens.
+    """
+    least = 1e-9 / len(share)
+    off = lambda t: float((np.abs(t - share) / np.maximum(share, least)).max())
+    descent = Descent()
+    reached = measure(descent, lambda r, w, p: totals(r, w, p)[None])[0]
+    while off(reached) > tolerance:
+        mismatch = reached - share
+        size = float(np.linalg.norm(mismatch))
+        gram = measure(descent, lambda r, w, p, m=mismatch: grams(r, w, p, m))
+        if gram[-1, 0] <= 1e-13 * size**2:  # nothing that is allowed lowers the mismatch
+            return descent, reached, False
+        steps = candidates(gram, mismatch)
+        got = measure(descent, lambda r, w, p, s=steps: np.stack([totals(x.apply(r, p), w, p) for x in s]))
+        left = np.linalg.norm(got - share, axis=1)
+        best = int(left.argmin())
+        if left[best] >= size * (1 - 1e-9):
+            return descent, reached, False
+        descent, reached = Descent([*descent.history, steps[best]]), got[best]
+    return descent, reached, True
+
+
+def fit_rates(docs: DataFrame, domains: Domains, targets: dict[str, float], tolerance: float = TOLERANCE, text_col: str = "text", strict: bool = False) -> Fit:
     """The descent and what it reached. Targets are shares of the corpus's tokens."""
     k = len(domains.names)
     schema = "w double, " + ", ".join(f"p{i} double" for i in range(k))
@@ -134,33 +183,30 @@ def fit_rates(docs: DataFrame, domains: Domains, targets: dict[str, float], tole
     share = np.array([targets[n] for n in domains.names], float)
     share /= share.sum()
 
-    def measured(descent: Descent) -> tuple[np.ndarray, np.ndarray]:
-        rows = small.mapInArrow(_sums(descent, k), "d int, " + ", ".join(f"c{i} double" for i in range(k))).groupBy("d").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)]).collect()
-        out = np.array([list(r)[1:] for r in sorted(rows)]) / total
-        return out[0], out[1:]
+    def measure(descent: Descent, function) -> np.ndarray:
+        """Each task sums over its documents; a row of k numbers at each place comes out."""
 
-    least = 1e-9 / k
-    off = lambda t: float((np.abs(t - share) / np.maximum(share, least)).max())
-    descent, reached = Descent(), np.zeros(k)
-    if total:
-        reached, gram = measured(descent)
-        for _ in range(steps):
-            if off(reached) <= tolerance:
-                break
-            step, scale = _step(gram, reached - share), 1.0
-            while scale > 1e-3:
-                tried = Descent([*descent.history, scale * step])
-                got, got_gram = measured(tried)
-                if np.linalg.norm(got - share) < np.linalg.norm(reached - share) * (1 - 1e-6):
-                    break
-                scale /= 2
-            else:
-                break
-            descent, reached, gram = tried, got, got_gram
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = None
+            for batch in batches:
+                if batch.num_rows:
+                    w = batch.column(0).to_numpy(zero_copy_only=False)
+                    p = np.stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(k)], 1)
+                    part = function(descent.rates(p), w, p)
+                    out = part if out is None else out + part
+            if out is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(out)), pa.int32()), *(pa.array(np.ascontiguousarray(out[:, i])) for i in range(k))], names=["d", *(f"c{i}" for i in range(k))])
+
+        rows = small.mapInArrow(run, "d int, " + ", ".join(f"c{i} double" for i in range(k))).groupBy("d").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)]).collect()
+        return np.array([list(r)[1:] for r in sorted(rows)]) / total
+
+    descent, reached, converged = descend(measure, share, tolerance) if total else (Descent(), np.zeros(k), True)
     drop_written(small)
-    converged = not total or off(reached) <= tolerance
     if not converged:
-        warnings.warn(f"domain targets aren't reached: {dict(zip(domains.names, share, strict=True))} wanted, {dict(zip(domains.names, reached, strict=True))} reached", stacklevel=2)
+        said = f"domain targets aren't reached: {dict(zip(domains.names, share.tolist(), strict=True))} wanted, {dict(zip(domains.names, reached.tolist(), strict=True))} reached"
+        if strict:
+            raise ValueError(said)
+        warnings.warn(said, stacklevel=2)
     told = lambda t: {n: float(x * total) for n, x in zip(domains.names, t, strict=True)}
     return Fit(descent, told(share), told(reached), converged)
 

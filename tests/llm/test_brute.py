@@ -13,22 +13,82 @@ from spoor.llm import decontaminate, language, linear, minhash, mixing, toxicity
 from .test_text_operators import docs, empty, labelled, prose, rows_of  # noqa: F401
 
 
-def test_rates_equal_plain_projected_gradient(spark, labelled):  # noqa: F811
+def nonnegative_least_squares(a, b):
+    """Lawson and Hanson's active set, with plain least squares: an independent solver."""
+    x, passive = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+    w = a.T @ (b - a @ x)
+    while (~passive).any() and w[~passive].max() > 1e-12:
+        passive[np.flatnonzero(~passive)[w[~passive].argmax()]] = True
+        while True:
+            s = np.zeros_like(x)
+            s[passive] = np.linalg.lstsq(a[:, passive], b, rcond=None)[0]
+            if not passive.any() or s[passive].min() > 0:
+                break
+            low = passive & (s <= 0)
+            x = x + (x[low] / (x[low] - s[low])).min() * (s - x)
+            passive &= x > 1e-15
+            x[~passive] = 0
+        x = s
+        w = a.T @ (b - a @ x)
+    return x
+
+
+def plain_measure(w, p):
+    return lambda descent, function: function(descent.rates(p), w, p) / w.sum()
+
+
+def test_every_attainable_target_is_met():
+    g = np.random.default_rng(0)
+    for trial in range(500):
+        n, k = int(g.integers(5, 200)), int(g.integers(2, 5))
+        p = g.dirichlet(np.ones(k) * g.choice([0.1, 0.3, 1, 5]), n)
+        w = g.integers(1, 2000, n).astype(float)
+        rate = np.where(g.random(n) < g.choice([0.1, 0.5, 0.9]), g.exponential(1, n), 0)
+        if not rate.any():
+            rate[0] = 1
+        share = mixing.totals(rate, w, p)
+        share /= share.sum()
+        descent, reached, converged = mixing.descend(plain_measure(w, p), share)
+        got = mixing.totals(descent.rates(p), w, p) / w.sum()
+        assert converged and np.allclose(got, reached) and (np.abs(got - share) <= 1.01e-4 * share).all(), trial
+        assert descent.rates(p).min() >= 0
+        if trial % 25 == 0:
+            a = (p * w[:, None] / w.sum()).T
+            assert np.linalg.norm(a @ nonnegative_least_squares(a, share) - share) < 1e-8
+
+
+def test_targets_out_of_reach_end_at_the_least_squares():
+    g = np.random.default_rng(2)
+    for _ in range(40):
+        n, k = int(g.integers(5, 60)), int(g.integers(2, 5))
+        p, w = g.dirichlet(np.ones(k) * 5, n), g.integers(1, 2000, n).astype(float)
+        share = np.full(k, 1e-3)
+        share[0] = 1 - 1e-3 * (k - 1)
+        _, reached, converged = mixing.descend(plain_measure(w, p), share)
+        a = (p * w[:, None] / w.sum()).T
+        least = np.linalg.norm(a @ nonnegative_least_squares(a, share) - share)
+        assert not converged and np.linalg.norm(reached - share) <= least * 1.01 + 1e-9
+
+
+def test_one_domain_short_of_a_large_share():
+    g = np.random.default_rng(3)
+    p, w = g.dirichlet([4, 2, 0.2], 400), g.integers(10, 3000, 400).astype(float)
+    share = np.array([0.6, 0.39, 0.01])
+    assert mixing.descend(plain_measure(w, p), share)[2]
+    best = p[p[:, 0].argmax()]
+    assert mixing.descend(plain_measure(w, p), best * 0.999 + 0.001 * p.mean(0))[2]
+
+
+def test_rates_of_rows_equal_plain_descent(spark, labelled):  # noqa: F811
     table, labels = labelled
     targets = {"good": 0.7, "rough": 0.28, "toxic": 0.02}
-    out = mixing.mix(table.unionByName(table.where("doc_id < 5")), labels.unionByName(labels), targets)
+    out = mixing.mix(table.unionByName(table.where("doc_id < 5")), labels.unionByName(labels), targets, strict=True)
     rows = rows_of(out.rows)
     w = np.array([r["n_tokens"] for r in rows], float)
     p = np.array([[r[f"p_{k}"] for k in targets] for r in rows])
-    b, r = np.array(list(targets.values())), np.ones(len(rows))
-    for _ in range(50):
-        t = (w * r) @ p / w.sum()
-        if (np.abs(t - b) / b).max() <= mixing.TOLERANCE:
-            break
-        gram = (p * (w * (r > 0))[:, None]).T @ p / w.sum()
-        r = np.maximum(0, r - p @ np.linalg.solve(gram, t - b))
-    assert out.fit.converged and len(out.fit.descent.history) < 25
-    assert np.allclose(r, [x["rate"] for x in rows], atol=1e-6) and min(r) >= 0
+    r = np.array([x["rate"] for x in rows])
+    assert out.fit.converged and r.min() >= 0
+    assert np.allclose(r, out.fit.descent.rates(p), atol=1e-9)
     for j, k in enumerate(targets):
         assert math.isclose((w * r) @ p[:, j], out.fit.target[k], rel_tol=2e-4)
         assert math.isclose(out.fit.reached[k], out.fit.target[k], rel_tol=2e-4)
