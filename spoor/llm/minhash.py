@@ -1,7 +1,7 @@
 """Near duplicates by a signature-coordinate inverted join.
 
 1. Every text becomes the set of its distinct word shingles, its MinHash signature of ``K`` coordinates, and a 128-bit
-   digest of the set. Texts with one set are one class; a class has one representative.
+   digest of the set. Texts with one set are one class, which is a node of its own, with one text that stands for it.
 2. A representative is posted under its coordinate-value pairs. Two sets of similarity 0.8 agree in at least ``T``
    coordinates (but for a chance of about one in a million), so they meet under at least one of each other's first
    ``K - T + 1`` pairs in any fixed order: that prefix alone is posted. The order is by frequency, rarest first, from a
@@ -21,7 +21,8 @@ Pairs within a group of copies are never all made: a member adds two pairs a lis
 skipped by the second. No list, partner or candidate is capped.
 
 Defined results: a text without words has the empty set and links with nothing. A row without doc_id links with
-nothing, and its component_id is null; it is kept. Rows with one doc_id are one node. Extra columns are passed over.
+nothing, and its component_id is null; it is kept. Rows with one doc_id are one document: where it has several texts,
+their classes are joined, and all its rows have one component_id. Extra columns are passed over.
 ``one_of_each`` numbers the rows, so that rows with one doc_id, or with none, are told apart.
 """
 
@@ -47,8 +48,6 @@ SKETCH = 1 << 20
 BLOCK = 50_000
 #: Long lists whose lengths are broadcast (16 bytes each); more are joined by a shuffle.
 LONG_LISTS = 1_000_000
-#: Column that numbers rows.
-ROW = "_near_row"
 
 _ODD = np.random.Generator(np.random.PCG64(7)).integers(0, 2**62, K, dtype=np.uint64) * np.uint64(4) + np.uint64(3)
 _G = np.uint64(0x9E3779B97F4A7C15)
@@ -96,7 +95,7 @@ def _sketch(size: int):
             n = np.array([len(s) for s in sets], np.int64)
             d1 = np.array([int(mix(s ^ _G).sum()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
             d2 = np.array([int(mix(s * _G).sum()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(d1), pa.array(d2), pa.array([s.tobytes() for s in sig], pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(n), pa.array(d1), pa.array(d2), pa.array([s.tobytes() for s in sig], pa.binary())], names=["doc_id", "th", "n_shingles", "d1", "d2", "sig"])
 
     return run
 
@@ -380,21 +379,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     if percent < 80:
         raise ValueError("the match threshold holds for a similarity of 0.8 or more")
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), clean_text(text_col).alias("text"))
-    sketch = written(source.mapInArrow(_sketch(size), "doc_id long, n_shingles long, d1 long, d2 long, sig binary"), "sketch")
-    classes = sketch.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min("sig").alias("sig"), F.min("n_shingles").cast("int").alias("n"))
-    classes = written(classes, "classes")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(clean_text(text_col)).alias("th"), clean_text(text_col).alias("text"))
+    sketch = written(source.mapInArrow(_sketch(size), "doc_id long, th long, n_shingles long, d1 long, d2 long, sig binary"), "sketch")
+    with_words = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    classes = sketch.where(with_words).groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "th")).alias("text"), F.min("sig").alias("sig"), F.min("n_shingles").cast("int").alias("n"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "text.doc_id", "text.th", "n", "sig"), "classes")
     nodes = classes.select("node", F.col("node").alias("comp"), "n", F.lit(0).alias("own"), "sig")
     shared = spark.sparkContext.broadcast(frequency_sketch(classes))  # SKETCH numbers
 
     met = written(candidate_pairs(nodes, shared, True, percent), "pairs")
     wanted = written(met.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
     # joins with texts are shuffles at every size, so that the disk they take follows the input
-    texts = source.join(wanted.hint("merge"), source.doc_id == wanted.node, "left_semi").select(F.col("doc_id").alias("node"), "text")
-    texts = written(texts.join(nodes.select("node", "sig").hint("merge"), "node"), "texts")
-    single = _unique(texts)
-    if not single:  # rows of one doc_id are one node; of equal rows one is enough
-        texts = texts.dropDuplicates(["node", "text"])
+    asked = wanted.join(classes.select("node", "doc_id", "th", "sig"), "node")
+    texts = written(source.join(asked.hint("merge"), ["doc_id", "th"]).select("node", "sig", "text"), "texts")
+    if not _unique(texts):  # of repeated rows one is enough
+        texts = texts.dropDuplicates(["node"])
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         side = lambda k: texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}"), F.col("sig").alias(f"sig_{k}")).hint("merge")
@@ -403,21 +402,29 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
     links = written(confirmed(met), "links")
     joined = written(linked(links), "joined")
-    again = wanted.join(nodes.select("node", "n", "sig"), "node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), "n", "sig")
-    again = written(again, "again")
-    pairs = late_pairs(again, texts, size, percent) if single else candidate_pairs(again.withColumn("own", F.lit(0)), shared, False, percent)
-    pairs = written(pairs, "pairs")
+    again = written(wanted.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("comp")), "again")
+    pairs = written(late_pairs(again, texts, size, percent), "pairs")
     late = written(confirmed(pairs), "links")
     links = links.unionByName(late)
-    comps = written(linked(links), "joined") if late.head(1) else joined
+    # documents of several texts hold their classes together
+    several = written(sketch.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("lo"), F.max(F.struct("d1", "d2")).alias("hi")).where("lo <> hi").select("doc_id"), "several")
+    held = several.join(sketch.where(with_words).select("doc_id", "d1", "d2").distinct(), "doc_id").join(classes.select("d1", "d2", "node"), ["d1", "d2"]).select("doc_id", "node")
+    held = written(held, "held")
+    bonds = held.groupBy("doc_id").agg(F.min("node").alias("a")).join(held.withColumnRenamed("node", "b"), "doc_id").select("a", "b").where("a <> b")
+    changed = late.head(1) or held.head(1)
+    comps = written(linked(links.unionByName(bonds)), "joined") if changed else joined
     drop_written(met, wanted, texts, again, pairs)
-    home = classes.select("d1", "d2", "node").join(comps, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("home"))
-    with_words = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    # a component is named by its smallest doc_id
+    least = comps.join(classes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("home"))
+    moved = comps.join(least, "component").select("node", "home")
+    home = classes.select("d1", "d2", "node", "doc_id").join(moved, "node", "left").select("d1", "d2", "node", F.coalesce("home", "doc_id").alias("home"))
     columns = ["doc_id", "n_shingles", F.col("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")]
-    rows = sketch.where(with_words).select("doc_id", "n_shingles", "d1", "d2").join(home, ["d1", "d2"], "left").withColumn("component_id", F.coalesce("home", "doc_id")).select(*columns)
-    alone = sketch.where(~with_words).withColumn("component_id", F.col("doc_id")).select(*columns)
-    rows = rows.unionByName(alone)
-    return Result(rows, links)
+    rows = sketch.where(with_words).select("doc_id", "n_shingles", "d1", "d2").join(home.drop("node"), ["d1", "d2"]).withColumnRenamed("home", "component_id").select(*columns)
+    of_id = held.join(home, "node").groupBy("doc_id").agg(F.min("home").alias("home"))
+    alone = sketch.where(~with_words).join(of_id, "doc_id", "left").withColumn("component_id", F.coalesce("home", "doc_id")).select(*columns)
+    named = lambda k: classes.select(F.col("node").alias(k), F.col("doc_id").alias(f"id_{k}"))
+    told = links.join(named("a"), "a").join(named("b"), "b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+    return Result(rows.unionByName(alone), told)
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -426,11 +433,14 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     The row with the smallest id stays, one without id only where no other has one; equal ids go by a hash of the text,
     then by place. A text without words links with nothing and stays.
     """
-    rows = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(rows, size, percent, ROW, text_col).rows.select(F.col("doc_id").alias(ROW), "component_id")
-    rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(clean_text(text_col)).alias("text"), F.col(ROW).alias("row"))
-    best = found.join(rows.select(ROW, rank.alias("rank")), ROW).groupBy("component_id").agg(F.min("rank").alias("rank"))
-    return rows.join(best.select(F.col("rank.row").alias(ROW)), ROW, "left_semi").select(*docs.columns)
+    number = "_row"
+    while number in docs.columns:
+        number += "_"
+    rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(rows, size, percent, number, text_col).rows.select(F.col("doc_id").alias(number), "component_id")
+    rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(clean_text(text_col)).alias("text"), F.col(number).alias("row"))
+    best = found.join(rows.select(number, rank.alias("rank")), number).groupBy("component_id").agg(F.min("rank").alias("rank"))
+    return rows.join(best.select(F.col("rank.row").alias(number)), number, "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
 def _unique(texts: DataFrame) -> bool:
