@@ -8,7 +8,8 @@ Each stage works on what its predecessor kept, which is written as Parquet to th
 4. benchmark decontamination: documents with a verified leak go;
 5. mixing: each document gets a rate, so that expected tokens match the domains' target shares; those of rate 0 go.
 
-Stages 1 to 4 return the columns of documents; stage 5 adds n_tokens, a posterior for each domain, and the rate.
+Stages 1 to 4 return the columns of documents; stage 5 adds n_tokens, a posterior for each domain, the rate,
+and targets_met: whether the rates reach every domain's target (else they are the nearest that can be reached).
 """
 
 from __future__ import annotations
@@ -47,7 +48,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), TARGETS).rows.where("rate > 0")
+    mixed = mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), TARGETS)
+    return mixed.rows.where("rate > 0").withColumn("targets_met", F.lit(mixed.fit.converged))
 
 
 STAGES = [
