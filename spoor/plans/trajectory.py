@@ -21,8 +21,8 @@ def extract(messages: DataFrame, parent: str = "root", child: str = "base_link",
 
 
 def profile(messages: DataFrame, connections: DataFrame, max_example_chars: int = 500) -> DataFrame:
-    """Every topic's connections, types, and its first message as a preview (an error's text where it can't be read)."""
-    preview = F.coalesce(F.to_json("transforms"), F.concat(F.lit("<"), F.col("error"), F.lit(">")), F.lit("<undecoded>"))
+    """Every topic's connections, types, and its first message, of any type, as a preview (an error's text where it can't be read)."""
+    preview = F.coalesce(F.to_json("value"), F.concat(F.lit("<"), F.col("error"), F.lit(">")), F.lit("<undecoded>"))
     first = messages.groupBy("topic").agg(F.min_by(F.struct("log_ts_ns", preview.alias("text")), F.struct("log_ts_ns", "seq")).alias("m"))
     topics = connections.groupBy("topic").agg(F.count(F.lit(1)).alias("n_connections"), F.sort_array(F.collect_set("msgtype")).alias("msgtypes"))
     return topics.join(first, "topic", "left").select("topic", "n_connections", "msgtypes", (F.col("m.log_ts_ns") / F.lit(1e9)).alias("first_t"), shortened(F.col("m.text"), max_example_chars).alias("example"))

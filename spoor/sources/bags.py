@@ -1,17 +1,24 @@
-"""Recorded message logs (SQLite bags) as a Spark data source: ``bag``, one partition a slice of message ids.
+"""Recorded message logs (SQLite bags) as Spark data sources: ``bag``, one partition a slice of message ids, and ``bag_topics``.
 
-The topic filter is applied in SQLite, before any message is decoded. Transform messages are decoded from their
-serialised form, by message type; what can't be decoded comes with an error text in place of a value.
+The topic filter is applied in SQLite, before any message is decoded. ``bag`` is a streaming source too: its offsets are
+message ids by file, so a query that stops and starts again loses and repeats nothing. Files lie on paths that the
+workers can open, as SQLite needs them; ``chunked_logs`` reads logs from any store.
 """
 
 from __future__ import annotations
 
-import struct
+import json
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, InputPartition
+
+from .chunked_logs import TOPICS
+from .messages import decoded
+
+__all__ = ["MESSAGES", "BagSource", "BagTopicsSource", "decoded", "read_topics", "register"]
 
 MESSAGES = "topic string, msgtype string, conn_id int, log_ts_ns long, seq long, raw binary"
 ARROW = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
@@ -30,22 +37,41 @@ def _open(path: str):
     return sqlite3.connect(f"file:{path}?mode=ro", uri=True)
 
 
+def _bags(path: str) -> list[str]:
+    from pathlib import Path
+
+    root = Path(path.removeprefix("file://"))
+    if not root.exists():
+        raise FileNotFoundError(root)
+    return sorted(map(str, [root] if root.is_file() else root.glob("*.db3")))
+
+
+def _slices(path: str, low: int, high: int) -> list[_Slice]:
+    """Ids from low to before high."""
+    return [_Slice(path, k, min(high, k + SLICE)) for k in range(low, high, SLICE)]
+
+
+def _read(partition: _Slice, topic: str | None) -> Iterator[pa.RecordBatch]:
+    with _open(partition.path) as db:
+        ask = "SELECT t.name, t.type, t.id, m.timestamp, m.id, m.data FROM messages m JOIN topics t ON t.id = m.topic_id WHERE m.id >= ? AND m.id < ?"
+        given: list = [partition.low, partition.high]
+        if topic:
+            ask, given = ask + " AND t.name = ?", [*given, topic]
+        found = db.execute(ask + " ORDER BY m.timestamp, m.id", given)
+        while rows := found.fetchmany(BATCH):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), ARROW, strict=True)], names=[c.split()[0] for c in MESSAGES.split(", ")])
+
+
 class BagReader(DataSourceReader):
     def __init__(self, options):
-        from pathlib import Path
-
-        root = Path(options["path"].removeprefix("file://"))
-        if not root.exists():
-            raise FileNotFoundError(root)
-        self.files = sorted(map(str, [root] if root.is_file() else root.glob("*.db3")))
-        self.topic = options.get("topic")
+        self.files, self.topic = _bags(options["path"]), options.get("topic")
 
     def partitions(self):
         out = []
         for f in self.files:
             with _open(f) as db:
                 low, high = db.execute("SELECT min(id), max(id) FROM messages").fetchone()
-            out += [_Slice(f, k, k + SLICE) for k in range(low, high + 1, SLICE)] if low is not None else []
+            out += _slices(f, low, high + 1) if low is not None else []
         return out
 
     def pushFilters(self, filters):
@@ -57,101 +83,113 @@ class BagReader(DataSourceReader):
                 yield f
 
     def read(self, partition) -> Iterator[pa.RecordBatch]:
-        with _open(partition.path) as db:
-            ask = "SELECT t.name, t.type, t.id, m.timestamp, m.id, m.data FROM messages m JOIN topics t ON t.id = m.topic_id WHERE m.id >= ? AND m.id < ?"
-            given: list = [partition.low, partition.high]
-            if self.topic:
-                ask, given = ask + " AND t.name = ?", [*given, self.topic]
-            found = db.execute(ask + " ORDER BY m.timestamp, m.id", given)
-            while rows := found.fetchmany(BATCH):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), ARROW, strict=True)], names=[c.split()[0] for c in MESSAGES.split(", ")])
+        return _read(partition, self.topic)
 
 
-class BagSource(DataSource):
-    """``spark.read.format("bag").option("topic", "/tf").load(path)``."""
+class BagStreamReader(DataSourceStreamReader):
+    """Offsets are the last id taken of each file. Recorders append ids in order; files may be added.
 
-    @classmethod
-    def name(cls) -> str:
-        return "bag"
-
-    def schema(self) -> str:
-        return MESSAGES
-
-    def reader(self, schema) -> DataSourceReader:
-        return BagReader(self.options)
+    With ``max_messages`` (a trigger's messages, over all files) the ends of planned batches are also kept in the file that
+    ``progress`` names, since after a start Spark tells the place only when a batch is planned.
+    """
 
+    def __init__(self, options):
+        self.path, self.topic, self.most = options["path"], options.get("topic"), int(options.get("max_messages", "0"))
+        self.progress = options.get("progress", "").removeprefix("file://")
+        if self.most and not self.progress:
+            raise ValueError("max_messages needs a file to keep its progress in")
+        self.at: dict[str, int] | None = None
+        if self.progress and os.path.exists(self.progress):
+            with open(self.progress) as f:
+                self.at = json.load(f)
+
+    def initialOffset(self) -> dict:
+        self.at = {}
+        return {}
+
+    def latestOffset(self) -> dict:
+        out, left = dict(self.at or {}), self.most
+        for f in _bags(self.path):
+            last = out.get(f, -1)
+            with _open(f) as db:
+                if self.most:
+                    ids = [r[0] for r in db.execute("SELECT id FROM messages WHERE id > ? ORDER BY id LIMIT ?", (last, left))]
+                    left -= len(ids)
+                    end = ids[-1] if ids else last
+                else:
+                    end = db.execute("SELECT coalesce(max(id), -1) FROM messages").fetchone()[0]
+            if end >= 0:
+                out[f] = max(end, last)
+        return out
 
-TRANSFORMS = "array<struct<sec:int,nanosec:int,frame_id:string,child_frame_id:string,x:double,y:double,z:double,qx:double,qy:double,qz:double,qw:double>>"
+    def partitions(self, start: dict, end: dict):
+        self.at = dict(end)
+        if self.progress:
+            with open(f"{self.progress}.tmp", "w") as f:
+                json.dump(self.at, f)
+            os.replace(f"{self.progress}.tmp", self.progress)
+        return [s for f, high in sorted(end.items()) for s in _slices(f, start.get(f, -1) + 1, high + 1)]
 
+    def read(self, partition) -> Iterator[pa.RecordBatch]:
+        return _read(partition, self.topic)
 
-class _Cursor:
-    """Reads little-endian fields, each aligned to its size within the body."""
 
-    def __init__(self, raw: bytes):
-        self.raw, self.at = raw[4:], 0
+class BagTopicsReader(DataSourceReader):
+    def __init__(self, options):
+        self.files = _bags(options["path"])
 
-    def take(self, kind: str, size: int):
-        self.at += -self.at % size
-        (out,) = struct.unpack_from(f"<{kind}", self.raw, self.at)
-        self.at += size
-        return out
+    def partitions(self):
+        return [_Slice(f, 0, 0) for f in self.files]
 
-    def text(self) -> str:
-        n = self.take("I", 4)
-        out = self.raw[self.at : self.at + n - 1].decode()
-        self.at += n
-        return out
+    def read(self, partition):
+        with _open(partition.path) as db:
+            has = db.execute("SELECT count(*) FROM sqlite_master WHERE name = 'message_definitions'").fetchone()[0]
+            told = dict((r[0], r[1:]) for r in db.execute("SELECT topic_type, encoding, encoded_message_definition FROM message_definitions")) if has else {}
+            for number, topic, kind in db.execute("SELECT id, name, type FROM topics ORDER BY id").fetchall():
+                yield (partition.path, number, topic, kind, *told.get(kind, ("", "")))
 
 
-def _transform(c: _Cursor) -> tuple:
-    head = (c.take("i", 4), c.take("I", 4), c.text(), c.text())
-    return (*head, *(c.take("d", 8) for _ in range(7)))
+class BagTopicsSource(DataSource):
+    """``spark.read.format("bag_topics").load(path)``: every connection, with or without messages, and its type's definition."""
 
+    @classmethod
+    def name(cls) -> str:
+        return "bag_topics"
 
-def decode_transforms(raw: bytes) -> list[tuple]:
-    c = _Cursor(bytes(raw))
-    return [_transform(c) for _ in range(c.take("I", 4))]
+    def schema(self) -> str:
+        return TOPICS
 
+    def reader(self, schema) -> DataSourceReader:
+        return BagTopicsReader(self.options)
 
-def decode_transform(raw: bytes) -> list[tuple]:
-    """A message that is one transform itself."""
-    return [_transform(_Cursor(bytes(raw)))]
 
+class BagSource(DataSource):
+    """``spark.read.format("bag").option("topic", "/tf").load(path)``."""
 
-#: Decoders by the last part of a message type's name.
-DECODERS = {"TFMessage": decode_transforms, "TransformStamped": decode_transform}
+    @classmethod
+    def name(cls) -> str:
+        return "bag"
 
+    def schema(self) -> str:
+        return MESSAGES
 
-def decoded(messages: DataFrame) -> DataFrame:
-    """``messages`` with ``transforms`` and ``error``; a type without a decoder, or a bad message, has an error in place of a value."""
-    columns = messages.columns
-    names = [x.split(":")[0] for x in TRANSFORMS.removeprefix("array<struct<").removesuffix(">>").split(",")]
-    kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), *[pa.float64()] * 7]
-    item = pa.list_(pa.struct(list(zip(names, kinds, strict=True))))
+    def reader(self, schema) -> DataSourceReader:
+        return BagReader(self.options)
 
-    def one(kind: str, raw: bytes) -> tuple[list[dict] | None, str | None]:
-        decode = DECODERS.get((kind or "").rsplit("/", 1)[-1])
-        if decode is None:
-            return None, f"undecoded {kind}"
-        try:
-            return [dict(zip(names, t, strict=True)) for t in decode(raw)], None
-        except Exception as e:  # a bad message is data here
-            return None, f"{type(e).__name__}: {e}"
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return BagStreamReader(self.options)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [one(k, r) for k, r in zip(b.column(columns.index("msgtype")).to_pylist(), b.column(columns.index("raw")).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], item), pa.array([g[1] for g in got], pa.string())], names=[*columns, "transforms", "error"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in messages.schema)
-    return messages.mapInArrow(run, f"{schema}, transforms {TRANSFORMS}, error string")
+def read_topics(spark: SparkSession, path: str) -> DataFrame:
+    """``chunked_logs.TOPICS`` of all bags in a folder."""
+    return spark.read.format("bag_topics").load(path)
 
 
 def register(spark: SparkSession) -> None:
     """Makes the formats known to the session, and lets their readers take filters."""
     from .clouds import PointCloudSource
+    from .recorder import MessageLog
 
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-
-    spark.dataSource.register(BagSource)
-    spark.dataSource.register(PointCloudSource)
+    for source in (BagSource, BagTopicsSource, PointCloudSource, MessageLog):
+        spark.dataSource.register(source)
