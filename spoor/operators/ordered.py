@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .storage import written
+
 
 def changes(log: DataFrame, values: Sequence[str], order: Sequence[str], by: Sequence[str] = (), bucket: float = 600e9) -> DataFrame:
     """Rows whose values differ from the row before in their log (``by``); a value of NaN differs from anything.
@@ -32,9 +34,21 @@ def changes(log: DataFrame, values: Sequence[str], order: Sequence[str], by: Seq
     return both.where(F.col("_before").isNull() | ~F.col("_before.v").eqNullSafe(now) | fresh).select(*log.columns)
 
 
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """``name``: each row's place in the order of a column without equal values, from 0.
+
+    Rows are dealt by ranges of the column, once, into a written table; a range's first number comes from a table of one row a range.
+    """
+    split = written(rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id()), "ranges")
+    before = split.groupBy("_p").agg(F.count(F.lit(1)).alias("c"))
+    before = before.select(F.col("_p").alias("_of"), F.coalesce(F.sum("c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    place = F.col("_start") + F.row_number().over(W.partitionBy("_p").orderBy(order)) - 1
+    return split.join(F.broadcast(before), F.col("_p") == F.col("_of")).withColumn(name, place.cast("long")).drop("_p", "_of", "_start")
+
+
 def batches(accepted: DataFrame, order: str, size: int = 20) -> DataFrame:
-    """``batch`` of each accepted frame, ``size`` to a batch. Frames are one row a file."""
-    return accepted.withColumn("batch", F.floor((F.row_number().over(W.orderBy(order)) - 1) / size).cast("long"))
+    """``batch`` of each accepted frame, ``size`` to a batch."""
+    return numbered(accepted, order, "_place").withColumn("batch", F.floor(F.col("_place") / size).cast("long")).drop("_place")
 
 
 def disposition(frames: DataFrame, is_keyframe: Column, radius: float = 0.05, guard: bool = True) -> DataFrame:
@@ -44,8 +58,8 @@ def disposition(frames: DataFrame, is_keyframe: Column, radius: float = 0.05, gu
     It can't fire before the first acceptance, so that is the first frame that passes all other tests.
     """
     passes = is_keyframe & (F.col("n_points") > 0) & (F.col("n_kept") > 0)
-    first = F.min(F.when(passes, F.col("frame_idx"))).over(W.partitionBy(F.lit(0)))
-    rows = frames.withColumn("_first", first)
+    first = frames.agg(F.min(F.when(passes, F.col("frame_idx"))).alias("_first"))
+    rows = frames.join(F.broadcast(first))  # one row
     fires = F.lit(guard) & (F.col("frame_idx") > 5) & (F.col("frame_idx") > F.col("_first")) & (F.col("centroid_norm") < radius)
     out = (
         F.when(~is_keyframe, "not_keyframe")

@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import is_finite, ratio
 from .graph import components, degrees
+from .storage import written
 
-def _at_places(df: DataFrame, column: str, places: dict[str, int]) -> DataFrame:
-    """The sorted values at the given indices, in one row; null where there are fewer. No list of values is gathered."""
+
+def at_places(df: DataFrame, column: str, places: dict[str, int]) -> DataFrame:
+    """The sorted values at the given indices, in one row; null where there are fewer. No list of values is gathered.
+
+    Values are dealt by ranges once, into a written table, so that both uses of a range see the same rows.
+    """
     values = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("c"))
+    split = written(values.repartitionByRange(column).withColumn("_p", F.spark_partition_id()), "ranges")
     # running counts by ranges of values: a sum a partition, then within it
-    split = values.repartitionByRange(column).withColumn("_p", F.spark_partition_id())
     before = split.groupBy("_p").agg(F.sum("c").alias("s")).withColumn("_start", F.coalesce(F.sum("s").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     run = split.join(before.select("_p", "_start"), "_p").withColumn("upto", F.col("_start") + F.sum("c").over(W.partitionBy("_p").orderBy(column)))
     return run.agg(*[F.min(F.when(F.col("upto") > at, F.col(column))).alias(k) for k, at in places.items()])
@@ -22,7 +27,7 @@ def _at_places(df: DataFrame, column: str, places: dict[str, int]) -> DataFrame:
 def ranked(df: DataFrame, column: str, fractions: dict[str, float]) -> DataFrame:
     """Percentiles by the sorted value at index trunc(p (n - 1)); 0 of nothing."""
     total = df.agg(F.count(column)).first()[0]
-    found = _at_places(df, column, {k: int(p * (total - 1)) for k, p in fractions.items()})
+    found = at_places(df, column, {k: int(p * (total - 1)) for k, p in fractions.items()})
     return found.select(*[F.coalesce(k, F.lit(0.0)).alias(k) for k in fractions])
 
 
@@ -31,7 +36,7 @@ def interpolated(df: DataFrame, column: str, fraction: float, name: str = "value
     total = df.agg(F.count(column)).first()[0]
     at = fraction * max(total - 1, 0)
     low = int(at)
-    found = _at_places(df, column, {"low": low, "high": min(low + 1, max(total - 1, 0))})
+    found = at_places(df, column, {"low": low, "high": min(low + 1, max(total - 1, 0))})
     return found.select((F.col("low") * (low + 1 - at) + F.col("high") * (at - low)).alias(name))
 
 

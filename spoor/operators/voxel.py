@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import drop_written, new_path, written
 
 AXES = ("x", "y", "z")
 
@@ -26,12 +26,20 @@ def merged(per_frame: DataFrame) -> DataFrame:
 def folded(per_frame: DataFrame, batch: str, size: float) -> DataFrame:
     """Strict folding: after each batch of frames the cloud so far is downsampled again, on a grid from its own corner.
 
-    One round a batch, in order; ``per_frame`` are the frames' centroids.
+    One round a batch, in order; ``per_frame`` are the frames' centroids, which are worked out once and written by batch,
+    so that a round reads its own batch alone. Of the clouds so far only the last is kept.
     """
+    spark = per_frame.sparkSession
+    path = new_path(spark, "frames")
+    per_frame.select(F.col(batch).alias("_batch"), *AXES).write.partitionBy("_batch").parquet(path)
+    frames = spark.read.parquet(path)
     cloud = None
-    for (k,) in sorted(per_frame.select(batch).distinct().collect()):
-        part = per_frame.where(F.col(batch) == k).select(*AXES)
-        cloud = part if cloud is None else cloud.unionByName(part)
-        low = cloud.agg(*[F.min(a).alias(a) for a in AXES]).first()
-        cloud = written(voxels(cloud, (size,) * 3, origin=[low[a] - size / 2 for a in AXES]).select(*AXES), "cloud")
+    for (k,) in sorted(frames.select("_batch").distinct().collect()):
+        part = frames.where(F.col("_batch") == k).select(*AXES)
+        both = part if cloud is None else cloud.unionByName(part)
+        low = both.agg(*[F.min(a).alias(a) for a in AXES]).first()
+        folded_in = written(voxels(both, (size,) * 3, origin=[low[a] - size / 2 for a in AXES]).select(*AXES), "cloud")
+        if cloud is not None:
+            drop_written(cloud)
+        cloud = folded_in
     return cloud

@@ -186,12 +186,10 @@ disposed AS (SELECT *, CASE WHEN NOT is_key THEN 'not_keyframe' WHEN n_points =
 
 
 def _disposed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
     p = v.points(spark, sf_dir)
     ok = g.in_range(g.norm(F.col("x"), F.col("y"), F.col("z")), 5.0, 6.0) & g.in_range(F.col("z"), -1.0, 2.5)
     f = p.groupBy("path").agg(F.first("frame_id").alias("frame_id"), F.first("frame_ts").alias("frame_ts"), F.count(F.lit(1)).alias("n_points"), F.count_if(ok).alias("n_kept"), *[F.avg(a).alias(f"c{a}") for a in "xyz"])
-    f = f.withColumn("frame_idx", F.row_number().over(W.orderBy("path")) - 1).withColumn("centroid_norm", g.norm(F.col("cx"), F.col("cy"), F.col("cz")))
+    f = ordered.numbered(f, "path", "frame_idx").withColumn("centroid_norm", g.norm(F.col("cx"), F.col("cy"), F.col("cz")))
     keys = timejoin.within_tolerance(f.select("path", "frame_ts"), f.where("frame_id % 4 = 0").select(F.col("frame_ts").alias("t")), 0.5)
     f = f.join(keys.select("path").distinct().withColumn("is_key", F.lit(True)), "path", "left").fillna(False, ["is_key"])
     return ordered.disposition(f, F.col("is_key"), radius=14.5)
@@ -356,7 +354,7 @@ def q29(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     c = v.cloud(spark, sf_dir)
     faces = c.groupBy(F.floor(F.col("vec_id") / 3).alias("face_id")).agg(F.sort_array(F.collect_list(F.struct("vec_id", F.array("x", "y", "z").alias("p")))).alias("v")).where("size(v) = 3")
-    return sample_surface(faces.select("face_id", *[F.col("v")[i]["p"].alias(f"v{i}") for i in range(3)]), seed=7)
+    return sample_surface(faces.select("face_id", *[F.col("v")[i]["p"].alias(f"v{i}") for i in range(3)]), n=50_000, seed=7)
 
 
 @query("q30_degree_rows", f"WITH {GRAPH}, {NBR} SELECT id, count(v)::BIGINT AS degree FROM nodes LEFT JOIN nbr ON u = id GROUP BY id")

@@ -6,11 +6,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import in_box, in_range, norm, rotate_z
-from ..operators.ordered import batches, disposition
+from ..operators.ordered import batches, disposition, numbered
 from ..operators.storage import written
 from ..operators.timejoin import interpolated, within_tolerance
 from ..operators.voxel import AXES, folded, merged, voxels
@@ -65,7 +64,7 @@ def merge(points: DataFrame, options: MergeOptions, keyframes: DataFrame | None
     raw = points.groupBy("path").agg(*[F.first(c).alias(c) for c in columns[1:]], F.count(F.lit(1)).alias("n_points"), *[F.avg(a).alias(f"c{a}") for a in AXES])
     if files is not None:
         raw = files.select("path", F.col("frame_ts").alias("_ts")).join(raw, "path", "left").withColumn("frame_ts", F.coalesce("frame_ts", "_ts")).drop("_ts").fillna(0, ["n_points"])
-    frames = raw.withColumn("frame_idx", F.row_number().over(W.orderBy("path")) - 1)
+    frames = numbered(raw, "path", "frame_idx")
     use_times = keyframes is not None and not keyframes.isEmpty()
     if use_times:
         near = within_tolerance(frames.select("path", "frame_ts"), keyframes, o.keyframe_tolerance).select("path").distinct().withColumn("is_key", F.lit(True))
@@ -101,5 +100,5 @@ def merge(points: DataFrame, options: MergeOptions, keyframes: DataFrame | None
     each = voxels(rows, (o.voxel_size,) * 3, by=("frame_idx",))
     if o.mode == "grid":
         return Merged(merged(each).select(*AXES), frames)
-    numbered = each.join(batches(accepted, "frame_idx").select("frame_idx", "batch"), "frame_idx")
-    return Merged(folded(numbered, "batch", o.voxel_size), frames)
+    in_batches = each.join(batches(accepted, "frame_idx").select("frame_idx", "batch"), "frame_idx")
+    return Merged(folded(in_batches, "batch", o.voxel_size), frames)

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import naive_micros
+from ..operators.ordered import numbered
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,7 +90,7 @@ def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cloud(spark, sf_dir).where("vec_id % 5 <> 0")
-    return rows.select((F.row_number().over(W.orderBy("vec_id")) - 1).cast("long").alias("id"), "x", "y", "z")
+    return numbered(rows.select("vec_id", "x", "y", "z"), "vec_id", "id").select("id", "x", "y", "z")
 
 
 def obstacles(spark: SparkSession, sf_dir: str) -> DataFrame:
