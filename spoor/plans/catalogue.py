@@ -503,3 +503,91 @@ def q39(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = ['{"nodes": [', '{"nodes": 5, "edges": []}', '{"nodes": [{"id": 1.5, "x": "1.5", "y": "no", "z": 0, "clearance_radius": 1}, 7, {"id": true, "x": 0, "y": 0, "z": 0, "clearance_radius": 1}], "edges": [{"source": true, "target": "a"}]}', '{"nodes": []}']
     items = v.table(spark, sf_dir, "benchmark")
     return validation.document_findings(items.select(F.get(F.array(*[F.lit(k) for k in kinds]), (F.col("item_id") % 4).cast("int")).alias("document")))
+
+
+# Recorded logs: events as messages of several types, written to a chunked log and read again ----------------------------
+
+#: A type with nested parts, and one that the log has no definition of.
+EVENT, UNTOLD = "plant_msgs/msg/Event", "plant_msgs/msg/Untold"
+EVENT_DEFINITION = "\n".join(["int64 id", "string kind", "Part[] parts", "uint8[2] pair", "=" * 80, "MSG: plant_msgs/Part", "string name", "int32[] digits"])
+
+LOG = """log AS (SELECT event_id, epoch_us(ts) * 1000 AS log_ts_ns, '/' || event_type || CASE user_id % 4 WHEN 0 THEN '/tf' WHEN 1 THEN '/one' WHEN 2 THEN '/event' ELSE '/untold' END AS topic,
+  CASE user_id % 4 WHEN 0 THEN 'tf2_msgs/msg/TFMessage' WHEN 1 THEN 'geometry_msgs/msg/TransformStamped' WHEN 2 THEN 'plant_msgs/msg/Event' ELSE 'plant_msgs/msg/Untold' END AS msgtype,
+  user_id, event_type, (user_id % 50)::DOUBLE / 8.0::DOUBLE AS x, user_id % 3 AS k FROM events)"""
+
+
+def _recorded(spark: SparkSession, sf_dir: str) -> str:
+    """The log's folder. Messages of a type go by the user's number."""
+    import json
+
+    from ..sources import bags, messages
+
+    bags.register(spark)
+    e = v.table(spark, sf_dir, "events").withColumn("log_ts_ns", v.naive_micros(F.col("ts")) * 1000)
+    kind = F.col("user_id") % 4
+    head = F.struct(F.struct(F.floor(F.col("log_ts_ns") / 1_000_000_000).cast("int").alias("sec"), (F.col("log_ts_ns") % 1_000_000_000).alias("nanosec")).alias("stamp"), F.lit("/root").alias("frame_id"))
+    place = F.struct(((F.col("user_id") % 50) / F.lit(8.0)).alias("x"), F.lit(0.5).alias("y"), F.lit(-1.0).alias("z"))
+    turn = F.struct(*[F.lit(q).alias(a) for a, q in zip("xyzw", (0.0, 0.0, 0.0, 1.0), strict=True)])
+    one = F.struct(head.alias("header"), F.lit("base_link").alias("child_frame_id"), F.struct(place.alias("translation"), turn.alias("rotation")).alias("transform"))
+    parts = F.transform(F.sequence(F.lit(1), F.col("user_id") % 3 + 1), lambda i: F.struct(F.concat(F.lit("p"), i.cast("string")).alias("name"), F.sequence(F.lit(1).cast("long"), i).alias("digits")))
+    event = F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), parts.alias("parts"), F.lit("AQI=").alias("pair"))
+    rows = e.select(
+        F.concat(F.lit("/"), "event_type", F.when(kind == 0, "/tf").when(kind == 1, "/one").when(kind == 2, "/event").otherwise("/untold")).alias("topic"),
+        F.when(kind == 0, "tf2_msgs/msg/TFMessage").when(kind == 1, "geometry_msgs/msg/TransformStamped").otherwise(EVENT).alias("msgtype"),
+        "log_ts_ns",
+        F.when(kind == 0, F.to_json(F.struct(F.array(one, one).alias("transforms")))).when(kind == 1, F.to_json(one)).otherwise(F.to_json(event)).alias("json"),
+        (kind == 3).alias("untold"),
+    )
+    rows = messages.encoded(rows, {EVENT: EVENT_DEFINITION}).withColumn("msgtype", F.when(F.col("untold"), UNTOLD).otherwise(F.col("msgtype")))
+    path = new_path(spark, "log")
+    rows.select("topic", "msgtype", "log_ts_ns", "raw").write.format("message_log").option("definitions", json.dumps({EVENT: EVENT_DEFINITION})).mode("append").save(path)
+    return path
+
+
+def _log(spark: SparkSession, path: str, **only) -> DataFrame:
+    from ..sources import chunked_logs, messages
+
+    return messages.decoded(chunked_logs.read_log(spark, path, **only), chunked_logs.definitions_of(chunked_logs.read_topics(spark, path)))
+
+
+@query("q40_log_messages", f"""WITH {LOG} SELECT topic, log_ts_ns, msgtype, (user_id % 4 = 3) AS is_error, (CASE user_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END)::INT AS n_transforms,
+CASE WHEN user_id % 4 < 2 THEN x ELSE -1.0::DOUBLE END AS x, CASE WHEN user_id % 4 = 2 THEN event_id ELSE -1 END AS id, CASE WHEN user_id % 4 = 2 THEN 'p' || (k + 1)::VARCHAR ELSE '' END AS last_part, (CASE WHEN user_id % 4 = 2 THEN k + 1 ELSE 0 END)::INT AS last_digit FROM log""")
+def q40(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message of the log, with what its type tells; a type without definition is an error in its row."""
+    log = _log(spark, _recorded(spark, sf_dir))
+    last = F.element_at(F.variant_get("value", "$.parts", "array<struct<name: string, digits: array<int>>>"), -1)
+    return log.select("topic", "log_ts_ns", "msgtype", F.col("error").isNotNull().alias("is_error"), F.when(F.col("transforms").isNull(), 0).otherwise(F.size("transforms")).alias("n_transforms"), F.coalesce(F.get(F.col("transforms.x"), F.lit(0)), F.lit(-1.0)).alias("x"), F.coalesce(F.variant_get("value", "$.id", "long"), F.lit(-1).cast("long")).alias("id"), F.coalesce(last["name"], F.lit("")).alias("last_part"), F.coalesce(F.element_at(last["digits"], -1), F.lit(0)).alias("last_digit"))
+
+
+@query("q41_log_window", f"""WITH {LOG}, w AS (SELECT min(log_ts_ns) + (max(log_ts_ns) - min(log_ts_ns)) // 4 AS a, min(log_ts_ns) + (max(log_ts_ns) - min(log_ts_ns)) // 2 AS b FROM log)
+SELECT topic, log_ts_ns, event_id AS id FROM log, w WHERE log_ts_ns >= a AND log_ts_ns < b AND topic IN ('/view/event', '/click/event')""")
+def q41(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two topics in a quarter of the log's time: the index leaves the other chunks packed."""
+    path = _recorded(spark, sf_dir)
+    ends = v.table(spark, sf_dir, "events").agg(F.min(v.naive_micros(F.col("ts"))).alias("a"), F.max(v.naive_micros(F.col("ts"))).alias("b")).first()
+    low, span = ends["a"] * 1000, (ends["b"] - ends["a"]) * 1000
+    return _log(spark, path, start=low + span // 4, end=low + span // 2, topics=["/view/event", "/click/event"]).select("topic", "log_ts_ns", F.variant_get("value", "$.id", "long").alias("id"))
+
+
+@query("q42_log_profile", f"""WITH {LOG}, f AS (SELECT topic, any_value(msgtype) AS msgtype, arg_min((event_id, event_type, k, user_id % 4), log_ts_ns) AS m FROM log GROUP BY topic),
+p AS (SELECT topic, msgtype, m[1]::VARCHAR AS id, m[2] AS kind, m[4] AS t, array_to_string(list_transform(range(1, m[3] + 2), lambda i: '{{"digits":[' || array_to_string(range(1, i + 1), ',') || '],"name":"p' || i::VARCHAR || '"}}'), ',') AS parts FROM f),
+e AS (SELECT topic, msgtype, CASE t WHEN 0 THEN '{{"transforms":[{{"child_frame_id":"base_link","header":{{"frame_id":"/root","stamp":{{"nanosec":' WHEN 1 THEN '{{"child_frame_id":"base_link","header":{{"frame_id":"/root","stamp":{{"nanosec":'
+  WHEN 2 THEN '{{"id":' || id || ',"kind":"' || kind || '","pair":"AQI=","parts":[' || parts || ']}}' ELSE '<undecoded plant_msgs/msg/Untold: plant_msgs/Untold has no definition>' END AS example FROM p)
+SELECT topic, msgtype, left(example, 60) AS example FROM e""")
+def q42(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every topic's type and the first 60 characters of its first message."""
+    from ..sources import chunked_logs
+    from .trajectory import profile
+
+    path = _recorded(spark, sf_dir)
+    told = profile(_log(spark, path), chunked_logs.read_topics(spark, path).select("topic", "msgtype").distinct(), 10_000)
+    return told.select("topic", F.col("msgtypes")[0].alias("msgtype"), F.left("example", F.lit(60)).alias("example"))
+
+
+@query("q43_log_trajectory", f"""WITH {LOG}, t AS (SELECT log_ts_ns, x, lag(x) OVER (ORDER BY log_ts_ns) AS before FROM log WHERE topic = '/view/one')
+SELECT {r6("log_ts_ns::DOUBLE / 1e9::DOUBLE")} AS t, x FROM t WHERE before IS NULL OR x <> before""")
+def q43(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The poses that differ from the one before, of a topic whose messages are a transform each; times are the headers'."""
+    from .trajectory import extract
+
+    return rounded(extract(_log(spark, _recorded(spark, sf_dir), topics=["/view/one"]), topic="/view/one").select("t", "x"), "t")
