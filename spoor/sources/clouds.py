@@ -38,8 +38,11 @@ def unpacked(packed: bytes, size: int) -> bytes:
             at += 1
         back = ((head & 31) << 8 | packed[at]) + 1
         at += 1
-        for _ in range(length + 2):
-            out.append(out[-back])
+        size_left = length + 2
+        while size_left > 0:  # a copy may overlap what it makes: by pieces of what is there
+            piece = out[-back:][:size_left] if back >= size_left else bytes(out[-back:])
+            out += piece[:size_left]
+            size_left -= len(piece)
     if len(out) != size:
         raise ValueError("a compressed PCD body has another size than it says")
     return bytes(out)
@@ -177,8 +180,9 @@ class _Reader(DataSourceReader):
     def read(self, partition):
         with open(partition.path, "rb") as f:
             points, _ = decode(partition.path, f.read())
-        for p in points.tolist():
-            yield (partition.path, *p)
+        for lo in range(0, len(points), 100_000):
+            p = points[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array([partition.path] * len(p)), *(pa.array(np.ascontiguousarray(p[:, i])) for i in range(3))], names=["path", "x", "y", "z"])
 
 
 class _Writer(DataSourceWriter):
@@ -227,5 +231,100 @@ def read_faces(spark: SparkSession, path: str) -> DataFrame:
     return fans.select("face_id", "v0", "v1", "v2")
 
 
+def _ply_head(data: bytes) -> tuple[str, list[tuple[str, int, list[tuple[str, str, str | None]]]], int]:
+    """Format, elements (name, number, properties: name, type, and the type of its count for a list), and where the body begins."""
+    end = data.index(b"end_header")
+    kind, elements = "", []
+    for line in data[:end].decode("ascii", "replace").splitlines():
+        p = line.split()
+        if p[:1] == ["format"]:
+            kind = p[1]
+        elif p[:1] == ["element"]:
+            elements.append((p[1], int(p[2]), []))
+        elif p[:1] == ["property"]:
+            elements[-1][2].append((p[4], _PLY_TYPES[p[3]], _PLY_TYPES[p[2]]) if p[1] == "list" else (p[2], _PLY_TYPES[p[1]], None))
+    return kind, elements, data.index(b"\n", end) + 1
+
+
+def _ply_rows(data: bytes, at: int, n: int, properties, order: str) -> tuple[dict[str, np.ndarray | list], int]:
+    """Columns of one binary element and where it ends. Lists of one length throughout are read at once, others row by row."""
+
+    def record(lengths: dict[str, int]) -> np.dtype:
+        return np.dtype([f for name, kind, count in properties for f in (((f"{name}#", order + count), (name, order + kind, (lengths[name],))) if count else ((name, order + kind),))])
+
+    def lengths_at(place: int) -> dict[str, int]:
+        out = {}
+        for name, kind, count in properties:
+            if count:
+                out[name] = int(np.frombuffer(data, order + count, 1, place)[0])
+                place += np.dtype(count).itemsize + out[name] * np.dtype(kind).itemsize
+            else:
+                place += np.dtype(kind).itemsize
+        return out
+
+    if not n:
+        return {name: np.empty(0) for name, _, _ in properties}, at
+    lengths = lengths_at(at)
+    kind = record(lengths)
+    if at + n * kind.itemsize <= len(data):
+        rows = np.frombuffer(data, kind, n, at)
+        if all((rows[f"{name}#"] == k).all() for name, k in lengths.items()):
+            return {name: rows[name] for name, _, _ in properties}, at + n * kind.itemsize
+    columns: dict[str, list] = {name: [] for name, _, _ in properties}
+    for _ in range(n):
+        kind = record(lengths_at(at))
+        row = np.frombuffer(data, kind, 1, at)
+        for name in columns:
+            columns[name].append(row[name][0])
+        at += kind.itemsize
+    return columns, at
+
+
+def parse_ply_mesh(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices (n, 3) and triangles (m, 3) of a PLY file, ASCII or binary; polygons of any size are cut into fans."""
+    kind, elements, at = _ply_head(data)
+    vertices, polygons = np.empty((0, 3)), []
+    words = iter(data[at:].split()) if kind == "ascii" else None
+    order = {"binary_little_endian": "<", "binary_big_endian": ">", "ascii": "<"}[kind]
+    for name, n, properties in elements:
+        if words is not None:
+            columns = {p: [] for p, _, _ in properties}
+            for _ in range(n):
+                for p, _, count in properties:
+                    columns[p].append(np.array([next(words) for _ in range(int(next(words)))], float).astype(np.int64) if count else float(next(words)))
+        else:
+            columns, at = _ply_rows(data, at, n, properties, order)
+        if name == "vertex":
+            vertices = np.stack([np.asarray(columns[a], float) for a in "xyz"], 1)
+        elif name == "face":
+            polygons = columns.get("vertex_indices", columns.get("vertex_index", []))
+    if isinstance(polygons, np.ndarray) and polygons.ndim == 2:
+        corners = polygons.astype(np.int64)
+        fans = [np.stack([corners[:, 0], corners[:, k], corners[:, k + 1]], 1) for k in range(1, corners.shape[1] - 1)]
+        triangles = np.stack(fans, 1).reshape(-1, 3) if fans else np.empty((0, 3), np.int64)
+    else:
+        triangles = np.array([(p[0], p[k], p[k + 1]) for p in polygons for k in range(1, len(p) - 1)], np.int64).reshape(-1, 3)
+    if len(triangles) and not (0 <= triangles.min() and triangles.max() < len(vertices)):
+        raise ValueError("a face names a vertex that is not there")
+    return vertices, triangles
+
+
+def read_meshes(spark: SparkSession, path: str, glob: str = "*.ply") -> DataFrame:
+    """``face_id, v0, v1, v2`` of all PLY meshes that match, taken together as one; ``face_id`` is the file and the face's number."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                vertices, triangles = parse_ply_mesh(content)
+                for lo in range(0, len(triangles), 100_000):
+                    t = triangles[lo : lo + 100_000]
+                    at = pa.StructArray.from_arrays([pa.array([name] * len(t)), pa.array(np.arange(lo, lo + len(t)))], names=["path", "n"])
+                    corners = [pa.ListArray.from_arrays(pa.array(np.arange(0, 3 * len(t) + 1, 3, dtype=np.int32)), pa.array(vertices[t[:, k]].ravel())) for k in range(3)]
+                    yield pa.RecordBatch.from_arrays([at, *corners], names=["face_id", "v0", "v1", "v2"])
+
+    return files.mapInArrow(run, "face_id struct<path: string, n: long>, v0 array<double>, v1 array<double>, v2 array<double>")
+
+
 def is_cloud(path: str) -> bool:
     return re.search(r"\.(pcd|ply)$", path, re.IGNORECASE) is not None
