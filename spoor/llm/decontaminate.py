@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -208,8 +208,11 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(df, pa.int64())], names=["term", "df"])
 
 
-def _groups(benchmark: DataFrame) -> Iterator[Broadcast]:
-    """The benchmark's indexes and items, broadcast: at most about GROUP entries at a time, of at most MOST_BYTES."""
+def _groups(benchmark: DataFrame) -> Iterator[tuple[Broadcast, bool]]:
+    """The benchmark's indexes and items, broadcast: at most about GROUP entries at a time, of at most MOST_BYTES.
+
+    With each, whether it is one of several: then it is to be used up and let go before the next is made.
+    """
     rows = benchmark.select(F.col("item_id").cast("long"), clean_text().alias("text"), normalised(clean_text()).alias("norm"))
     size = F.when(F.col("norm") == "", 0).otherwise(F.size(F.split("norm", " ")))
     told = rows.agg(F.sum(F.ceil(size / ENTRY)).alias("entries"), F.sum(size).alias("words")).first()
@@ -224,21 +227,31 @@ def _groups(benchmark: DataFrame) -> Iterator[Broadcast]:
         term = found["term"].to_numpy().view(np.uint64)
         order = np.argsort(term)
         indexes, items = build(part.toPandas(), Statistics(entries, length / max(entries, 1), term[order], found["df"].to_numpy()[order]))
-        for some in _bounded(indexes):
-            yield benchmark.sparkSession.sparkContext.broadcast((some, items))
+        for some in _bounded(indexes, items):
+            yield benchmark.sparkSession.sparkContext.broadcast(some), n > 1 or len(some[0]) < len(indexes)
+
+
+def _bytes(item: Item) -> int:
+    """About what an item's sets take."""
+    return 80 * (len(item.question) + len(item.answer) + 3 * len(item.runs)) + 600
 
 
-def _bounded(indexes: list[Index]) -> Iterator[list[Index]]:
-    """The indexes in runs of at most MOST_BYTES; an index of INDEX entries has a bound of its own."""
+def _bounded(indexes: list[Index], items: list[Item]) -> Iterator[tuple[list[Index], list[Item]]]:
+    """The indexes with their own items in runs of at most MOST_BYTES; an index of INDEX entries has a bound of its own."""
+
+    def run(held: list[Index]) -> tuple[list[Index], list[Item]]:
+        used = np.unique(np.concatenate([x.item for x in held])) if held else np.empty(0, np.int64)
+        return [replace(x, item=np.searchsorted(used, x.item)) for x in held], [items[i] for i in used]
+
     held, total = [], 0
     for x in indexes:
-        size = sum(a.nbytes for a in vars(x).values())
+        size = sum(a.nbytes for a in vars(x).values()) + sum(_bytes(items[i]) for i in np.unique(x.item))
         if held and total + size > MOST_BYTES:
-            yield held
+            yield run(held)
             held, total = [], 0
         held.append(x)
         total += size
-    yield held
+    yield run(held)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -246,7 +259,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     source = docs.select(F.col(id_col), normalised(clean_text(text_col)).alias("_text"))
     schema = f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, item_id long, word long, score double, question_overlap double, answer_overlap double, run_overlap double"
     out = None
-    for shared in _groups(benchmark):
+    for shared, several in _groups(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             indexes, items = shared.value
@@ -259,14 +272,36 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 )
 
         found = source.mapInArrow(run, schema)
+        if several:
+            found = written(found, "leaks")
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` without a verified leak."""
-    for shared in _groups(benchmark):
-        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), normalised(clean_text(text_col)).alias("_text"))
+    """The rows of ``docs`` without a verified leak.
+
+    With one index in one pass. With several, the digests of texts that leak are gathered index by index, and the rows with such a
+    text go at the end, so that no two indexes are held at a time.
+    """
+    gone = None
+    text = normalised(clean_text(text_col))
+    for shared, several in _groups(benchmark):
+        if several:
+            texts = docs.select(F.sha2(text.cast("binary"), 256).alias("_digest"), text.alias("_text"))
+
+            def told(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                indexes, items = shared.value
+                for part in slices(batches, "_text"):
+                    rows = sorted({x[0] for x in leaks(part.column("_text"), indexes, items, threshold)})
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64()))], names=["_digest"])
+
+            found = written(texts.mapInArrow(told, "_digest string").distinct(), "leaks")
+            shared.destroy()
+            gone = found if gone is None else gone.unionByName(found)
+            continue
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text.alias("_text"))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             indexes, items = shared.value
@@ -275,5 +310,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 keep[[x[0] for x in leaks(part.column("_text"), indexes, items, threshold)]] = False
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(keep))], names=["_row"])
 
-        docs = rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}").select("_row.*")
-    return docs
+        return rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}").select("_row.*")
+    digest = F.sha2(text.cast("binary"), 256)
+    return docs.join(gone.distinct(), digest == F.col("_digest"), "left_anti")
