@@ -495,14 +495,25 @@ def q38(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("n_rows", "n_ids", (F.col("n_rows") == F.col("n_ids")).alias("is_unique"), (F.col("hi") - F.col("lo") + 1 == F.col("n_ids")).alias("is_contiguous"))
 
 
-@query("q39_document_faults", """WITH d AS (SELECT item_id AS id, item_id % 4 AS k FROM benchmark),
-m AS (SELECT id, unnest(CASE k WHEN 0 THEN ['document:unparsable'] WHEN 1 THEN ['lists:nodes_not_a_list'] WHEN 2 THEN ['nodes:id_not_integer', 'nodes:y_not_finite', 'nodes:not_an_object', 'edges:target_not_integer', 'edges:weight_missing'] ELSE ['document:edges_missing'] END) AS fault FROM d)
-SELECT split_part(fault, ':', 1) AS subject, split_part(fault, ':', 2) AS rule, count(*)::BIGINT AS n FROM m GROUP BY ALL""")
+@query("q39_document_faults", """WITH c AS (SELECT vec_id, vec_id % 12 AS k, (vec_id // 10) % 9 AS g, vec_id // 10 AS d FROM embeddings),
+f AS (SELECT 'document' AS subject, 'unparsable' AS rule, count(DISTINCT d) AS n FROM c WHERE g = 0
+  UNION ALL SELECT 'lists', 'nodes_not_a_list', count(DISTINCT d) FROM c WHERE g = 1
+  UNION ALL SELECT 'nodes', CASE k WHEN 0 THEN 'not_an_object' WHEN 2 THEN 'y_not_finite' WHEN 3 THEN 'z_missing' ELSE 'id_not_integer' END, count(*) FROM c WHERE g > 1 AND k < 5 GROUP BY ALL
+  UNION ALL SELECT 'edges', CASE k WHEN 5 THEN 'source_not_integer' WHEN 6 THEN 'weight_missing' ELSE 'weight_not_finite' END, count(*) FROM c WHERE g > 0 AND k IN (5, 6, 7) GROUP BY ALL)
+SELECT subject, rule, n::BIGINT AS n FROM f WHERE n > 0""")
 def q39(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Structural faults of one document for each benchmark item, of four kinds."""
-    kinds = ['{"nodes": [', '{"nodes": 5, "edges": []}', '{"nodes": [{"id": 1.5, "x": "1.5", "y": "no", "z": 0, "clearance_radius": 1}, 7, {"id": true, "x": 0, "y": 0, "z": 0, "clearance_radius": 1}], "edges": [{"source": true, "target": "a"}]}', '{"nodes": []}']
-    items = v.table(spark, sf_dir, "benchmark")
-    return validation.document_findings(items.select(F.get(F.array(*[F.lit(k) for k in kinds]), (F.col("item_id") % 4).cast("int")).alias("document")))
+    """Structural faults of documents of ten places each, some with planted faults; some documents are cut off, or have no list of nodes."""
+    k, n = F.col("vec_id") % 12, F.col("vec_id").cast("string")
+    place = lambda y, z: F.concat(F.lit(',"x":'), F.col("x").cast("string"), F.lit(',"y":'), y, z, F.lit(',"clearance_radius":1}'))
+    y, z = F.col("y").cast("string"), F.concat(F.lit(',"z":'), F.col("z").cast("string"))
+    name = F.when(k == 1, F.lit("1.5")).when(k == 4, F.lit('"a"')).otherwise(n)
+    node = F.when(k == 0, F.lit("7")).otherwise(F.concat(F.lit('{"id":'), name, place(F.when(k == 2, F.lit('"no"')).otherwise(y), F.when(k == 3, F.lit("")).otherwise(z))))
+    weight = F.when(k == 6, F.lit("")).when(k == 7, F.lit(',"weight":"NaN"')).otherwise(F.lit(',"weight":0.5'))
+    edge = F.concat(F.lit('{"source":'), F.when(k == 5, F.lit('"x"')).otherwise(n), F.lit(',"target":'), n, weight, F.lit("}"))
+    tens = v.cloud(spark, sf_dir).groupBy(F.floor(F.col("vec_id") / 10).alias("d")).agg(F.array_join(F.collect_list(node), ",").alias("nodes"), F.array_join(F.collect_list(edge), ",").alias("edges"))
+    nodes = F.when(F.col("d") % 9 == 1, F.lit("5")).otherwise(F.concat(F.lit("["), "nodes", F.lit("]")))
+    document = F.concat(F.lit('{"nodes":'), nodes, F.lit(',"edges":['), "edges", F.when(F.col("d") % 9 == 0, F.lit("]")).otherwise(F.lit("]}")))
+    return validation.document_findings(tens.select(document.alias("document")))
 
 
 # Recorded logs: events as messages of several types, written to a chunked log and read again ----------------------------
