@@ -38,7 +38,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(PLANTED).alias("text"),
     )
     out = chat.format_chats(stored.unionByName(planted))
-    out = out.withColumn("turns", chat.read_back(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("segments")))
+    out = out.withColumn("turns", chat.read_back(F.col("formatted")))
+    # the loss too is read back from the formatted text
+    bears = F.filter("turns", lambda t: t["role"].isin(*chat.CHAT.loss_roles))
+    out = out.withColumn("loss", F.array_join(F.transform(bears, lambda t: t["text"]), ""))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id",
