@@ -220,7 +220,7 @@ class Layouts:
 
 
 #: A sign, in the private area, that marks training text of an article.
-MARK = ""
+MARK = "\ue000"
 _TEXT = re.compile(r">([^<]+)|\A([^<]+)")
 
 
