@@ -14,8 +14,9 @@ Tokens are lower-cased (A to Z) words and one end token a text; a text's first t
 4. Workers memory-map the arrays and look up the distinct n-grams of some texts at a time.
 
 Arrays are sorted by hash: 32 bits and the bucket of each n-gram, and one byte that names its values in a table of the
-part's 255 most common ones; the rest have a sorted array of their own. Parts hold about ``PART_TOKENS`` tokens. Files
-are written under a name of their own and then renamed, so a task that runs again leaves the same arrays. Words and
+part's 255 most common ones; the rest have a sorted array of their own. Parts hold about ``PART_TOKENS`` tokens; a task
+writes all its parts to one file of a kind, under a name of its own and then renamed, so one that runs again leaves the
+same arrays. Workers map few files at a time (see ``Store``). Words and
 n-grams are told apart by 64 bits of hash when they are counted.
 
 Defined results: a null text is empty and has the end token alone. Without training texts every word is unknown and the
@@ -29,6 +30,7 @@ import os
 import pickle
 import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -147,67 +149,154 @@ class Words:
         return bytes([wide]) + bytes(7) + rows.tobytes()
 
 
+class _Pack:
+    """A file's parts, mapped.
+
+    Of a file that can't be mapped where it lies, parts are fetched when they are first asked for, into a sparse file on
+    the worker's own disk that goes with the mapping.
+    """
+
+    def __init__(self, path: str, files=None):
+        self.tables: dict[int, Table | Words | None] = {}
+        self.spooled, self.source = 0, None
+        if files is None:
+            self.raw = np.memmap(path, np.uint8, "r").view(np.ndarray)
+            size = len(self.raw)
+            tail = lambda n: self.raw[size - n :].tobytes()
+        else:
+            self.source = files.open_input_file(path)
+            size = self.source.size()
+            tail = lambda n: self.source.read_at(n, size - n)
+            self.spool = tempfile.TemporaryFile()
+            self.spool.truncate(size)
+            self.raw = np.memmap(self.spool, np.uint8, "r").view(np.ndarray)
+        n = int(np.frombuffer(tail(8), np.int64)[0])
+        table = np.frombuffer(tail(8 * (3 * n + 1)), np.int64)
+        self.parts, self.begin, self.end = table[:n], table[n : 2 * n], table[2 * n : 3 * n]
+
+    def get(self, part: int, kind) -> Table | Words | None:
+        if part not in self.tables:
+            at = int(np.searchsorted(self.parts, part))
+            if at == len(self.parts) or self.parts[at] != part:
+                self.tables[part] = None
+            else:
+                lo, hi = int(self.begin[at]), int(self.end[at])
+                if self.source is not None:
+                    self.spool.seek(lo)
+                    self.spool.write(self.source.read_at(hi - lo, lo))
+                    self.spool.flush()
+                    self.spooled += hi - lo
+                self.tables[part] = kind(self.raw[lo:hi])
+        return self.tables[part]
+
+
+class _Writer:
+    """What one task writes: a file for each kind, named when the task has written all of it."""
+
+    def __init__(self, store: Store):
+        self.store, self.open = store, {}
+
+    def __enter__(self) -> _Writer:
+        return self
+
+    def put(self, kind: str, part: int, data: bytes) -> None:
+        name = self.store.file_of(kind, part)
+        if name not in self.open:
+            own = f".{name}-{uuid.uuid4().hex}"
+            self.open[name] = own, self.store.create(own), []
+        _, stream, held = self.open[name]
+        at = held[-1][2] + -held[-1][2] % 8 if held else 0
+        if held:
+            stream.write(bytes(at - held[-1][2]))
+        stream.write(data)
+        held.append((part, at, at + len(data)))
+
+    def __exit__(self, kind, *_) -> None:
+        for name, (own, stream, held) in self.open.items():
+            if kind is None:
+                table = np.array(sorted(held), np.int64).T
+                stream.write(table.tobytes() + np.int64(len(held)).tobytes())
+            stream.close()
+            if kind is None:
+                self.store.rename(own, name)
+
+
 class Store:
-    """Arrays, a file for each kind and part, in a folder that all executors see."""
+    """Arrays of many parts, a file for each kind and task that wrote them, in a folder that all executors see.
+
+    Part p lies in file p % ``files``; a file ends with a table of where its parts begin and end. A worker holds the
+    files it used last, at most ``OPEN``, and at most about ``SPOOL`` bytes of parts that had to be fetched.
+    """
 
-    KEPT = 20_000
+    OPEN, SPOOL = 64, 1 << 30
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, files: int):
+        self.path, self.files = path, files
         self.local = path.removeprefix("file://") if path.startswith(("file:", "/")) else None
-        self.open: dict[tuple[str, int], Table | Words | None] = {}
+        self.open: OrderedDict[str, _Pack | None] = OrderedDict()
 
     def __getstate__(self):
-        return self.path
+        return self.path, self.files
 
-    def __setstate__(self, path: str):
-        self.__init__(path)
+    def __setstate__(self, state: tuple[str, int]):
+        self.__init__(*state)
 
     def _remote(self):
         from pyarrow import fs
 
         return fs.FileSystem.from_uri(self.path)
 
-    def put(self, kind: str, part: int, data: bytes) -> None:
-        name, own = f"{kind}-{part}", f".{kind}-{part}-{uuid.uuid4().hex}"
+    def file_of(self, kind: str, part: int) -> str:
+        return f"{kind}-{part % self.files}"
+
+    def create(self, name: str):
         if self.local:
             os.makedirs(self.local, exist_ok=True)
-            with open(f"{self.local}/{own}", "wb") as f:
-                f.write(data)
+            return open(f"{self.local}/{name}", "wb")
+        files, root = self._remote()
+        files.create_dir(root, recursive=True)
+        return files.open_output_stream(f"{root}/{name}")
+
+    def rename(self, own: str, name: str) -> None:
+        if self.local:
             os.replace(f"{self.local}/{own}", f"{self.local}/{name}")
         else:
             files, root = self._remote()
-            files.create_dir(root, recursive=True)
-            with files.open_output_stream(f"{root}/{own}") as f:
-                f.write(data)
             files.move(f"{root}/{own}", f"{root}/{name}")
 
-    def _mapped(self, name: str) -> np.ndarray | None:
+    def writer(self) -> _Writer:
+        return _Writer(self)
+
+    def _pack(self, name: str) -> _Pack | None:
         if self.local:
-            return np.memmap(f"{self.local}/{name}", np.uint8, "r").view(np.ndarray) if os.path.exists(f"{self.local}/{name}") else None
+            return _Pack(f"{self.local}/{name}") if os.path.exists(f"{self.local}/{name}") else None
         from pyarrow import fs
 
         files, root = self._remote()
-        if files.get_file_info(f"{root}/{name}").type == fs.FileType.NotFound:
-            return None
-        # a copy on the worker's own disk, which goes with the mapping
-        with tempfile.NamedTemporaryFile() as spool, files.open_input_stream(f"{root}/{name}") as f:
-            while block := f.read(1 << 22):
-                spool.write(block)
-            spool.flush()
-            return np.memmap(spool.name, np.uint8, "r").view(np.ndarray)
+        return None if files.get_file_info(f"{root}/{name}").type == fs.FileType.NotFound else _Pack(f"{root}/{name}", files)
 
     def get(self, kind: str, part: int) -> Table | Words | None:
-        if (kind, part) not in self.open:
-            if len(self.open) > self.KEPT:
-                self.open.clear()
-            raw = self._mapped(f"{kind}-{part}")
-            self.open[kind, part] = None if raw is None else (Words if kind == "word" else Table)(raw)
-        return self.open[kind, part]
-
-    @staticmethod
-    def _by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(part, kind="stable")
+        name = self.file_of(kind, part)
+        if name not in self.open:
+            if len(self.open) >= self.OPEN:
+                self.open.popitem(last=False)
+            self.open[name] = self._pack(name)
+        self.open.move_to_end(name)
+        pack = self.open[name]
+        if pack is None:
+            return None
+        before = pack.spooled
+        found = pack.get(part, Words if kind == "word" else Table)
+        if pack.spooled > before:
+            total = sum(x.spooled for x in self.open.values() if x is not None)
+            while total > self.SPOOL:  # this one too, if it alone is too large: what is in use lasts until it has been used
+                _, old = self.open.popitem(last=False)
+                total -= old.spooled if old is not None else 0
+        return found
+
+    def _by_part(self, part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Parts file after file, so that each file is opened once."""
+        order = np.lexsort((part, part % self.files))
         part = part[order]
         for lo, hi in zip(*_runs(part), strict=True):
             yield int(part[lo]), order[lo:hi]
@@ -351,7 +440,8 @@ def _classes(count: np.ndarray) -> list[np.ndarray]:
 
 
 def _dealt(of: DataFrame, n: int) -> DataFrame:
-    return of.repartition(n, "target").sortWithinPartitions("target").select("target", "blob")
+    """A task for each remainder of the target, which writes one file of a kind."""
+    return of.repartitionById(n, F.pmod("target", F.lit(n))).sortWithinPartitions("target").select("target", "blob")
 
 
 def _count_words(buckets: int):
@@ -385,13 +475,14 @@ def _told(what: str, *values) -> pa.RecordBatch:
 
 def _number_words(store: Store):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, (key, count) in _gathered(batches):
-            at, count = _grouped(key, count)
-            key = key[at]
-            rank = np.empty(len(key), np.uint64)
-            rank[np.argsort(-count.astype(np.int64), kind="stable")] = np.arange(len(key), dtype=np.uint64)
-            store.put("word", bucket, Words.bytes_of(key, rank, count))
-            yield _told("words", len(key), count.sum())
+        with store.writer() as out:
+            for bucket, (key, count) in _gathered(batches):
+                at, count = _grouped(key, count)
+                key = key[at]
+                rank = np.empty(len(key), np.uint64)
+                rank[np.argsort(-count.astype(np.int64), kind="stable")] = np.arange(len(key), dtype=np.uint64)
+                out.put("word", bucket, Words.bytes_of(key, rank, count))
+                yield _told("words", len(key), count.sum())
 
     return run
 
@@ -477,9 +568,9 @@ def _ngrams(store: Store, layout: Layout):
     return run
 
 
-def _suffixes(store: Store, told: _Gather, kind: str, part: int, v: np.ndarray, w: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _suffixes(out: _Writer, told: _Gather, kind: str, part: int, v: np.ndarray, w: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Stores distinct (v, w) with their counts, and passes on what v needs as a context and w as a word."""
-    store.put(kind, part, _table(_pair(v, w), count[:, None]))
+    out.put(kind, part, _table(_pair(v, w), count[:, None]))
     yield pa.RecordBatch.from_arrays([pa.array(["told"]), pa.array([1], pa.int32()), pa.array([pickle.dumps([int((count == k).sum()) for k in (1, 2, 3, 4)])], pa.binary())], names=["kind", "target", "blob"])
     at, total, *classes = _grouped(v, count, *_classes(count))
     none = np.zeros(len(at), np.uint64)
@@ -494,26 +585,27 @@ def _merge(store: Store, layout: Layout):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, shared = _Gather("words", lambda x, _: layout.bucket(x), True), _Gather("shared", layout.suffix_part)
-        for part, (u, v, w, count) in _gathered(batches):
-            key = _pair(_pair(u, v), w)
-            at, count = _grouped(key, count)
-            key, u, v, w = key[at], u[at], v[at], w[at]
-            adjusted = count
-            if layout.order == 3:
-                store.put("ngram", part, _table(key, count[:, None]))
-                context = _pair(u, v)
-                at, total, *classes = _grouped(context, count, *_classes(count))
-                store.put("context", part, _table(context[at], np.stack([total, *classes], 1)))
-                told = pickle.dumps([int((count == k).sum()) for k in (1, 2, 3, 4)])
-                yield pa.RecordBatch.from_arrays([pa.array(["told"]), pa.array([0], pa.int32()), pa.array([told], pa.binary())], names=["kind", "target", "blob"])
-                # what begins a text follows nothing, so it keeps its count
-                adjusted = np.where(v == BEGIN, count, np.uint64(1))
-            at, adjusted = _grouped(_pair(v, w), adjusted)
-            v, w = v[at], w[at]
-            common, _ = layout.is_common(v)
-            if common.any():
-                yield from shared.add(v[common], w[common], adjusted[common])
-            yield from _suffixes(store, sums, "suffix", part, v[~common], w[~common], adjusted[~common])
+        with store.writer() as out:
+            for part, (u, v, w, count) in _gathered(batches):
+                key = _pair(_pair(u, v), w)
+                at, count = _grouped(key, count)
+                key, u, v, w = key[at], u[at], v[at], w[at]
+                adjusted = count
+                if layout.order == 3:
+                    out.put("ngram", part, _table(key, count[:, None]))
+                    context = _pair(u, v)
+                    at, total, *classes = _grouped(context, count, *_classes(count))
+                    out.put("context", part, _table(context[at], np.stack([total, *classes], 1)))
+                    told = pickle.dumps([int((count == k).sum()) for k in (1, 2, 3, 4)])
+                    yield pa.RecordBatch.from_arrays([pa.array(["told"]), pa.array([0], pa.int32()), pa.array([told], pa.binary())], names=["kind", "target", "blob"])
+                    # what begins a text follows nothing, so it keeps its count
+                    adjusted = np.where(v == BEGIN, count, np.uint64(1))
+                at, adjusted = _grouped(_pair(v, w), adjusted)
+                v, w = v[at], w[at]
+                common, _ = layout.is_common(v)
+                if common.any():
+                    yield from shared.add(v[common], w[common], adjusted[common])
+                yield from _suffixes(out, sums, "suffix", part, v[~common], w[~common], adjusted[~common])
         yield from sums.flush()
         yield from shared.flush()
 
@@ -523,9 +615,10 @@ def _merge(store: Store, layout: Layout):
 def _merge_shared(store: Store, layout: Layout):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Gather("words", lambda x, _: layout.bucket(x), True)
-        for part, (v, w, count) in _gathered(batches):
-            at, count = _grouped(_pair(v, w), count)
-            yield from _suffixes(store, sums, "shared", part, v[at], w[at], count)
+        with store.writer() as out:
+            for part, (v, w, count) in _gathered(batches):
+                at, count = _grouped(_pair(v, w), count)
+                yield from _suffixes(out, sums, "shared", part, v[at], w[at], count)
         yield from sums.flush()
 
     return run
@@ -535,12 +628,13 @@ def _keep(store: Store):
     """Stores what words need; returns, by bucket, what is summed over all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, (number, *values) in _gathered(batches):
-            at, *values = _grouped(number, *values)
-            store.put("unigram", bucket, _table(mix(number[at]), np.stack(values, 1)))
-            kinds = values[0]
-            yield _told("kinds", *((kinds == k).sum() for k in (1, 2, 3, 4)))
-            yield _told("totals", kinds.sum(), (kinds > 2).sum())
+        with store.writer() as out:
+            for bucket, (number, *values) in _gathered(batches):
+                at, *values = _grouped(number, *values)
+                out.put("unigram", bucket, _table(mix(number[at]), np.stack(values, 1)))
+                kinds = values[0]
+                yield _told("kinds", *((kinds == k).sum() for k in (1, 2, 3, 4)))
+                yield _told("totals", kinds.sum(), (kinds > 2).sum())
 
     return run
 
@@ -580,7 +674,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 3) -> Model:
     source = docs.select(clean_text(text_col).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = n
-    store = Store(new_path(spark, "ngrams"))
+    store = Store(new_path(spark, "ngrams"), n)
     empty = Layout(order, buckets, 1, np.empty(0, np.uint64), np.empty(0, np.uint64))
     counted = written(_dealt(source.mapInArrow(_count_words(buckets), BLOBS), n).mapInArrow(_number_words(store), SUMS), "sums")
     n_words, n_tokens = counted.agg(F.sum("a"), F.sum("b")).first()
