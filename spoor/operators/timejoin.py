@@ -44,12 +44,14 @@ def asof_neighbours(queries: DataFrame, track: DataFrame, values: Sequence[str],
     p = track.select(*keys, F.lit(None).cast(kind).alias("q"), point.alias("p"), F.col(t).cast("double").alias("at"), F.lit(1).alias("side"), F.col(tie).cast("long").alias("tie"))
     both = q.unionByName(p).withColumn("bucket", F.floor(F.col("at") / bucket))
     # at one time queries come first, so a point at the query's own time is after it
-    order = W.partitionBy(*of, "bucket").orderBy("at", "side", "tie")
-    near = both.withColumn("b", F.last("p", True).over(order.rowsBetween(W.unboundedPreceding, -1))).withColumn("a", F.first("p", True).over(order.rowsBetween(1, W.unboundedFollowing))).where("side = 0")
+    # both ways as what came so far: Spark works a frame up to the last row out anew at each row
+    so_far, order = (W.unboundedPreceding, -1), ("at", "side", "tie")
+    ahead, back = (W.partitionBy(*of, "bucket").orderBy(*by_time).rowsBetween(*so_far) for by_time in (order, [F.col(c).desc() for c in order]))
+    near = both.withColumn("b", F.last("p", True).over(ahead)).withColumn("a", F.last("p", True).over(back)).where("side = 0")
     key = F.struct("at", "tie")
     ends = both.groupBy(*of, "bucket").agg(F.min_by(F.when(F.col("side") == 1, F.col("p")), F.when(F.col("side") == 1, key)).alias("first"), F.max_by(F.when(F.col("side") == 1, F.col("p")), F.when(F.col("side") == 1, key)).alias("last"))
-    along = W.partitionBy(*of).orderBy("bucket") if by else W.orderBy("bucket")
-    ends = ends.select(*[F.col(k).alias(f"{k}e") for k in of], F.col("bucket").alias("_bucket"), F.last("last", True).over(along.rowsBetween(W.unboundedPreceding, -1)).alias("earlier"), F.first("first", True).over(along.rowsBetween(1, W.unboundedFollowing)).alias("later"))
+    along, against = ((W.partitionBy(*of).orderBy(c) if by else W.orderBy(c)).rowsBetween(*so_far) for c in (F.col("bucket"), F.col("bucket").desc()))
+    ends = ends.select(*[F.col(k).alias(f"{k}e") for k in of], F.col("bucket").alias("_bucket"), F.last("last", True).over(along).alias("earlier"), F.last("first", True).over(against).alias("later"))
     same = F.col("bucket") == F.col("_bucket")
     for k in of:
         same = same & F.col(k).eqNullSafe(F.col(f"{k}e"))
