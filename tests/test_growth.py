@@ -3,6 +3,7 @@
 from bisect import bisect_left
 
 from spoor.operators import timejoin
+from spoor.sources import chunked_logs
 
 
 def test_asof_windows_run_once_over_their_rows(spark, capsys):
@@ -20,3 +21,27 @@ def test_asof_windows_run_once_over_their_rows(spark, capsys):
         i = bisect_left(times, ts)
         want[k] = (track[i - 1][2] if i else None, track[i][2] if i < len(track) else None)
     assert {r.k: (r.before and r.before.x, r.after and r.after.x) for r in got.collect()} == want
+
+
+def test_a_log_is_read_by_pieces(spark, tmp_path):
+    (tmp_path / "a log%20").mkdir()
+    path = tmp_path / "a log%20" / "a.mcap"
+    with open(path, "wb") as f:
+        log = chunked_logs.LogWriter(f, chunk_bytes=200_000, packing="")
+        for k in range(3000):
+            log.add("/even" if k % 2 == 0 else "/odd", "demo/msg/Block", k, bytes([k % 251]) * 1000)
+        log.close()
+    content, file = path.read_bytes(), chunked_logs.Ranged(str(path))
+    read, file.file = [], (inner := file.file) and type("Counted", (), {"read_at": staticmethod(lambda n, at: read.append(n) or inner.read_at(n, at))})
+    index, whole = chunked_logs.read_index(file), chunked_logs.read_index(content)
+    assert [(c.first, c.at, c.topics) for c in index.chunks] == [(c.first, c.at, c.topics) for c in whole.chunks] and len(whole.chunks) > 10
+    assert sum(read) < len(content) / 2 and max(read) <= chunked_logs.BLOCK
+    assert all(bytes(a.data) == bytes(b.data) for a, b in zip(index.chunks, whole.chunks, strict=True)) and max(read) < 300_000
+    (tmp_path / "a log%20" / "b.mcap").write_bytes(content[: len(content) // 2])  # without a summary
+    # the content isn't asked for where workers can open the file, and comes with the row where they can't
+    folder, kept = f"file://{tmp_path}/a log%20", ("topic", "log_ts_ns", "seq", "raw")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.pieces.link./in", f"file://{tmp_path}")
+    store = "viewfs://pieces/in/a log%20"
+    rows = {p: sorted(map(str, chunked_logs.read_log(spark, p, start=100, topics=["/odd"]).select(*kept).collect())) for p in (folder, store)}
+    assert len(rows[folder]) > 2000 and rows[folder] == rows[store]
+    assert [chunked_logs._files(spark, p, "*.mcap").where("content IS NOT NULL").count() for p in (folder, store)] == [0, 2]
