@@ -528,13 +528,18 @@ LOG = """log AS (SELECT event_id, epoch_us(ts) * 1000 AS log_ts_ns, '/' || event
 
 
 def _recorded(spark: SparkSession, sf_dir: str) -> str:
-    """The log's folder. Messages of a type go by the user's number."""
+    """The log's folder. Messages of a type go by the user's number.
+
+    A file has a range of the times, in order, and there are several files a core: as many tasks code the messages, and read them.
+    """
     import json
 
     from ..sources import bags, messages
 
     bags.register(spark)
-    e = v.table(spark, sf_dir, "events").withColumn("log_ts_ns", v.naive_micros(F.col("ts")) * 1000)
+    e = v.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", (v.naive_micros(F.col("ts")) * 1000).alias("log_ts_ns"))
+    files = max(3 * spark.sparkContext.defaultParallelism, e.rdd.getNumPartitions())
+    e = e.repartitionByRange(files, "log_ts_ns").sortWithinPartitions("log_ts_ns", "event_id")
     kind = F.col("user_id") % 4
     head = F.struct(F.struct(F.floor(F.col("log_ts_ns") / 1_000_000_000).cast("int").alias("sec"), (F.col("log_ts_ns") % 1_000_000_000).alias("nanosec")).alias("stamp"), F.lit("/root").alias("frame_id"))
     place = F.struct(((F.col("user_id") % 50) / F.lit(8.0)).alias("x"), F.lit(0.5).alias("y"), F.lit(-1.0).alias("z"))

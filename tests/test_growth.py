@@ -2,8 +2,11 @@
 
 from bisect import bisect_left
 
+from pyspark.sql import functions as F
+
 from spoor.operators import timejoin
-from spoor.sources import chunked_logs
+from spoor.plans import catalogue
+from spoor.sources import chunked_logs, messages
 
 
 def test_asof_windows_run_once_over_their_rows(spark, capsys):
@@ -45,3 +48,20 @@ def test_a_log_is_read_by_pieces(spark, tmp_path):
     rows = {p: sorted(map(str, chunked_logs.read_log(spark, p, start=100, topics=["/odd"]).select(*kept).collect())) for p in (folder, store)}
     assert len(rows[folder]) > 2000 and rows[folder] == rows[store]
     assert [chunked_logs._files(spark, p, "*.mcap").where("content IS NOT NULL").count() for p in (folder, store)] == [0, 2]
+
+
+def test_numbers_side_by_side_are_coded_as_one_by_one(spark, tmp_path, monkeypatch):
+    definition = "\n".join(["uint8 lead", "Pair pair", "Mixed mixed", "Pair[] pairs", "=" * 80, "MSG: demo/Pair", "float64 a", "int64 b", "=" * 80, "MSG: demo/Mixed", "int32 s", "uint32 n"])
+    value = {"lead": 3, "pair": {"a": 1.5, "b": -7}, "mixed": {"s": -1, "n": 2**32 - 1}, "pairs": [{"a": float(k), "b": k} for k in range(3)]}
+    raw = messages.encoder("demo/msg/Row", definition)(value)
+    assert messages.decoder("demo/msg/Row", definition)(raw) == value
+    monkeypatch.setattr(messages, "_run", lambda fields: None)
+    assert messages.encoder("demo/msg/Row", definition)(value) == raw and messages.decoder("demo/msg/Row", definition)(raw) == value
+
+
+def test_a_recorded_log_has_files_for_every_core(spark):
+    path = catalogue._recorded(spark, "/root/testdata/sf0.001")
+    log = chunked_logs.read_log(spark, path)
+    spans = sorted((r.a, r.b) for r in log.groupBy("path").agg(F.min("log_ts_ns").alias("a"), F.max("log_ts_ns").alias("b")).collect())
+    assert len(spans) >= 2 * spark.sparkContext.defaultParallelism
+    assert all(before[1] < after[0] for before, after in zip(spans, spans[1:], strict=False))  # a window opens few of them
