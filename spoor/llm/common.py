@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.storage import drop_written, new_path, written
 
-__all__ = ["Words", "bucket_of", "clean_text", "doc_of", "drop_written", "mix", "new_path", "slices", "text_bytes", "words", "written"]
+__all__ = ["Words", "bucket_of", "clean_text", "distinct", "doc_of", "drop_written", "mix", "new_path", "slices", "text_bytes", "word_counts", "words", "written"]
 
 #: Bytes of text that one step of a Python worker looks at; a longer text goes alone.
 SLICE_BYTES = 2_000_000
@@ -86,17 +86,32 @@ def words(texts: pa.Array, lower: bool = False, table: np.ndarray | None = None)
         data = table[data]
     if lower:
         data = data + ((data - np.uint8(65)) < 26) * np.uint8(32)
-    edge = np.zeros(n + 1, bool)
-    edge[off] = True
-    ws = (data == 32) | ((data - np.uint8(9)) < 5)
-    first = ~ws
-    first[1:] &= ws[:-1] | edge[1:n]
+    ws, edge = _gaps(data, off)
     last = ~ws
-    last[:-1] &= ws[1:] | edge[1:n]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    last[:-1] &= ws[1:] | edge
+    start, end = _starts(ws, edge), np.flatnonzero(last) + 1
     return Words(_hash_ranges(data, start, end), start, end, np.searchsorted(start, off), data)
 
 
+def word_counts(texts: pa.Array) -> np.ndarray:
+    """How many ``words`` each text has; none is hashed."""
+    data, off = text_bytes(texts)
+    return np.diff(np.searchsorted(_starts(*_gaps(data, off)), off)) if len(data) else np.zeros(len(texts), np.int64)
+
+
+def _gaps(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes are white space, and which but the first begin a text."""
+    edge = np.zeros(len(data) + 1, bool)
+    edge[off] = True
+    return (data == 32) | ((data - np.uint8(9)) < 5), edge[1:-1]
+
+
+def _starts(ws: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    first = ~ws
+    first[1:] &= ws[:-1] | edge
+    return np.flatnonzero(first)
+
+
 def _hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64 bits of each byte range, eight bytes a step; ranges of one length up to eight bytes never collide."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
@@ -134,3 +149,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
 def doc_of(offsets: np.ndarray) -> np.ndarray:
     """For each word, the number of its text."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct numbers, in order. ``np.unique`` hashes every number first, which takes many times as long as to sort."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_text, doc_of, slices, text_bytes, words
+from .common import clean_text, distinct, doc_of, slices, text_bytes, words
 
 DIMS = 1 << 18
 MAX_ROWS = 20_000
@@ -26,19 +26,27 @@ PLAIN = 8
 _TABLE = np.arange(256, dtype=np.uint8)
 _TABLE[65:91] += 32
 _TABLE[:48] = _TABLE[58:65] = _TABLE[91:97] = _TABLE[123:128] = 32
+_MARKS = np.zeros(256, bool)
+_MARKS[np.frombuffer(b"#*$%&<>", np.uint8)] = True
 
 
-def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, word slot) pairs, in order, and ``PLAIN`` proportions of each text."""
+def features(texts: pa.Array, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, word slot) pairs, in order, and ``PLAIN`` proportions of each text.
+
+    ``used`` tells for each slot whether its pairs are wanted, as ``used_slots`` does for models.
+    """
     n = len(texts)
     w = words(texts, table=_TABLE)
-    pairs = np.unique(doc_of(w.offsets) * DIMS + (w.hash >> np.uint64(46)).astype(np.int64))
+    doc, slot = doc_of(w.offsets), (w.hash >> np.uint64(46)).astype(np.int64)
+    if used is not None:
+        at = np.flatnonzero(used[slot])
+        doc, slot = doc[at], slot[at]
+    pairs = distinct(doc * DIMS + slot)
     data, off = text_bytes(texts)
     size = np.maximum(np.diff(off), 1)
-    share = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])[off]) / size
+    share = lambda mask: np.diff(np.searchsorted(np.flatnonzero(mask), off)) / size
     count = np.diff(w.offsets)
-    marks = np.isin(data, np.frombuffer(b"#*$%&<>", np.uint8))
-    plain = [np.log1p(count), share((data - np.uint8(65)) < 26), share(marks), share((data - np.uint8(48)) < 10), share(data == 33), share(data == 124), share(data == 10), size / np.maximum(count, 1) / 10]
+    plain = [np.log1p(count), share((data - np.uint8(65)) < 26), share(_MARKS[data]), share((data - np.uint8(48)) < 10), share(data == 33), share(data == 124), share(data == 10), size / np.maximum(count, 1) / 10]
     return pairs // DIMS, pairs % DIMS, np.stack(plain, 1) if n else np.zeros((0, PLAIN))
 
 
@@ -66,6 +74,14 @@ def blank(width: int) -> Linear:
     return Linear(np.empty(0, np.int64), np.empty(0), np.zeros(width), np.ones(width), np.zeros(width), 0.0)
 
 
+def used_slots(models: list[Linear]) -> np.ndarray:
+    """For each slot, whether any of the models weighs it."""
+    used = np.zeros(DIMS, bool)
+    for m in models:
+        used[m.slots] = True
+    return used
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 

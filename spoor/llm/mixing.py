@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_text, drop_written, slices, words, written
-from .linear import MAX_ROWS, Linear, features, fit, labelled_sample, sigmoid, table_features
+from .common import clean_text, drop_written, slices, word_counts, written
+from .linear import MAX_ROWS, Linear, features, fit, labelled_sample, sigmoid, table_features, used_slots
 
 #: Largest mismatch of a domain in parts of its own target.
 TOLERANCE = 1e-4
@@ -56,7 +56,7 @@ class Domains:
     models: list[Linear]
 
     def posteriors(self, texts: pa.Array) -> np.ndarray:
-        row, slot, dense = features(texts)
+        row, slot, dense = features(texts, used_slots([m for m in self.models if m is not None]))
         p = np.stack([sigmoid(m.logits(row, slot, dense)) for m in self.models], 1) if any(m is not None for m in self.models) else np.ones((len(texts), len(self.names)))
         return p / p.sum(1, keepdims=True)
 
@@ -176,7 +176,7 @@ def fit_rates(docs: DataFrame, domains: Domains, targets: dict[str, float], tole
         for part in slices(batches, "text"):
             text = part.column("text")
             p = domains.posteriors(text)
-            yield pa.RecordBatch.from_arrays([pa.array(np.diff(words(text).offsets).astype(float)), *(pa.array(np.ascontiguousarray(p[:, i])) for i in range(k))], names=["w", *(f"p{i}" for i in range(k))])
+            yield pa.RecordBatch.from_arrays([pa.array(word_counts(text).astype(float)), *(pa.array(np.ascontiguousarray(p[:, i])) for i in range(k))], names=["w", *(f"p{i}" for i in range(k))])
 
     small = written(docs.select(clean_text(text_col).alias("text")).mapInArrow(weigh, schema), "weights")
     total = small.agg(F.sum("w")).first()[0] or 0.0
@@ -222,7 +222,7 @@ def with_rates(docs: DataFrame, domains: Domains, descent: Descent, text_col: st
         for part in slices(batches, "_text"):
             text = part.column("_text")
             p = domains.posteriors(text)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(words(text).offsets).astype(np.int64)), *(pa.array(np.ascontiguousarray(p[:, i])) for i in range(len(names))), pa.array(descent.rates(p))], names=["_row", "n_tokens", *names, "rate"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(word_counts(text).astype(np.int64)), *(pa.array(np.ascontiguousarray(p[:, i])) for i in range(len(names))), pa.array(descent.rates(p))], names=["_row", "n_tokens", *names, "rate"])
 
     return rows.mapInArrow(run, schema).select("_row.*", "n_tokens", *names, "rate")
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import clean_text, drop_written, slices, written
-from .linear import MAX_ROWS, PLAIN, Linear, blank, features, fit, labelled_sample, sigmoid, table_features
+from .linear import MAX_ROWS, PLAIN, Linear, blank, features, fit, labelled_sample, sigmoid, table_features, used_slots
 
 FOLDS = 4
 
@@ -85,8 +85,9 @@ def predict(docs: DataFrame, models: dict[str, Linear], keep: tuple[str, ...] =
     chain = list(models.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = used_slots(chain)
         for part in slices(batches, "_text"):
-            row, slot, dense = features(part.column("_text"))
+            row, slot, dense = features(part.column("_text"), used)
             p = []
             for m in chain:
                 p.append(sigmoid(m.logits(row, slot, dense)))
